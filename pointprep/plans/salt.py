@@ -18,15 +18,18 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     hot_rows: int | None = None,
+    hot: list | None = None,
 ) -> DataFrame:
     """Inner or left join that spreads heavy left keys over several tasks.
 
     Rows of a heavy key are dealt into parts by a hash of the ``spread`` columns, and
-    the right rows of that key, and only that key, are repeated once per part.
+    the right rows of that key, and only that key, are repeated once per part. ``hot``
+    hands in heavy keys that are already known.
     """
     on = list(on)
     limit = hot_rows if hot_rows is not None else hot_row_limit(left.sparkSession)
-    hot = hot_groups(left, on, limit)
+    if hot is None:
+        hot = hot_groups(left, on, limit)
     if not hot:
         return left.join(right, on, how)
     parts = left.sparkSession.createDataFrame(
