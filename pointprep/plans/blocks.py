@@ -8,47 +8,82 @@ spot costs more blocks, not a bigger block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointprep.plans.skew import ranked
+from pointprep.plans.skew import MAX_HOT_GROUPS, ranked
 
 _BITS = 20
 
 
-def _spread(c: Column) -> Column:
-    """Move bit i of a 21-bit number to bit 3i."""
-    for shift, mask in (
-        (32, 0x1F00000000FFFF),
-        (16, 0x1F0000FF0000FF),
-        (8, 0x100F00F00F00F00F),
-        (4, 0x10C30C30C30C30C3),
-        (2, 0x1249249249249249),
-    ):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-    return c
+# Shift and mask of each step that moves bit i of a 21-bit number to bit 3i.
+_SPREAD = (
+    (32, 0x1F00000000FFFF),
+    (16, 0x1F0000FF0000FF),
+    (8, 0x100F00F00F00F00F),
+    (4, 0x10C30C30C30C30C3),
+    (2, 0x1249249249249249),
+)
 
 
-def z_order(coords: Sequence[str], low: dict[str, float], span: float) -> Column:
+def with_z_order(df: DataFrame, coords: Sequence[str], low: dict[str, float], span: float, name: str) -> DataFrame:
+    """Add the Z-curve position of each row.
+
+    One projection per spreading step: as one nested expression each step would repeat
+    the previous one twice.
+    """
+    top = F.lit(2**_BITS - 1).cast("bigint")
+    work = {c: f"__z_{c}" for c in coords}
+    df = df.withColumns({
+        work[c]: F.least(F.greatest(F.floor((F.col(c) - F.lit(low[c])) / F.lit(span) * F.lit(float(2**_BITS - 1))).cast("bigint"), F.lit(0).cast("bigint")), top)
+        for c in coords
+    })
+    for shift, mask in _SPREAD:
+        df = df.withColumns({
+            w: F.col(w).bitwiseOR(F.shiftleft(F.col(w), shift)).bitwiseAND(F.lit(mask)) for w in work.values()
+        })
     code = F.lit(0).cast("bigint")
-    for i, c in enumerate(coords):
-        cell = F.floor((F.col(c) - F.lit(low[c])) / F.lit(span) * F.lit(float(2**_BITS - 1))).cast("bigint")
-        cell = F.least(F.greatest(cell, F.lit(0).cast("bigint")), F.lit(2**_BITS - 1).cast("bigint"))
-        code = code.bitwiseOR(F.shiftleft(_spread(cell), i))
-    return code
-
-
-def coordinate_frame(frames: Sequence[DataFrame], coords: Sequence[str]) -> tuple[dict[str, float], float]:
-    """Lowest corner and longest side over all frames: one row from one aggregate."""
-    both = frames[0].select(*coords)
-    for other in frames[1:]:
-        both = both.unionAll(other.select(*coords))
-    row = both.agg(
-        *[F.min(c).alias(f"lo_{c}") for c in coords], *[F.max(c).alias(f"hi_{c}") for c in coords]
-    ).first()
-    low = {c: float(row[f"lo_{c}"] or 0.0) for c in coords}
-    sides = [float(row[f"hi_{c}"] or 0.0) - low[c] for c in coords]
-    return low, max(max(sides), 1e-12)
+    for i, w in enumerate(work.values()):
+        code = code.bitwiseOR(F.shiftleft(F.col(w), i))
+    return df.withColumn(name, code).drop(*work.values())
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What one pass over both sides of a join tells: extent, largest group, hot groups."""
+
+    low: dict[str, float]
+    span: float
+    largest: dict[int, int]
+    hot: dict[int, list]
+
+
+def profile(frames: Sequence[DataFrame], keys: Sequence[str], coords: Sequence[str], hot_rows: int) -> Profile:
+    """Sizes and bounds per group, reduced to a few numbers and a bounded list of hot groups."""
+    tagged = None
+    for i, df in enumerate(frames):
+        part = df.select(F.lit(i).alias("__side"), *keys, *coords)
+        tagged = part if tagged is None else tagged.unionAll(part)
+    groups = tagged.groupBy("__side", *keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.min(c).alias(f"lo_{c}") for c in coords],
+        *[F.max(c).alias(f"hi_{c}") for c in coords],
+    )
+    rows = groups.groupBy("__side").agg(
+        F.max("__n").alias("n"),
+        *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in coords],
+        *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in coords],
+    ).collect()
+    low = {c: min((float(r[f"lo_{c}"]) for r in rows if r[f"lo_{c}"] is not None), default=0.0) for c in coords}
+    high = {c: max((float(r[f"hi_{c}"]) for r in rows if r[f"hi_{c}"] is not None), default=0.0) for c in coords}
+    largest = {i: 0 for i in range(len(frames))} | {r["__side"]: r["n"] for r in rows}
+    hot: dict[int, list] = {i: [] for i in range(len(frames))}
+    if max(largest.values()) > hot_rows:
+        heavy = groups.filter(F.col("__n") > hot_rows).orderBy(F.col("__n").desc()).limit(MAX_HOT_GROUPS)
+        for r in heavy.select("__side", *keys, "__n").collect():
+            hot[r["__side"]].append(r)
+    return Profile(low, max(max(high[c] - low[c] for c in coords), 1e-12), largest, hot)
 
 
 def assign_blocks(
@@ -57,13 +92,13 @@ def assign_blocks(
     row_id: str,
     coords: Sequence[str],
     size: int,
-    frame: tuple[dict[str, float], float],
+    about: Profile,
+    side: int,
     name: str = "block",
 ) -> DataFrame:
     """Add the block number of each row; copies of one position are ordered by ``row_id``."""
-    low, span = frame
-    coded = df.withColumn("__z", z_order(coords, low, span))
-    numbered = ranked(coded, keys, ["__z", *coords, row_id], name="__rn")
+    coded = with_z_order(df, coords, about.low, about.span, "__z")
+    numbered = ranked(coded, keys, ["__z", *coords, row_id], name="__rn", hot=about.hot[side])
     block = F.floor((F.col("__rn") - 1) / F.lit(size)).cast("bigint")
     return numbered.withColumn(name, block).drop("__z", "__rn")
 

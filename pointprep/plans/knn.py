@@ -11,17 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pointprep.plans.blocks import (
+    Profile,
     assign_blocks,
     box_max_d2,
     box_min_d2,
     boxes,
-    coordinate_frame,
     merge_boxes,
+    profile,
     squared_sum,
 )
+from pointprep.plans.salt import salted_join
+from pointprep.plans.skew import hot_row_limit
 from pointprep.session import materialize
 
 FANOUT = 32
@@ -60,10 +63,9 @@ def _drop_spare_copies(target_boxes: DataFrame, keys: Sequence[str], coords: Seq
     )
 
 
-def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int) -> DataFrame:
-    """Pairs (query block, target block) that may hold a neighbour."""
+def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int, top: int) -> DataFrame:
+    """Pairs (query block, target block) that may hold a neighbour; ``top`` is the largest block number."""
     levels = [t_boxes.withColumn("__node", F.col("block")).drop("block")]
-    top = t_boxes.agg(F.max("block")).first()[0] or 0
     while top >= FANOUT:
         top //= FANOUT
         up = levels[-1].withColumn("__node", F.floor(F.col("__node") / FANOUT).cast("bigint"))
@@ -118,14 +120,50 @@ def knn_join(
     t_in = targets.select(
         *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload]
     )
-    frame = coordinate_frame([q_in, t_in], coords)
-    t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, block_rows, frame), "targets")
-    q_rows = materialize(assign_blocks(q_in, keys, "__q", coords, block_rows, frame), "queries")
+    about = profile([t_in, q_in], keys, coords, hot_row_limit(queries.sparkSession))
+    d2 = squared_sum([F.col(f"t_{c}") - F.col(f"q_{c}") for c in coords])
+    if about.largest[0] <= block_rows:
+        # Every group's targets fit one block: nothing to search, each query meets one block.
+        q_side, t_side = _prefixed(q_in, [*keys, "__q"], "q_"), _prefixed(t_in, keys, "t_")
+        met = salted_join(q_side, t_side, keys, ["__q"], hot=about.hot[1], keep_salt="__part")
+        met = met.withColumn("__d2", d2)
+        # Without hot groups the part number is a constant and adds nothing to the keys.
+        per_query = [*keys, "__part", "__q"] if about.hot[1] else [*keys, "__q"]
+    else:
+        met = _met_in_blocks(q_in, t_in, k + 1 if exclude_same_id else k, keys, coords, block_rows, about, d2)
+        per_query = [*keys, "q_block", "__q"]
+    if exclude_same_id:
+        met = met.filter(F.col("__q") != F.col("t___t"))
+
+    extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
+    if k == 1:
+        best = met.groupBy(*per_query).agg(
+            F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b")
+        ).select(*per_query, "__b.*")
+        ranked_rows = best.withColumn("__rank", F.lit(1))
+    else:
+        nearest = W.partitionBy(*per_query).orderBy("__d2", "t___t")
+        ranked_rows = met.withColumn("__rank", F.row_number().over(nearest)).filter(F.col("__rank") <= k)
+    return ranked_rows.select(
+        *keys,
+        F.col("__q").alias(query_id),
+        F.col("__rank").cast("bigint").alias(rank_name),
+        F.col("t___t").alias(neighbour),
+        F.sqrt("__d2").alias("dist"),
+        *extra,
+    )
+
 
-    need = k + 1 if exclude_same_id else k
+def _met_in_blocks(
+    q_in: DataFrame, t_in: DataFrame, need: int, keys: list[str], coords: list[str], block_rows: int, about: Profile, d2: Column
+) -> DataFrame:
+    """Query rows next to every target that can be among their ``need`` nearest."""
+    t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, block_rows, about, 0), "targets")
+    q_rows = materialize(assign_blocks(q_in, keys, "__q", coords, block_rows, about, 1), "queries")
     t_boxes = _drop_spare_copies(boxes(t_rows, [*keys, "block"], coords), keys, coords, need, block_rows)
     q_boxes = boxes(q_rows, [*keys, "block"], coords)
-    pairs = _candidate_blocks(q_boxes, t_boxes, keys, coords, need)
+    top = max(about.largest[0] - 1, 0) // block_rows
+    pairs = materialize(_candidate_blocks(q_boxes, t_boxes, keys, coords, need, top), "pairs")
 
     # Candidates travel to the query block; each query then tightens its own radius from the boxes.
     q_side = _prefixed(q_rows.withColumnRenamed("block", "q_block"), [*keys, "q_block", "__q"], "q_")
@@ -147,27 +185,5 @@ def knn_join(
     ).groupBy(*per_query, *[f"q_{c}" for c in coords]).agg(F.first("__r2").alias("__r2"))
     t_side = _prefixed(t_rows, keys, "t_")
     shipped = pairs.select(*keys, "q_block", "t_block").join(t_side, [*keys, "t_block"]).drop("t_block")
-
-    d2 = squared_sum([F.col(f"t_{c}") - F.col(f"q_{c}") for c in coords])
     met = wanted.join(shipped, [*keys, "q_block"]).withColumn("__d2", d2)
-    met = met.filter(F.col("__r2").isNull() | (F.col("__d2") <= F.col("__r2")))
-    if exclude_same_id:
-        met = met.filter(F.col("__q") != F.col("t___t"))
-
-    extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
-    if k == 1:
-        best = met.groupBy(*per_query).agg(
-            F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b")
-        ).select(*per_query, "__b.*")
-        ranked_rows = best.withColumn("__rank", F.lit(1))
-    else:
-        nearest = W.partitionBy(*per_query).orderBy("__d2", "t___t")
-        ranked_rows = met.withColumn("__rank", F.row_number().over(nearest)).filter(F.col("__rank") <= k)
-    return ranked_rows.select(
-        *keys,
-        F.col("__q").alias(query_id),
-        F.col("__rank").cast("bigint").alias(rank_name),
-        F.col("t___t").alias(neighbour),
-        F.sqrt("__d2").alias("dist"),
-        *extra,
-    )
+    return met.filter(F.col("__r2").isNull() | (F.col("__d2") <= F.col("__r2")))

@@ -92,17 +92,20 @@ def _range_column(df: DataFrame, keys: list[str], value: str, hot: list, hot_row
 
 
 def cut_hot_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None, hot: list | None = None
 ) -> tuple[DataFrame, list[str], list]:
     """Cut every hot group into ordered ranges.
 
     Returns the frame with range columns, the names of those columns and the hot
     groups found at the first level. Ranges are refined over ``order`` one column at
     a time, and only ranges of a single value are refined further, so the
-    lexicographic range order agrees with the row order.
+    lexicographic range order agrees with the row order. ``hot`` hands in hot groups
+    that are already known.
     """
     limit = hot_rows if hot_rows is not None else hot_row_limit(df.sparkSession)
-    hot = first = hot_groups(df, keys, limit)
+    if hot is None:
+        hot = hot_groups(df, keys, limit)
+    first = hot
     levels: list[str] = []
     cur = df
     part = list(keys)
@@ -133,6 +136,7 @@ def ranked(
     name: str = "rn",
     limit: int | str | None = None,
     hot_rows: int | None = None,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add the 1-based rank ``name`` of each row in its group, ascending by ``order``.
 
@@ -141,7 +145,7 @@ def ranked(
     each group.
     """
     keys = list(keys)
-    cur, levels, hot = cut_hot_groups(df, keys, order, hot_rows)
+    cur, levels, hot = cut_hot_groups(df, keys, order, hot_rows, hot)
     bound = None if limit is None else (F.col(limit) if isinstance(limit, str) else F.lit(limit))
     rank = F.row_number().over(W.partitionBy(*keys, *levels).orderBy(*order)).cast("bigint")
     if not levels:

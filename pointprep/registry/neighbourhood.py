@@ -51,7 +51,9 @@ def self_edges(spark, sf_dir):
 
 @query("knn_points", sql(f"""select case_id, leaf_id, "rank", point_id, {R('sqrt(d2)')} dist from f_knn"""))
 def knn_points(spark, sf_dir):
-    return edges(spark, sf_dir).select("case_id", "leaf_id", "rank", "point_id", r("dist").alias("dist"))
+    """Small blocks, so that every case needs the block search."""
+    out = knn_join(leaves(spark, sf_dir), cloud(spark, sf_dir), K, block_rows=16)
+    return out.select("case_id", "leaf_id", "rank", "point_id", r("dist").alias("dist"))
 
 
 @query("knn_self", sql(f"""select case_id, leaf_id, "rank", nbr_leaf_id, {R('sqrt(d2)')} dist from f_self"""))
