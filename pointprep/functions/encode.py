@@ -23,15 +23,10 @@ def leaf_vector(stats: Column, sdf: Column, grad: Sequence[Column], curv_mean: C
 def fourier(inputs: Sequence[Column | str], freqs: int = 10) -> Column:
     """The inputs, then per input its ``freqs`` sines followed by its cosines."""
     cols = [as_col(c) for c in inputs]
-    omega = F.array(*[F.lit(2.0**k * math.pi) for k in range(freqs)])
-    waves = F.transform(
-        F.array(*cols),
-        lambda v: F.concat(
-            F.transform(omega, lambda w: F.sin(v * w)),
-            F.transform(omega, lambda w: F.cos(v * w)),
-        ),
-    )
-    return F.concat(F.array(*cols), F.flatten(waves))
+    omega = [F.lit(2.0**k * math.pi) for k in range(freqs)]
+    # Spelled out rather than as a lambda over an array, which would leave generated code.
+    waves = [fn(c * w) for c in cols for fn in (F.sin, F.cos) for w in omega]
+    return F.array(*cols, *waves)
 
 
 def rotary_angles(pos: Sequence[Column | str], scale: Sequence[Column | float],

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pointprep.functions.rng import uniform
-from pointprep.plans.blocks import box_max_d2, box_min_d2, boxes, squared_sum
+from pointprep.plans.blocks import Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
 from pointprep.plans.components import connected_components
 from pointprep.plans.knn import knn_join
 from pointprep.plans.salt import salted_join
@@ -175,16 +175,15 @@ def seed_centroids(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, keys: Sequence[str] = ("case_id", "bin"),
-               row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+               row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), about: Profile | None = None) -> DataFrame:
     """One round: assign points to the nearest centroid of their group, then average.
 
     Returns the centroids with ``n`` points, ``cost`` (summed squared distances) and
     ``moved``; a centroid without points stays where it is.
     """
     keys, coords = list(keys), list(coords)
-    near = knn_join(points, centroids, 1, keys, row_id, "cluster", coords)
-    joined = near.select(*keys, row_id, "cluster", "dist").join(points.select(*keys, row_id, *coords), [*keys, row_id])
-    means = joined.groupBy(*keys, "cluster").agg(
+    near = knn_join(points, centroids, 1, keys, row_id, "cluster", coords, with_coords=True, about=about)
+    means = near.groupBy(*keys, "cluster").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("dist") * F.col("dist")).alias("cost"),
         *[F.avg(c).alias(f"__{c}") for c in coords],
@@ -207,22 +206,19 @@ def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
     """
     keys, coords = list(keys), list(coords)
     points = materialize(points.select(*keys, row_id, *coords), "points")
-    state = materialize(
-        seed_centroids(points, allocation, keys, row_id, coords, seed).withColumns(
-            {"n": F.lit(0).cast("bigint"), "cost": F.lit(0.0)}
-        ),
-        "centroids",
-    )
+    state = materialize(seed_centroids(points, allocation, keys, row_id, coords, seed), "centroids")
     # A group with as many slots as points is settled by its seeds.
     active = allocation.filter(F.col("n") > F.col("alloc")).select(*keys)
+    done = state.join(active, keys, "left_anti")
+    state = state.join(active, keys, "left_semi")
+    # Centroids stay inside the hull of their points and groups only leave, so one profile serves all rounds.
+    about = profile([state.select(*keys, *coords), points.select(*keys, *coords)], keys, coords, hot_row_limit(points.sparkSession))
     for _ in range(max_iter):
-        working = points.join(active, keys, "left_semi")
-        moved = materialize(lloyd_step(working, state.join(active, keys, "left_semi"), keys, row_id, coords), "lloyd")
-        state = materialize(
-            state.join(active, keys, "left_anti").unionByName(moved.select(*state.columns)), "centroids"
-        )
+        moved = materialize(lloyd_step(points.join(active, keys, "left_semi"), state, keys, row_id, coords, about), "lloyd")
         active = moved.groupBy(*keys).agg(F.max("moved").alias("__m")).filter(F.col("__m") > tol).select(*keys)
-        active = materialize(active, "active")
+        placed = moved.select(*keys, "cluster", *coords)
+        done = done.unionByName(placed.join(active, keys, "left_anti"))
+        state = placed.join(active, keys, "left_semi")
         if active.isEmpty():
-            break
-    return state
+            return done
+    return done.unionByName(state)

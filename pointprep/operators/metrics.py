@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.scalar import as_col
-from pointprep.plans.skew import exact_percentiles, ranked
+from pointprep.plans.skew import exact_percentiles, hot_groups, hot_row_limit, ranked
 
 # Fixed values
 SLICE_HEIGHTS = (1.5, 5.0, 10.0, 20.0, 40.0, 80.0, 120.0)
@@ -132,19 +132,25 @@ def slice_stats(
         .select(*keys, "height", "f.*")
     )
     group = [*keys, "height", "field"]
-    counts = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    gt = exact_percentiles(long, group, "target", {"lo": 0.005, "hi": 0.995}, hot_rows)
-    err = exact_percentiles(long, group, "error", {"e": 0.995}, hot_rows)
-    flat = F.abs(F.col("hi") - F.col("lo")) < 1e-10
-    return (
-        counts.filter(F.col("n") >= min_points)
-        .join(gt, group)
-        .join(err, group)
-        .select(
-            *group,
-            "n",
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("vmin"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("vmax"),
-            F.when(F.col("e") < 1e-10, F.lit(1.0)).otherwise(F.col("e")).alias("emax"),
+    limit = hot_rows if hot_rows is not None else hot_row_limit(points.sparkSession)
+    hot = hot_groups(long, group, limit)
+    count = F.count(F.lit(1)).alias("n")
+    if hot:
+        gt = exact_percentiles(long, group, "target", {"lo": 0.005, "hi": 0.995}, limit, hot)
+        err = exact_percentiles(long, group, "error", {"e": 0.995}, limit, hot)
+        limits = long.groupBy(*group).agg(count).join(gt, group).join(err, group)
+    else:
+        limits = long.groupBy(*group).agg(
+            count,
+            F.percentile("target", 0.005).alias("lo"),
+            F.percentile("target", 0.995).alias("hi"),
+            F.percentile("error", 0.995).alias("e"),
         )
+    flat = F.abs(F.col("hi") - F.col("lo")) < 1e-10
+    return limits.filter(F.col("n") >= min_points).select(
+        *group,
+        "n",
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("vmin"),
+        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("vmax"),
+        F.when(F.col("e") < 1e-10, F.lit(1.0)).otherwise(F.col("e")).alias("emax"),
     )

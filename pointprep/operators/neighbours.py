@@ -27,9 +27,9 @@ STAT_NAMES = (
 
 def nearest_centroid(points: DataFrame, leaves: DataFrame, key: str = "case_id", point_id: str = "point_id",
                      leaf_id: str = "leaf_id") -> DataFrame:
-    """Leaf of every point: its nearest centroid, the lower id on a tie."""
-    near = knn_join(points, leaves, 1, [key], point_id, leaf_id)
-    return near.select(key, point_id, leaf_id, "dist")
+    """Leaf of every point: its nearest centroid, the lower id on a tie. Keeps the point's position."""
+    near = knn_join(points, leaves, 1, [key], point_id, leaf_id, with_coords=True)
+    return near.select(key, point_id, leaf_id, "dist", "x", "y", "z")
 
 
 def surface_gradient(points: DataFrame, gradient: Sequence[str], key: str = "case_id", point_id: str = "point_id",

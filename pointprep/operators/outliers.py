@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.scalar import nan_to_null
-from pointprep.plans.skew import exact_percentiles
+from pointprep.plans.skew import exact_percentiles, hot_row_limit
 
 # Fixed values
 MAD_SCALE = 1.4826
@@ -21,10 +21,13 @@ def mad_scores(stats: DataFrame, indicators: Sequence[str], key: str = "case_id"
     long = stats.select(key, *[nan_to_null(c).alias(c) for c in indicators]).unpivot(
         key, list(indicators), "indicator", "value"
     )
+    # Every indicator has one row per case, so one count tells whether any is a hot group.
+    limit = hot_rows if hot_rows is not None else hot_row_limit(stats.sparkSession)
+    hot = [] if stats.count() <= limit else None
     # One row per indicator: a fixed, small table.
-    mid = exact_percentiles(long, ["indicator"], "value", {"med": 0.5}, hot_rows)
+    mid = exact_percentiles(long, ["indicator"], "value", {"med": 0.5}, hot_rows, hot)
     off = long.join(F.broadcast(mid), "indicator").withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    spread = exact_percentiles(off, ["indicator"], "dev", {"mad": 0.5}, hot_rows)
+    spread = exact_percentiles(off, ["indicator"], "dev", {"mad": 0.5}, hot_rows, hot)
     scaled = F.greatest(F.lit(MAD_SCALE) * F.col("mad"), F.lit(MAD_FLOOR))
     return off.join(F.broadcast(spread), "indicator").select(
         key, "indicator", "value", "med", (F.col("dev") / scaled).alias("z_mad")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pointprep.plans.salt import salted_join
+from pointprep.plans.skew import hot_row_limit
 from pointprep.session import materialize
 
 MAX_ROUNDS = 200
@@ -23,6 +24,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "case_id
     both = materialize(both, "links")
     if both.isEmpty():
         return labels
+    # No label can be carried by more nodes than there are.
+    heavy = [] if labels.count() <= hot_row_limit(nodes.sparkSession) else None
     for _ in range(MAX_ROUNDS):
         offered = (
             both.join(labels, (both[key] == labels[key]) & (both["src"] == labels[node]))
@@ -39,7 +42,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "case_id
             key, F.col(node).alias("__new"), F.col("__new").alias("__jump")
         )
         # Most nodes of a large component carry the same label.
-        jumped = salted_join(taken, moved, [key, "__new"], [node], "left").select(
+        jumped = salted_join(taken, moved, [key, "__new"], [node], "left", hot=heavy).select(
             key, node, "__old", F.least("__new", F.coalesce("__jump", "__new")).alias("label")
         )
         jumped = materialize(jumped, "labels")

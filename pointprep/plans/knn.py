@@ -108,11 +108,15 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     rank_name: str = "rank",
     neighbour_name: str | None = None,
+    with_coords: bool = False,
+    about: Profile | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query within the same ``keys``.
 
     Returns keys, ``query_id``, rank from 1, the neighbour's id, ``dist`` and the
-    neighbour's ``payload`` columns. Groups with fewer than ``k`` targets give what exists.
+    neighbour's ``payload`` columns, and the query's own coordinates if asked for.
+    Groups with fewer than ``k`` targets give what exists. ``about`` reuses the profile
+    of (targets, queries) at least as large and as wide as these.
     """
     keys, coords = list(keys), list(coords)
     neighbour = neighbour_name or (f"nbr_{target_id}" if target_id == query_id else target_id)
@@ -120,7 +124,8 @@ def knn_join(
     t_in = targets.select(
         *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload]
     )
-    about = profile([t_in, q_in], keys, coords, hot_row_limit(queries.sparkSession))
+    if about is None:
+        about = profile([t_in, q_in], keys, coords, hot_row_limit(queries.sparkSession))
     d2 = squared_sum([F.col(f"t_{c}") - F.col(f"q_{c}") for c in coords])
     if about.largest[0] <= block_rows:
         # Every group's targets fit one block: nothing to search, each query meets one block.
@@ -136,6 +141,10 @@ def knn_join(
         met = met.filter(F.col("__q") != F.col("t___t"))
 
     extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
+    if with_coords:
+        # They follow from the query id, so grouping by them too changes nothing.
+        per_query = per_query + [f"q_{c}" for c in coords]
+        extra += [F.col(f"q_{c}").alias(c) for c in coords]
     if k == 1:
         best = met.groupBy(*per_query).agg(
             F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b")

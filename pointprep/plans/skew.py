@@ -175,13 +175,14 @@ def exact_percentiles(
     value: str,
     probs: dict[str, float],
     hot_rows: int | None = None,
+    hot: list | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per group, one column per entry of ``probs``."""
     keys = list(keys)
     spark = df.sparkSession
     names = list(probs)
     df = df.select(*keys, value).filter(F.col(value).isNotNull())
-    cur, levels, hot = cut_hot_groups(df, keys, [value], hot_rows)
+    cur, levels, hot = cut_hot_groups(df, keys, [value], hot_rows, hot)
     aggs = [F.percentile(value, probs[n]).alias(n) for n in names]
     if not levels:
         return cur.groupBy(*keys).agg(*aggs)

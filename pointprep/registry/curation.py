@@ -60,7 +60,8 @@ def kept(spark, sf_dir):
     """Kept cases; the number of points stands in for the number of buildings."""
     table = cases(spark, sf_dir)
     flagged = outliers.mad_outliers(outliers.mad_scores(table, NAMES))
-    return outliers.drop_flagged(table, flagged).withColumn("n_buildings", F.col("n_volume") + F.col("n_surface"))
+    left = outliers.drop_flagged(table, flagged).select("case_id", "n_volume", "n_surface")
+    return materialize(left.withColumn("n_buildings", F.col("n_volume") + F.col("n_surface")), "kept")
 
 
 def stratified(spark, sf_dir):

@@ -45,7 +45,7 @@ def edges(spark, sf_dir, payload=()):
 
 
 def self_edges(spark, sf_dir):
-    table = leaves(spark, sf_dir)
+    table = materialize(leaves(spark, sf_dir), "leaves")
     return knn_join(table, table, K_SELF, query_id="leaf_id", target_id="leaf_id", exclude_same_id=True)
 
 
@@ -168,11 +168,10 @@ define("f_idw", f"""select case_id, point_id, "rank", leaf_id, w / sum(w) over (
 
 
 def idw(spark, sf_dir):
-    p = points(spark, sf_dir)
-    table = leaves(spark, sf_dir)
-    near = N.nearest_centroid(p, table).select("case_id", "point_id", "leaf_id")
-    queries = materialize(p.select("case_id", "point_id", "x", "y", "z").join(near, ["case_id", "point_id"]), "idw")
-    return N.idw_weights(queries, self_edges(spark, sf_dir), table, K_IDW)
+    table = materialize(leaves(spark, sf_dir), "leaves")
+    near = materialize(N.nearest_centroid(points(spark, sf_dir), table), "near")
+    around = knn_join(table, table, K_SELF, query_id="leaf_id", target_id="leaf_id", exclude_same_id=True)
+    return N.idw_weights(near, around, table, K_IDW)
 
 
 @query("idw_weights", sql(f"""select case_id, point_id, "rank", leaf_id, {R('weight')} weight from f_idw"""))
@@ -183,7 +182,7 @@ def idw_weights(spark, sf_dir):
 @query("idw_interpolate", sql(f"""select w.case_id, w.point_id, {R('sum(w.weight*l.x)')} x, {R('sum(w.weight*l.y)')} y
     from f_idw w join f_leaves l on w.case_id = l.case_id and w.leaf_id = l.leaf_id group by 1, 2"""))
 def idw_interpolate(spark, sf_dir):
-    out = N.idw_interpolate(idw(spark, sf_dir), leaves(spark, sf_dir), ["x", "y"])
+    out = N.idw_interpolate(materialize(idw(spark, sf_dir), "weights"), leaves(spark, sf_dir), ["x", "y"])
     return out.select("case_id", "point_id", r("x").alias("x"), r("y").alias("y"))
 
 

@@ -165,7 +165,7 @@ def curvature(spark, sf_dir):
     from f_origins o join f_vertices v on o.case_id = v.case_id join f_curv c on c.case_id = v.case_id and c.vertex_id = v.vertex_id) where rn = 1"""))
 def point_curvature(spark, sf_dir):
     v = vertices(spark, sf_dir)
-    curv = mesh.vertex_curvature(v, faces(spark, sf_dir))
+    curv = materialize(mesh.vertex_curvature(v, faces(spark, sf_dir)), "curvature")
     out = mesh.point_curvature(ray_origins(spark, sf_dir), v, curv, point_id="leaf_id")
     return out.select(F.col("case_id").cast("bigint"), "leaf_id", "vertex_id", r("curv_mean", 4).alias("curv_mean"))
 
