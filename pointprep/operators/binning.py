@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pointprep.functions.rng import uniform
 from pointprep.functions.scalar import bin_weights, sdf_bin
-from pointprep.plans.skew import ranked
+from pointprep.plans.salt import salted_join
+from pointprep.plans.skew import hot_from_counts, hot_row_limit, ranked
 
 BINS = 15
 ALPHA = 0.65
@@ -73,8 +74,11 @@ def oversample_fill(
     short bins enter, so a group never exceeds its slot count.
     """
     short = allocation.filter(F.col("n") < F.col("alloc")).select(key, "bin", "n", "alloc")
-    inside = points.join(short, [key, "bin"])
-    numbered = ranked(inside, [key, "bin"], [point_id], "__pos", hot_rows=hot_rows).withColumn(
+    limit = hot_rows if hot_rows is not None else hot_row_limit(points.sparkSession)
+    # Crowded bins have no short rows to meet, but their points would all go to one task.
+    crowded = hot_from_counts(allocation, [key, "bin"], "n", limit)
+    inside = salted_join(points, short, [key, "bin"], [point_id], hot=crowded)
+    numbered = ranked(inside, [key, "bin"], [point_id], "__pos", hot_rows=limit, hot=crowded).withColumn(
         "slot", F.col("__pos") - 1
     )
     own = numbered.select(key, "bin", "slot", point_id, F.lit(False).alias("is_copy"))

@@ -13,7 +13,7 @@ from pointprep.plans.blocks import Profile, box_max_d2, box_min_d2, boxes, profi
 from pointprep.plans.components import connected_components
 from pointprep.plans.knn import knn_join
 from pointprep.plans.salt import salted_join
-from pointprep.plans.skew import hot_groups, hot_row_limit, ranked
+from pointprep.plans.skew import hot_from_counts, hot_groups, hot_row_limit, ranked
 from pointprep.session import materialize
 
 DIRECT_PAIRS = 65_536
@@ -150,8 +150,8 @@ def _core_links(core, nodes, eps2, key, coords, cells, offsets, crowded) -> Data
     large = open_pairs.filter(F.col("__work") > DIRECT_PAIRS).select(key, "src", "dst")
     if large.isEmpty():
         return links
-    a = large.join(side("", "src"), [key, "src"])
-    b = large.join(side("", "dst"), [key, "dst"])
+    a = salted_join(side("", "src"), large, [key, "src"], ["id"])
+    b = salted_join(side("", "dst"), large, [key, "dst"], ["id"])
     found = knn_join(a, b, 1, [key, "src", "dst"], "id", "id", coords, neighbour_name="other")
     return links.unionByName(found.filter(F.col("dist") * F.col("dist") <= eps2).select(key, "src", "dst").distinct())
 
@@ -168,9 +168,11 @@ def seed_centroids(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
                    row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), seed: int | str = 42,
                    hot_rows: int | None = None) -> DataFrame:
     """``alloc`` distinct points per group in hash order as first centroids."""
-    sized = points.select(*keys, row_id, *coords).join(allocation.select(*keys, "alloc"), list(keys))
+    limit = hot_rows if hot_rows is not None else hot_row_limit(points.sparkSession)
+    crowded = hot_from_counts(allocation, keys, "n", limit)
+    sized = salted_join(points.select(*keys, row_id, *coords), allocation.select(*keys, "alloc"), keys, [row_id], hot=crowded)
     drawn = sized.withColumn("__u", uniform("seed", seed, *[F.col(k) for k in keys], F.col(row_id)))
-    first = ranked(drawn, keys, ["__u", row_id], "__pos", limit="alloc", hot_rows=hot_rows)
+    first = ranked(drawn, keys, ["__u", row_id], "__pos", limit="alloc", hot_rows=limit, hot=crowded)
     return first.select(*keys, (F.col("__pos") - 1).alias("cluster"), *coords)
 
 

@@ -193,6 +193,10 @@ def _met_in_blocks(
         need,
     ).groupBy(*per_query, *[f"q_{c}" for c in coords]).agg(F.first("__r2").alias("__r2"))
     t_side = _prefixed(t_rows, keys, "t_")
-    shipped = pairs.select(*keys, "q_block", "t_block").join(t_side, [*keys, "t_block"]).drop("t_block")
+    # A target block near everything is asked for by very many query blocks.
+    asked = max(hot_row_limit(q_in.sparkSession) // block_rows, 1)
+    shipped = salted_join(
+        pairs.select(*keys, "q_block", "t_block"), t_side, [*keys, "t_block"], ["q_block"], hot_rows=asked
+    ).drop("t_block")
     met = wanted.join(shipped, [*keys, "q_block"]).withColumn("__d2", d2)
     return met.filter(F.col("__r2").isNull() | (F.col("__d2") <= F.col("__r2")))

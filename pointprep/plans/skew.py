@@ -38,6 +38,17 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
     )
 
 
+def hot_from_counts(counts: DataFrame, keys: Sequence[str], n: str, hot_rows: int) -> list:
+    """The same list from a table that already holds the group sizes."""
+    return (
+        counts.filter(F.col(n) > hot_rows)
+        .select(*keys, F.col(n).alias("__n"))
+        .orderBy(F.col("__n").desc())
+        .limit(MAX_HOT_GROUPS)
+        .collect()
+    )
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for key in keys:

@@ -41,7 +41,7 @@ def stats_missing(spark, sf_dir):
         F.concat("event_type", F.lit("_mean")), F.when(F.col("n") > 0, F.concat("event_type", F.lit("_std")))
     )).alias("name")).filter("name is not null")
     scales = stratified(spark, sf_dir).select(F.concat(F.lit("scale:"), "sub_bin").alias("name")).distinct()
-    groups = [row["event_type"] for row in found.select("event_type").limit(100).collect()] + ["missing_group"]
+    groups = [row["event_type"] for row in found.select("event_type").collect()] + ["missing_group"]
     return Q.stats_missing(names.unionByName(scales), groups=groups)
 
 
