@@ -50,36 +50,42 @@ def dbscan(
     eps2 = eps * eps
     side = eps / math.sqrt(dims) * (1.0 - 1e-9)
     cells = [f"__c{i}" for i in range(dims)]
-    reach = math.ceil(math.sqrt(dims))
-    offsets = _offsets(reach, dims)
+    grid = [f"__g{i}" for i in range(dims)]
+    offsets = _offsets(math.ceil(math.sqrt(dims)), dims)
 
     placed = points.select(
         key, F.col(row_id).alias("id"), *coords,
         *[F.floor(F.col(c) / F.lit(side)).cast("bigint").alias(cell) for c, cell in zip(coords, cells)],
+        # A coarser grid for looking around: within eps there is only the next cell each way.
+        *[F.floor(F.col(c) / F.lit(eps)).cast("bigint").alias(cell) for c, cell in zip(coords, grid)],
     )
     # A cell may hold a large share of all points; the joins on cells below deal those out.
     cell = [key, *cells]
-    crowded = hot_groups(placed, cell, hot_row_limit(points.sparkSession))
+    spot = [key, *grid]
+    limit = hot_row_limit(points.sparkSession)
+    crowded_spots = hot_groups(placed, spot, limit)
+    # A cell lies in a few spots, so without crowded spots no cell is much above the limit.
+    crowded = hot_groups(placed, cell, limit) if crowded_spots else []
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     placed = materialize(salted_join(placed, sizes, cell, ["id"], hot=crowded), "cells")
     thin = placed.filter(F.col("__n") < min_samples)
 
     def around(df: DataFrame) -> DataFrame:
-        """Rows of thin cells, once per cell within reach."""
+        """Rows of thin cells, once per spot within reach."""
         return df.select(
             key, F.col("id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in coords],
-            F.explode(_shift_array(offsets, cells)).alias("__at"),
-        ).select(key, "__id", *[f"__{c}" for c in coords], *[F.col(f"__at.{c}").alias(c) for c in cells])
+            F.explode(_shift_array(_offsets(1, dims), grid)).alias("__at"),
+        ).select(key, "__id", *[f"__{c}" for c in coords], *[F.col(f"__at.{c}").alias(c) for c in grid])
 
     gap = squared_sum([F.col(c) - F.col(f"__{c}") for c in coords])
-    # Fewer than min_samples rows per thin cell, so a crowded cell next to it is read a bounded number of times.
+    # Fewer than min_samples rows per thin cell, so a crowded spot next to it is read a bounded number of times.
     counted = (
-        salted_join(placed.select(key, "id", *coords, *cells), around(thin), cell, ["id"], hot=crowded).filter(gap <= eps2)
+        salted_join(placed.select(key, "id", *coords, *grid), around(thin), spot, ["id"], hot=crowded_spots).filter(gap <= eps2)
         .groupBy(key, F.col("__id").alias("id")).agg(F.count(F.lit(1)).alias("__near"))
     )
     thin_core = counted.filter(F.col("__near") >= min_samples).select(key, "id")
-    core = placed.filter(F.col("__n") >= min_samples).select(key, "id", *coords, *cells).unionByName(
-        thin.join(thin_core, [key, "id"], "left_semi").select(key, "id", *coords, *cells)
+    core = placed.filter(F.col("__n") >= min_samples).select(key, "id", *coords, *cells, *grid).unionByName(
+        thin.join(thin_core, [key, "id"], "left_semi").select(key, "id", *coords, *cells, *grid)
     )
     core = materialize(core, "core")
     core_cells = boxes(core, [key, *cells], coords)
@@ -91,16 +97,16 @@ def dbscan(
 
     labelled = nodes.select(key, *cells, "node").join(labels, [key, "node"]).select(key, *cells, "label")
     in_core = salted_join(core, labelled, cell, ["id"], hot=crowded)
-    rest = thin.join(thin_core, [key, "id"], "left_anti")
+    rest = thin.join(core.select(key, "id"), [key, "id"], "left_anti")
     border = (
-        salted_join(in_core, around(rest), cell, ["id"], hot=crowded).filter(gap <= eps2)
+        salted_join(in_core.select(key, "label", *coords, *grid, "id"), around(rest), spot, ["id"], hot=crowded_spots)
+        .filter(gap <= eps2)
         .groupBy(key, F.col("__id").alias("id")).agg(F.min("label").alias("label"))
     )
-    noise = rest.select(key, "id").join(border.select(key, "id"), [key, "id"], "left_anti")
+    others = rest.select(key, "id").join(border, [key, "id"], "left")
     return (
         in_core.select(key, "id", "label", F.lit(True).alias("is_core"))
-        .unionByName(border.select(key, "id", "label", F.lit(False).alias("is_core")))
-        .unionByName(noise.select(key, "id", F.lit(None).cast("bigint").alias("label"), F.lit(False).alias("is_core")))
+        .unionByName(others.select(key, "id", "label", F.lit(False).alias("is_core")))
         .withColumnRenamed("id", row_id)
     )
 

@@ -2,7 +2,7 @@
 
 from pointprep.registry.core import ORACLES, QUERIES
 from pointprep.registry import (  # noqa: F401
-    scalars, curation, neighbourhood, sampling, evaluation, shapes, quality, streams,
+    scalars, curation, neighbourhood, sampling, evaluation, shapes, quality, streams, storage,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,6 +58,27 @@ def lloyd_step(spark, sf_dir):
     return out.select("case_id", "bin", "cluster", r("x").alias("x"), r("y").alias("y"), "n", r("cost").alias("cost"))
 
 
+ROUNDS = 3
+define("f_c0", "select s.* from f_seed s join f_alloc a on s.case_id = a.case_id and s.bin = a.bin where a.n > a.alloc")
+for _i in range(1, ROUNDS + 1):
+    define(f"f_near{_i}", f"""select case_id, bin, cluster, avg(x) x, avg(y) y, avg(z) z from (
+        select p.case_id, p.bin, s.cluster, p.x, p.y, p.z, row_number() over (partition by p.point_id order by
+          ((s.x-p.x)*(s.x-p.x) + (s.y-p.y)*(s.y-p.y)) + (s.z-p.z)*(s.z-p.z), s.cluster) rn
+        from f_binned p join f_c{_i - 1} s on p.case_id = s.case_id and p.bin = s.bin) where rn = 1 group by 1, 2, 3""")
+    define(f"f_c{_i}", f"""select s.case_id, s.bin, s.cluster, coalesce(m.x, s.x) x, coalesce(m.y, s.y) y, coalesce(m.z, s.z) z
+        from f_c{_i - 1} s left join f_near{_i} m on s.case_id = m.case_id and s.bin = m.bin and s.cluster = m.cluster""")
+
+
+@query("kmeans_rounds", sql(f"""select case_id, bin, cluster, {R('x')} x, {R('y')} y, {R('z')} z from f_c{ROUNDS}
+    union all select s.case_id, s.bin, s.cluster, {R('s.x')}, {R('s.y')}, {R('s.z')}
+    from f_seed s join f_alloc a on s.case_id = a.case_id and s.bin = a.bin where a.n <= a.alloc"""))
+def kmeans_rounds(spark, sf_dir):
+    """A fixed number of rounds: a group leaves early only once nothing moves at all."""
+    p = binned(spark, sf_dir).select("case_id", "bin", "point_id", "x", "y", "z")
+    out = C.binned_kmeans(p, materialize(allocation(spark, sf_dir), "allocation"), max_iter=ROUNDS, tol=0.0)
+    return out.select("case_id", "bin", "cluster", *[r(c).alias(c) for c in "xyz"])
+
+
 @query("binned_kmeans")
 def binned_kmeans(spark, sf_dir):
     p = binned(spark, sf_dir).select("case_id", "bin", "point_id", "x", "y", "z")
