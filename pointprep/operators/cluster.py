@@ -220,7 +220,7 @@ def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
     done = state.join(active, keys, "left_anti")
     state = state.join(active, keys, "left_semi")
     # Centroids stay inside the hull of their points and groups only leave, so one profile serves all rounds.
-    about = profile([state.select(*keys, *coords), points.select(*keys, *coords)], keys, coords, hot_row_limit(points.sparkSession))
+    about = profile(state, points, keys, coords, hot_row_limit(points.sparkSession))
     for _ in range(max_iter):
         moved = materialize(lloyd_step(points.join(active, keys, "left_semi"), state, keys, row_id, coords, about), "lloyd")
         active = moved.groupBy(*keys).agg(F.max("moved").alias("__m")).filter(F.col("__m") > tol).select(*keys)

@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pointprep.plans.skew import MAX_HOT_GROUPS, ranked
+from pointprep.plans.skew import hot_from_counts, ranked
 
 _BITS = 20
+SMALL_JOIN_ROWS = 100_000
+ROWS_PER_TASK = 5_000_000
+MAX_PARTITIONS = 20_000
 
 
 # Shift and mask of each step that moves bit i of a 21-bit number to bit 3i.
@@ -51,39 +54,55 @@ def with_z_order(df: DataFrame, coords: Sequence[str], low: dict[str, float], sp
 
 @dataclass(frozen=True)
 class Profile:
-    """What one pass over both sides of a join tells: extent, largest group, hot groups."""
+    """What one pass over both sides of a join tells.
+
+    ``largest`` group and ``hot`` groups are per side; ``work`` is the number of pairs if
+    every row of a group met every row of the other side.
+    """
 
     low: dict[str, float]
     span: float
-    largest: dict[int, int]
-    hot: dict[int, list]
+    largest: tuple[int, int]
+    hot: tuple[list, list]
+    work: int
 
 
-def profile(frames: Sequence[DataFrame], keys: Sequence[str], coords: Sequence[str], hot_rows: int) -> Profile:
+def profile(left: DataFrame, right: DataFrame, keys: Sequence[str], coords: Sequence[str], hot_rows: int) -> Profile:
     """Sizes and bounds per group, reduced to a few numbers and a bounded list of hot groups."""
-    tagged = None
-    for i, df in enumerate(frames):
-        part = df.select(F.lit(i).alias("__side"), *keys, *coords)
-        tagged = part if tagged is None else tagged.unionAll(part)
-    groups = tagged.groupBy("__side", *keys).agg(
-        F.count(F.lit(1)).alias("__n"),
+    tagged = left.select(F.lit(0).alias("__side"), *keys, *coords).unionAll(
+        right.select(F.lit(1).alias("__side"), *keys, *coords)
+    )
+    groups = tagged.groupBy(*keys).agg(
+        *[F.count_if(F.col("__side") == i).alias(f"__n{i}") for i in (0, 1)],
         *[F.min(c).alias(f"lo_{c}") for c in coords],
         *[F.max(c).alias(f"hi_{c}") for c in coords],
     )
-    rows = groups.groupBy("__side").agg(
-        F.max("__n").alias("n"),
+    row = groups.agg(
+        F.max("__n0").alias("n0"),
+        F.max("__n1").alias("n1"),
+        F.sum(F.col("__n0").cast("double") * F.col("__n1")).alias("work"),
         *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in coords],
         *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in coords],
-    ).collect()
-    low = {c: min((float(r[f"lo_{c}"]) for r in rows if r[f"lo_{c}"] is not None), default=0.0) for c in coords}
-    high = {c: max((float(r[f"hi_{c}"]) for r in rows if r[f"hi_{c}"] is not None), default=0.0) for c in coords}
-    largest = {i: 0 for i in range(len(frames))} | {r["__side"]: r["n"] for r in rows}
-    hot: dict[int, list] = {i: [] for i in range(len(frames))}
-    if max(largest.values()) > hot_rows:
-        heavy = groups.filter(F.col("__n") > hot_rows).orderBy(F.col("__n").desc()).limit(MAX_HOT_GROUPS)
-        for r in heavy.select("__side", *keys, "__n").collect():
-            hot[r["__side"]].append(r)
-    return Profile(low, max(max(high[c] - low[c] for c in coords), 1e-12), largest, hot)
+    ).first()
+    low = {c: float(row[f"lo_{c}"] or 0.0) for c in coords}
+    span = max(max(float(row[f"hi_{c}"] or 0.0) - low[c] for c in coords), 1e-12)
+    largest = (row["n0"] or 0, row["n1"] or 0)
+    hot: tuple[list, list] = ([], [])
+    for i in (0, 1):
+        if largest[i] > hot_rows:
+            hot[i].extend(hot_from_counts(groups, keys, f"__n{i}", hot_rows))
+    return Profile(low, span, largest, hot, int(row["work"] or 0))
+
+
+def partitions_for(spark: SparkSession, rows: float) -> int:
+    """Tasks for a join by the rows it will put out.
+
+    Adaptive execution sizes partitions by the bytes that go in, which says little
+    where each row meets hundreds of others.
+    """
+    if rows < SMALL_JOIN_ROWS:
+        return 1
+    return max(spark.sparkContext.defaultParallelism, min(MAX_PARTITIONS, int(rows // ROWS_PER_TASK)))
 
 
 def assign_blocks(

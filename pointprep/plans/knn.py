@@ -20,6 +20,7 @@ from pointprep.plans.blocks import (
     box_min_d2,
     boxes,
     merge_boxes,
+    partitions_for,
     profile,
     squared_sum,
 )
@@ -90,6 +91,7 @@ def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str
     return pairs.select(
         *group,
         F.col("__node").alias("t_block"),
+        "q_n",
         "t_n",
         *[f"t_{s}_{c}" for c in coords for s in ("lo", "hi")],
     )
@@ -125,12 +127,13 @@ def knn_join(
         *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload]
     )
     if about is None:
-        about = profile([t_in, q_in], keys, coords, hot_row_limit(queries.sparkSession))
+        about = profile(t_in, q_in, keys, coords, hot_row_limit(queries.sparkSession))
     d2 = squared_sum([F.col(f"t_{c}") - F.col(f"q_{c}") for c in coords])
     if about.largest[0] <= block_rows:
         # Every group's targets fit one block: nothing to search, each query meets one block.
         q_side, t_side = _prefixed(q_in, [*keys, "__q"], "q_"), _prefixed(t_in, keys, "t_")
-        met = salted_join(q_side, t_side, keys, ["__q"], hot=about.hot[1], keep_salt="__part")
+        tasks = partitions_for(queries.sparkSession, about.work)
+        met = salted_join(q_side, t_side, keys, ["__q"], hot=about.hot[1], keep_salt="__part", partitions=tasks)
         met = met.withColumn("__d2", d2)
         # Without hot groups the part number is a constant and adds nothing to the keys.
         per_query = [*keys, "__part", "__q"] if about.hot[1] else [*keys, "__q"]
@@ -173,6 +176,10 @@ def _met_in_blocks(
     q_boxes = boxes(q_rows, [*keys, "block"], coords)
     top = max(about.largest[0] - 1, 0) // block_rows
     pairs = materialize(_candidate_blocks(q_boxes, t_boxes, keys, coords, need, top), "pairs")
+    sums = pairs.agg(F.sum(F.col("q_n").cast("double") * F.col("t_n")).alias("met"), F.sum("t_n").alias("moved")).first()
+    spark = q_in.sparkSession
+    tasks = partitions_for(spark, sums["met"] or 0)
+    block = [*keys, "q_block"]
 
     # Candidates travel to the query block; each query then tightens its own radius from the boxes.
     q_side = _prefixed(q_rows.withColumnRenamed("block", "q_block"), [*keys, "q_block", "__q"], "q_")
@@ -185,7 +192,7 @@ def _met_in_blocks(
     ])
     per_query = [*keys, "q_block", "__q"]
     wanted = _prune(
-        q_side.join(pairs, [*keys, "q_block"])
+        q_side.repartition(tasks, *block).join(pairs.drop("q_n").repartition(tasks, *block), block)
         .withColumn("__near", point_gap)
         .withColumn("__far", point_reach)
         .withColumn("__node", F.col("t_block")),
@@ -196,7 +203,8 @@ def _met_in_blocks(
     # A target block near everything is asked for by very many query blocks.
     asked = max(hot_row_limit(q_in.sparkSession) // block_rows, 1)
     shipped = salted_join(
-        pairs.select(*keys, "q_block", "t_block"), t_side, [*keys, "t_block"], ["q_block"], hot_rows=asked
+        pairs.select(*keys, "q_block", "t_block"), t_side, [*keys, "t_block"], ["q_block"], hot_rows=asked,
+        partitions=partitions_for(spark, sums["moved"] or 0),
     ).drop("t_block")
-    met = wanted.join(shipped, [*keys, "q_block"]).withColumn("__d2", d2)
+    met = wanted.join(shipped.repartition(tasks, *block), block).withColumn("__d2", d2)
     return met.filter(F.col("__r2").isNull() | (F.col("__d2") <= F.col("__r2")))
