@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointprep.llm import bpe, token_counts
+from pointprep.llm import ann, bpe, fingerprints, mixing, simhash, token_counts
 from pointprep.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,23 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_nearest")
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, copies=2)
+
+
+@query("op9_simhash_classes")
+def op9_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(read_table(spark, sf_dir, "documents"))
