@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointprep.llm import ann, bpe, fingerprints, mixing, simhash, token_counts
+from pointprep.llm import ann, bpe, fingerprints, html_wrappers, mixing, simhash, token_counts, toxicity
 from pointprep.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_classes")
 def op9_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
