@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointprep.session import materialize
 
-__all__ = ["arrow_map", "materialize", "read_table", "word_pattern"]
+__all__ = ["WORD", "arrow_map", "materialize", "read_table"]
 
 #: A word is a run of anything but these six white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,18 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUT_ROWS = 20_000
 
 
-def word_pattern() -> str:
-    return WORD
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str, out_rows: int = OUT_ROWS) -> DataFrame:
     """Run ``rows`` over each partition; it takes an iterator of batches and yields output tuples.
 
-    A batch is a dict of Python lists by column name. Output goes out in small Arrow
+    A batch is a dict of Arrow arrays by column name. Output goes out in small Arrow
     batches, so memory is bounded by the input batch whatever the partition's size.
     """
     spark = df.sparkSession
@@ -44,7 +40,7 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]],
         held: list[tuple] = []
         for row in rows(columns()):
             held.append(row)
-            if len(held) >= OUT_ROWS:
+            if len(held) >= out_rows:
                 yield _batch(held, target)
                 held = []
         if held:
