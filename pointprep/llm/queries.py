@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pointprep.llm import ann, bpe, fingerprints, html_wrappers, mixing, simhash, substring_dedup, token_counts, toxicity
+from pointprep.llm import ann, bpe, fingerprints, html_wrappers, mixing, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 from pointprep.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(read_table(spark, sf_dir, "documents"), window=50)
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(read_table(spark, sf_dir, "documents"), window=400)

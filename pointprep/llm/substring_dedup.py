@@ -175,3 +175,33 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text:
                 yield None if k == _LAST else k, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
     return arrow_map(joined.select("key", "text", "work", "factors"), rows, f"{key} long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cut_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
+    """``docs`` with all its columns, the passages of earlier documents cut out of ``text``.
+
+    A text that loses nothing stays as it is, null included; another is its kept words joined by one space, and
+    ``length``, where the table has it, becomes its number of code points. The other columns
+    travel with the text through its one shuffle.
+    """
+    rest = [c for c in docs.columns if c != text]
+    joined, _ = duplicate_factors(_keyed(docs, text, key, F.col(text).isNull().alias("__null"), F.struct(*rest).alias("__rest")), window, gram)
+
+    def rows(batches: Iterator[dict]):
+        for batch in batches:
+            for i, rest_of in enumerate(batch["__rest"].to_pylist()):
+                whole = batch["text"][i].as_py()
+                words, gone = removed_words(whole, an.read_work(batch["work"], i), batch["factors"][i].as_py(), window, gram)
+                cut = bool(gone.any())
+                if cut:
+                    whole = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
+                yield None if batch["__null"][i].as_py() else whole, rest_of, cut, len(whole)
+
+    kind = docs.select(F.struct(*rest).alias("r")).schema["r"].dataType.simpleString()
+    out = arrow_map(joined.select("text", "work", "factors", "__null", "__rest"), rows, f"text string, rest {kind}, cut boolean, n long", out_rows=500)
+    return out.select(*[
+        F.col("text").alias(c) if c == text
+        else F.when(F.col("cut"), F.col("n")).otherwise(F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) if c == length
+        else F.col("rest")[c].alias(c)
+        for c in docs.columns
+    ])
