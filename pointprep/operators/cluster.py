@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from pointprep.functions.rng import uniform
 from pointprep.plans.blocks import Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
 from pointprep.plans.components import connected_components
-from pointprep.plans.knn import knn_join
+from pointprep.plans.knn import QueryBlocks, block_queries, block_sizes, knn_join
 from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import hot_from_counts, hot_groups, hot_row_limit, ranked
-from pointprep.session import materialize
+from pointprep.session import discard, materialize, scratch_path
 
 DIRECT_PAIRS = 65_536
 
@@ -183,14 +183,16 @@ def seed_centroids(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, keys: Sequence[str] = ("case_id", "bin"),
-               row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), about: Profile | None = None) -> DataFrame:
+               row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), about: Profile | None = None,
+               blocks: QueryBlocks | None = None) -> DataFrame:
     """One round: assign points to the nearest centroid of their group, then average.
 
     Returns the centroids with ``n`` points, ``cost`` (summed squared distances) and
-    ``moved``; a centroid without points stays where it is.
+    ``moved``; a centroid without points stays where it is. ``blocks`` hands in the points'
+    blocks, which do not change from round to round.
     """
     keys, coords = list(keys), list(coords)
-    near = knn_join(points, centroids, 1, keys, row_id, "cluster", coords, with_coords=True, about=about)
+    near = knn_join(points, centroids, 1, keys, row_id, "cluster", coords, carry=coords, about=about, blocks=blocks)
     means = near.groupBy(*keys, "cluster").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("dist") * F.col("dist")).alias("cost"),
@@ -220,13 +222,27 @@ def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
     done = state.join(active, keys, "left_anti")
     state = state.join(active, keys, "left_semi")
     # Centroids stay inside the hull of their points and groups only leave, so one profile serves all rounds.
-    about = profile(state, points, keys, coords, hot_row_limit(points.sparkSession))
-    for _ in range(max_iter):
-        moved = materialize(lloyd_step(points.join(active, keys, "left_semi"), state, keys, row_id, coords, about), "lloyd")
+    spark = points.sparkSession
+    about = profile(state, points, keys, coords, hot_row_limit(spark))
+    # Points never move: they are put in order and written once, whatever the rounds.
+    q_in = points.join(active, keys, "left_semi").select(*keys, F.col(row_id).alias("__q"), *coords)
+    blocks = block_queries(q_in, keys, coords, block_sizes(1, about)[1], about)
+    settled, before = scratch_path(spark, "settled"), None
+    done.write.parquet(settled)
+    for last in (i + 1 == max_iter for i in range(max_iter)):
+        here = scratch_path(spark, "lloyd")
+        rows = QueryBlocks(blocks.rows.join(active, keys, "left_semi"), blocks.boxes.join(active, keys, "left_semi"), blocks.size)
+        lloyd_step(points.join(active, keys, "left_semi"), state, keys, row_id, coords, about, rows).write.parquet(here)
+        moved = spark.read.parquet(here)
         active = moved.groupBy(*keys).agg(F.max("moved").alias("__m")).filter(F.col("__m") > tol).select(*keys)
+        if last:
+            active = active.limit(0)
         placed = moved.select(*keys, "cluster", *coords)
-        done = done.unionByName(placed.join(active, keys, "left_anti"))
+        placed.join(active, keys, "left_anti").write.mode("append").parquet(settled)
         state = placed.join(active, keys, "left_semi")
+        if before:
+            discard(spark, before)
+        before = here
         if active.isEmpty():
-            return done
-    return done.unionByName(state)
+            break
+    return spark.read.parquet(settled)

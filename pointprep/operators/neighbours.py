@@ -26,10 +26,10 @@ STAT_NAMES = (
 
 
 def nearest_centroid(points: DataFrame, leaves: DataFrame, key: str = "case_id", point_id: str = "point_id",
-                     leaf_id: str = "leaf_id") -> DataFrame:
-    """Leaf of every point: its nearest centroid, the lower id on a tie. Keeps the point's position."""
-    near = knn_join(points, leaves, 1, [key], point_id, leaf_id, with_coords=True)
-    return near.select(key, point_id, leaf_id, "dist", "x", "y", "z")
+                     leaf_id: str = "leaf_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Leaf of every point: its nearest centroid, the lower id on a tie. Keeps the point's position and ``carry``."""
+    near = knn_join(points, leaves, 1, [key], point_id, leaf_id, carry=("x", "y", "z", *carry))
+    return near.select(key, point_id, leaf_id, "dist", "x", "y", "z", *carry)
 
 
 def surface_gradient(points: DataFrame, gradient: Sequence[str], key: str = "case_id", point_id: str = "point_id",
@@ -181,6 +181,10 @@ def _leaf_counts(leaves: DataFrame, key: str) -> DataFrame:
     return leaves.groupBy(key).agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
+#: Steps of the walk that fills up random keys; the product exceeds any number of leaves.
+STEPS = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
+
+
 def graph_edges(
     leaf_edges: DataFrame,
     leaves: DataFrame,
@@ -219,15 +223,32 @@ def random_edges_excluding(
     key: str = "case_id",
     leaf_id: str = "leaf_id",
 ) -> DataFrame:
-    """Random keys that are not neighbours: candidates minus the local set, first come first kept."""
+    """``n_random`` distinct random keys per leaf that are not its neighbours, or all there are.
+
+    Hashed draws come first. What repeats and neighbours cost is filled up from a walk through all
+    leaves: from a hashed start in steps of a prime that does not divide their number, so it
+    meets no leaf twice and n_random more steps than the leaf has neighbours suffice.
+    """
     sized = leaves.select(key, leaf_id).join(_leaf_counts(leaves, key), key)
     slots = sized.withColumn(
         "slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_random + spare - 1).cast("bigint")))
     )
     u = uniform("other", F.col(key), epoch, F.col(leaf_id), F.col("slot"))
     drawn = slots.withColumn("key_id", F.floor(u * F.col("n_leaves")).cast("bigint"))
-    once = drawn.groupBy(key, leaf_id, "key_id").agg(F.min("slot").alias("__first"))
     local = leaf_edges.select(key, leaf_id, F.col(f"nbr_{leaf_id}").alias("key_id"))
+    owned = local.groupBy(key, leaf_id).agg(F.count(F.lit(1)).alias("__own"))
+    step = F.element_at(F.filter(F.array(*[F.lit(p) for p in STEPS]), lambda p: F.col("n_leaves") % p != 0), 1)
+    start = F.floor(uniform("fill", F.col(key), epoch, F.col(leaf_id)) * F.col("n_leaves"))
+    steps = F.least(F.col("n_leaves"), F.coalesce("__own", F.lit(0)) + n_random)
+    walk = (
+        sized.join(owned, [key, leaf_id], "left")
+        .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint") - 1)))
+        .select(
+            key, leaf_id, (F.col("slot") + n_random + spare).alias("slot"),
+            F.pmod(start + F.col("slot") * step, F.col("n_leaves")).cast("bigint").alias("key_id"),
+        )
+    )
+    once = drawn.select(key, leaf_id, "slot", "key_id").unionByName(walk).groupBy(key, leaf_id, "key_id").agg(F.min("slot").alias("__first"))
     order = W.partitionBy(key, leaf_id).orderBy("__first")
     return (
         once.join(local, [key, leaf_id, "key_id"], "left_anti")

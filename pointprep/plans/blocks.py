@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pointprep.plans.skew import hot_from_counts, ranked
 
 _BITS = 20
-SMALL_JOIN_ROWS = 100_000
 ROWS_PER_TASK = 5_000_000
-MAX_PARTITIONS = 20_000
+SMALL_TASK_ROWS = 100_000
 
 
 # Shift and mask of each step that moves bit i of a 21-bit number to bit 3i.
@@ -100,9 +99,8 @@ def partitions_for(spark: SparkSession, rows: float) -> int:
     Adaptive execution sizes partitions by the bytes that go in, which says little
     where each row meets hundreds of others.
     """
-    if rows < SMALL_JOIN_ROWS:
-        return 1
-    return max(spark.sparkContext.defaultParallelism, min(MAX_PARTITIONS, int(rows // ROWS_PER_TASK)))
+    some = min(spark.sparkContext.defaultParallelism, int(rows // SMALL_TASK_ROWS) + 1)
+    return max(some, int(rows // ROWS_PER_TASK) + 1)
 
 
 def assign_blocks(

@@ -8,8 +8,6 @@ from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import hot_row_limit
 from pointprep.session import materialize
 
-MAX_ROUNDS = 200
-
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "case_id", node: str = "node") -> DataFrame:
     """Smallest node id of each node's component as ``label``.
@@ -26,7 +24,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "case_id
         return labels
     # No label can be carried by more nodes than there are.
     heavy = [] if labels.count() <= hot_row_limit(nodes.sparkSession) else None
-    for _ in range(MAX_ROUNDS):
+    # Labels only fall, so this ends.
+    while True:
         offered = (
             both.join(labels, (both[key] == labels[key]) & (both["src"] == labels[node]))
             .select(both[key].alias(key), F.col("dst").alias(node), "label")
@@ -50,4 +49,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key: str = "case_id
         labels = jumped.select(key, node, "label")
         if changed == 0:
             return labels
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")

@@ -1,15 +1,18 @@
 """Exact k-nearest-neighbour join per group.
 
-Both sides are cut into bounded blocks. A tree of block boxes is searched with one
-join per tree level: a query block keeps a target box only if its gap is within the
-distance that certainly holds k targets. Only rows of the surviving block pairs
-meet, so the work follows the neighbourhood size and not the group size, and a
-dense group or spot only adds blocks. Ties are broken by target id.
+Both sides are cut into small blocks of nearby rows. A tree of block boxes is searched with
+one join per tree level: a query block keeps a target block only if its gap is within the distance
+that certainly holds k targets. That distance is loose, so it only serves to find candidates.
+The few candidate blocks that already hold k rows are then compared row by row, which gives
+every query a real distance to beat, and each query keeps of the candidates only the
+blocks whose box is within its own distance. Rows meet by target block, so what is formed
+follows the neighbourhood of each query. Ties are broken by target id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,7 +32,33 @@ from pointprep.plans.skew import hot_row_limit
 from pointprep.session import materialize
 
 FANOUT = 32
+#: Groups with up to so many targets are compared directly.
 BLOCK_ROWS = 256
+#: Smallest blocks of either side, and the largest of queries.
+LEAST_BLOCK = 8
+QUERY_BLOCK = 256
+
+
+@dataclass(frozen=True)
+class QueryBlocks:
+    """Query rows with their block, and the blocks' boxes, both written out; searches can share them."""
+
+    rows: DataFrame
+    boxes: DataFrame
+    size: int
+
+
+def block_queries(q_in: DataFrame, keys: Sequence[str], coords: Sequence[str], size: int, about: Profile) -> QueryBlocks:
+    """``q_in`` has the keys, ``__q`` and the coordinates."""
+    rows = materialize(assign_blocks(q_in, keys, "__q", coords, size, about, 1), "queries")
+    return QueryBlocks(rows, materialize(boxes(rows, [*keys, "block"], coords), "boxes"), size)
+
+
+def block_sizes(need: int, about: Profile) -> tuple[int, int]:
+    """Rows per target and per query block, so that boxes of both sides are about equally large."""
+    target = max(LEAST_BLOCK, need // 8)
+    ratio = about.largest[1] / max(about.largest[0], 1)
+    return target, int(min(QUERY_BLOCK, max(LEAST_BLOCK, target * ratio)))
 
 
 def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -37,7 +66,10 @@ def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
 
 
 def _prune(pairs: DataFrame, group: Sequence[str], need: int) -> DataFrame:
-    """Keep boxes whose gap is within the smallest radius sure to hold ``need`` rows."""
+    """Keep boxes whose gap is within the smallest radius sure to hold ``need`` rows.
+
+    ``__seed`` marks the boxes that reach twice this number first.
+    """
     by_reach = W.partitionBy(*group).orderBy("__far", "__node").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*group)
     held = pairs.withColumn("__held", F.sum("t_n").over(by_reach))
@@ -45,7 +77,8 @@ def _prune(pairs: DataFrame, group: Sequence[str], need: int) -> DataFrame:
     return (
         held.withColumn("__r2", radius)
         .filter(F.col("__r2").isNull() | (F.col("__near") <= F.col("__r2")))
-        .drop("__held")
+        .withColumn("__seed", F.col("__held") - F.col("t_n") < 2 * need)
+        .drop("__held", "__r2")
     )
 
 
@@ -64,7 +97,7 @@ def _drop_spare_copies(target_boxes: DataFrame, keys: Sequence[str], coords: Seq
     )
 
 
-def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int, top: int) -> DataFrame:
+def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int, top: int, about: Profile) -> DataFrame:
     """Pairs (query block, target block) that may hold a neighbour; ``top`` is the largest block number."""
     levels = [t_boxes.withColumn("__node", F.col("block")).drop("block")]
     while top >= FANOUT:
@@ -82,8 +115,8 @@ def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str
     def nodes(level: DataFrame) -> DataFrame:
         return _prefixed(level, [*keys, "__node"], "t_")
 
-    # At most FANOUT nodes per group at the top of the tree.
-    pairs = _prune(measured(q.join(nodes(levels[-1]), list(keys))), group, need)
+    # At most FANOUT nodes per group at the top of the tree; a group with very many query blocks is dealt out.
+    pairs = _prune(measured(salted_join(q, nodes(levels[-1]), list(keys), ["q_block"], hot=about.hot[1])), group, need)
     for level in reversed(levels[:-1]):
         parents = pairs.select(*group, *[c for c in q.columns if c not in group], F.col("__node").alias("__up"))
         children = nodes(level).withColumn("__up", F.floor(F.col("__node") / FANOUT).cast("bigint"))
@@ -93,6 +126,7 @@ def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str
         F.col("__node").alias("t_block"),
         "q_n",
         "t_n",
+        "__seed",
         *[f"t_{s}_{c}" for c in coords for s in ("lo", "hi")],
     )
 
@@ -110,19 +144,22 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     rank_name: str = "rank",
     neighbour_name: str | None = None,
-    with_coords: bool = False,
+    carry: Sequence[str] = (),
     about: Profile | None = None,
+    blocks: QueryBlocks | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query within the same ``keys``.
 
     Returns keys, ``query_id``, rank from 1, the neighbour's id, ``dist`` and the
-    neighbour's ``payload`` columns, and the query's own coordinates if asked for.
-    Groups with fewer than ``k`` targets give what exists. ``about`` reuses the profile
-    of (targets, queries) at least as large and as wide as these.
+    neighbour's ``payload`` columns, and the query's own columns named by ``carry``, which
+    follow from its id. Groups with fewer than ``k`` targets give what exists. ``about``
+    reuses the profile of (targets, queries) at least as large and as wide as these, and
+    ``blocks`` the blocks of these queries or of more; then ``queries`` only names the columns,
+    and ``carry`` can name coordinates.
     """
     keys, coords = list(keys), list(coords)
     neighbour = neighbour_name or (f"nbr_{target_id}" if target_id == query_id else target_id)
-    q_in = queries.select(*keys, F.col(query_id).alias("__q"), *coords)
+    q_in = queries.select(*keys, F.col(query_id).alias("__q"), *coords, *[c for c in carry if c not in (*keys, *coords)])
     t_in = targets.select(
         *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload]
     )
@@ -138,20 +175,19 @@ def knn_join(
         # Without hot groups the part number is a constant and adds nothing to the keys.
         per_query = [*keys, "__part", "__q"] if about.hot[1] else [*keys, "__q"]
     else:
-        met = _met_in_blocks(q_in, t_in, k + 1 if exclude_same_id else k, keys, coords, block_rows, about, d2)
-        per_query = [*keys, "q_block", "__q"]
+        need = k + 1 if exclude_same_id else k
+        met = _met_in_blocks(q_in, t_in, need, keys, coords, block_rows, about, d2, blocks)
+        per_query = [*keys, "__q"]
     if exclude_same_id:
         met = met.filter(F.col("__q") != F.col("t___t"))
 
     extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
-    if with_coords:
-        # They follow from the query id, so grouping by them too changes nothing.
-        per_query = per_query + [f"q_{c}" for c in coords]
-        extra += [F.col(f"q_{c}").alias(c) for c in coords]
+    carried = [f"q_{c}" for c in carry if c not in keys]
+    extra += [F.col(c).alias(c[2:]) for c in carried]
     if k == 1:
         best = met.groupBy(*per_query).agg(
-            F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b")
-        ).select(*per_query, "__b.*")
+            F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b"), *[F.first(c).alias(c) for c in carried]
+        ).select(*per_query, *carried, "__b.*")
         ranked_rows = best.withColumn("__rank", F.lit(1))
     else:
         nearest = W.partitionBy(*per_query).orderBy("__d2", "t___t")
@@ -167,44 +203,53 @@ def knn_join(
 
 
 def _met_in_blocks(
-    q_in: DataFrame, t_in: DataFrame, need: int, keys: list[str], coords: list[str], block_rows: int, about: Profile, d2: Column
+    q_in: DataFrame, t_in: DataFrame, need: int, keys: list[str], coords: list[str], block_rows: int, about: Profile, d2: Column,
+    blocks: QueryBlocks | None,
 ) -> DataFrame:
     """Query rows next to every target that can be among their ``need`` nearest."""
-    t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, block_rows, about, 0), "targets")
-    q_rows = materialize(assign_blocks(q_in, keys, "__q", coords, block_rows, about, 1), "queries")
-    t_boxes = _drop_spare_copies(boxes(t_rows, [*keys, "block"], coords), keys, coords, need, block_rows)
-    q_boxes = boxes(q_rows, [*keys, "block"], coords)
-    top = max(about.largest[0] - 1, 0) // block_rows
-    pairs = materialize(_candidate_blocks(q_boxes, t_boxes, keys, coords, need, top), "pairs")
-    sums = pairs.agg(F.sum(F.col("q_n").cast("double") * F.col("t_n")).alias("met"), F.sum("t_n").alias("moved")).first()
+    t_size, q_size = block_sizes(need, about)
+    t_size = min(t_size, block_rows)
+    if blocks is None:
+        blocks = block_queries(q_in, keys, coords, q_size, about)
+    t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, t_size, about, 0), "targets")
+    t_boxes = _drop_spare_copies(boxes(t_rows, [*keys, "block"], coords), keys, coords, need, t_size)
+    top = max(about.largest[0] - 1, 0) // t_size
+    pairs = materialize(_candidate_blocks(blocks.boxes, t_boxes, keys, coords, need, top, about), "pairs")
+    q_side = _prefixed(blocks.rows.withColumnRenamed("block", "q_block"), [*keys, "q_block", "__q"], "q_")
+    t_side = _prefixed(t_rows.withColumnRenamed("block", "t_block"), [*keys, "t_block"], "t_")
+    block, target, query = [*keys, "q_block"], [*keys, "t_block"], [*keys, "__q"]
+    asked = max(hot_row_limit(q_in.sparkSession) // t_size, 1)
     spark = q_in.sparkSession
-    tasks = partitions_for(spark, sums["met"] or 0)
-    block = [*keys, "q_block"]
 
-    # Candidates travel to the query block; each query then tightens its own radius from the boxes.
-    q_side = _prefixed(q_rows.withColumnRenamed("block", "q_block"), [*keys, "q_block", "__q"], "q_")
+    # A real distance for each query: its need-th row in the blocks that hold enough rows nearby.
+    seeds = pairs.filter("__seed").select(*block, "t_block", "q_n", "t_n")
+    work = seeds.agg(F.sum(F.col("q_n").cast("double") * F.col("t_n")).alias("met")).first()["met"] or 0
+    tasks = partitions_for(spark, work)
+    near = (
+        salted_join(seeds.drop("q_n", "t_n"), t_side.select(*target, "t___t", *[f"t_{c}" for c in coords]), target, ["q_block"], hot_rows=asked)
+        .repartition(tasks, *block)
+        .join(q_side.select(*block, "__q", *[f"q_{c}" for c in coords]).repartition(tasks, *block), block)
+        .withColumn("__d2", d2)
+    )
+    if need == 1:
+        bound = near.groupBy(*block, "__q").agg(F.min("__d2").alias("__bound"))
+    else:
+        w = W.partitionBy(*block, "__q").orderBy("__d2")
+        bound = near.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= need).groupBy(*block, "__q").agg(
+            F.when(F.count(F.lit(1)) >= need, F.max("__d2")).alias("__bound")
+        )
     point_gap = squared_sum([
         F.greatest(F.col(f"t_lo_{c}") - F.col(f"q_{c}"), F.lit(0.0), F.col(f"q_{c}") - F.col(f"t_hi_{c}"))
         for c in coords
     ])
-    point_reach = squared_sum([
-        F.greatest(F.col(f"q_{c}") - F.col(f"t_lo_{c}"), F.col(f"t_hi_{c}") - F.col(f"q_{c}")) for c in coords
-    ])
-    per_query = [*keys, "q_block", "__q"]
-    wanted = _prune(
-        q_side.repartition(tasks, *block).join(pairs.drop("q_n").repartition(tasks, *block), block)
-        .withColumn("__near", point_gap)
-        .withColumn("__far", point_reach)
-        .withColumn("__node", F.col("t_block")),
-        per_query,
-        need,
-    ).groupBy(*per_query, *[f"q_{c}" for c in coords]).agg(F.first("__r2").alias("__r2"))
-    t_side = _prefixed(t_rows, keys, "t_")
-    # A target block near everything is asked for by very many query blocks.
-    asked = max(hot_row_limit(q_in.sparkSession) // block_rows, 1)
-    shipped = salted_join(
-        pairs.select(*keys, "q_block", "t_block"), t_side, [*keys, "t_block"], ["q_block"], hot_rows=asked,
-        partitions=partitions_for(spark, sums["moved"] or 0),
-    ).drop("t_block")
-    met = wanted.join(shipped.repartition(tasks, *block), block).withColumn("__d2", d2)
-    return met.filter(F.col("__r2").isNull() | (F.col("__d2") <= F.col("__r2")))
+    within = F.col("__bound").isNull() | (point_gap <= F.col("__bound"))
+    bounded = q_side.repartition(tasks, *block).join(bound, [*block, "__q"])
+    wanted = materialize(
+        bounded.join(pairs.drop("q_n", "__seed").repartition(tasks, *block), block).filter(within)
+        .drop("q_block", *[f"t_{s}_{c}" for c in coords for s in ("lo", "hi")]),
+        "wanted",
+    )
+    # A target block near very many queries is repeated for parts of them.
+    work = wanted.agg(F.sum("t_n").alias("met")).first()["met"] or 0
+    met = salted_join(wanted.drop("t_n"), t_side, target, ["__q"], hot_rows=hot_row_limit(spark), partitions=partitions_for(spark, work))
+    return met.withColumn("__d2", d2).filter(F.col("__bound").isNull() | (F.col("__d2") <= F.col("__bound"))).drop("t_block", "__bound")

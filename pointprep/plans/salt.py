@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pointprep.plans.skew import _broadcast_left, hot_groups, hot_row_limit
 
-MAX_SALTS = 500
-
 
 def salted_join(
     left: DataFrame,
@@ -40,7 +38,7 @@ def salted_join(
         joined = left.join(right, on, how)
         return joined.withColumn(keep_salt, F.lit(0)) if keep_salt else joined
     parts = left.sparkSession.createDataFrame(
-        [(*[r[k] for k in on], min(MAX_SALTS, -(-r["__n"] // limit) + 1)) for r in hot],
+        [(*[r[k] for k in on], -(-r["__n"] // limit) + 1) for r in hot],
         T.StructType([T.StructField(k, left.schema[k].dataType) for k in on] + [T.StructField("__parts", T.IntegerType())]),
     )
     l2 = _broadcast_left(left, parts, on).withColumn("__parts", F.coalesce("__parts", F.lit(1)))

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 HOT_ROWS_CONF = "pointprep.hotRows"
 DEFAULT_HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 20_000
+#: Ranges that one round cuts a group into; rounds go on until ranges are small enough.
 MAX_RANGES = 200
+#: Rows of a table about hot groups that are sent to every task; a longer one is joined by key.
+BROADCAST_ROWS = 1_000_000
 _SKETCH_ACCURACY = 10_000
 
 
@@ -24,18 +26,9 @@ def hot_row_limit(spark: SparkSession) -> int:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
-    """The largest groups above ``hot_rows``, at most MAX_HOT_GROUPS of them.
-
-    Whatever lies beyond the first MAX_HOT_GROUPS holds at most 1/MAX_HOT_GROUPS of
-    all rows each, so the returned list is bounded and nothing skewed is missed.
-    """
+    """The groups above ``hot_rows``: at most one for every ``hot_rows`` rows of the table."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        sizes.filter(F.col("__n") > hot_rows)
-        .orderBy(F.col("__n").desc())
-        .limit(MAX_HOT_GROUPS)
-        .collect()
-    )
+    return hot_from_counts(sizes, keys, "__n", hot_rows)
 
 
 def hot_from_counts(counts: DataFrame, keys: Sequence[str], n: str, hot_rows: int) -> list:
@@ -43,12 +36,15 @@ def hot_from_counts(counts: DataFrame, keys: Sequence[str], n: str, hot_rows: in
     return (
         counts.filter(F.col(n) > hot_rows)
         .select(*keys, F.col(n).alias("__n"))
-        .orderBy(F.col("__n").desc())
-        .limit(MAX_HOT_GROUPS)
         .collect()
     )
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for key in keys:
@@ -56,7 +52,7 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def _broadcast_left(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _broadcast_left(df: DataFrame, small: DataFrame, keys: Sequence[str], rows: int = 0) -> DataFrame:
     renamed = small.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[c for c in small.columns if c not in keys],
@@ -64,7 +60,7 @@ def _broadcast_left(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> Dat
     cond = F.lit(True)
     for key in keys:
         cond = cond & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
-    return df.join(F.broadcast(renamed), cond, "left").drop(*[f"__r_{k}" for k in keys])
+    return df.join(_small(renamed, rows), cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
 def _range_column(df: DataFrame, keys: list[str], value: str, hot: list, hot_rows: int, name: str) -> DataFrame:
@@ -76,7 +72,7 @@ def _range_column(df: DataFrame, keys: list[str], value: str, hot: list, hot_row
         T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]),
     )
     probs = [(i + 1) / MAX_RANGES for i in range(MAX_RANGES - 1)]
-    inside = df.join(F.broadcast(hot_df), _same(df, hot_df, keys), "left_semi")
+    inside = df.join(_small(hot_df, len(hot)), _same(df, hot_df, keys), "left_semi")
     # One bounded sketch per hot group; any splits give exact ranks, good ones balance the tasks.
     sketches = inside.groupBy(*keys).agg(
         F.percentile_approx(value, probs, _SKETCH_ACCURACY).alias("__q")
@@ -95,7 +91,7 @@ def _range_column(df: DataFrame, keys: list[str], value: str, hot: list, hot_row
             + [T.StructField("__s", T.ArrayType(df.schema[value].dataType), True)]
         ),
     )
-    out = _broadcast_left(df, split_df, keys)
+    out = _broadcast_left(df, split_df, keys, len(splits) * MAX_RANGES)
     v = F.col(value)
     between = F.size(F.filter("__s", lambda s: s < v)) * 2
     number = between + F.array_contains("__s", v).cast("int")
@@ -108,10 +104,10 @@ def cut_hot_groups(
     """Cut every hot group into ordered ranges.
 
     Returns the frame with range columns, the names of those columns and the hot
-    groups found at the first level. Ranges are refined over ``order`` one column at
-    a time, and only ranges of a single value are refined further, so the
-    lexicographic range order agrees with the row order. ``hot`` hands in hot groups
-    that are already known.
+    groups found at the first level. Ranges between split values are cut again by the same
+    column until none is hot; ranges of a single value are then refined by the next column of
+    ``order``, so the lexicographic range order agrees with the row order. ``hot`` hands in hot
+    groups that are already known.
     """
     limit = hot_rows if hot_rows is not None else hot_row_limit(df.sparkSession)
     if hot is None:
@@ -121,15 +117,17 @@ def cut_hot_groups(
     cur = df
     part = list(keys)
     for i, value in enumerate(order):
-        if not hot:
+        single = F.lit(False)
+        while hot:
+            name = f"__b{len(levels)}"
+            cur = _range_column(cur, part, value, hot, limit, name)
+            levels.append(name)
+            part = part + [name]
+            single = single | (F.col(name) % 2 == 1)
+            hot = hot_groups(cur.filter(~single), part, limit)
+        if not levels or i + 1 == len(order):
             break
-        name = f"__b{i}"
-        cur = _range_column(cur, part, value, hot, limit, name)
-        levels.append(name)
-        part = part + [name]
-        if i + 1 < len(order):
-            odd = cur.filter(F.col(name) % 2 == 1)
-            hot = hot_groups(odd, part, limit)
+        hot = hot_groups(cur.filter(single), part, limit)
     return cur, levels, first
 
 
@@ -167,10 +165,11 @@ def ranked(
         [tuple(r[k] for k in keys) for r in hot],
         T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys]),
     )
-    inside = cur.join(F.broadcast(hot_df), _same(cur, hot_df, keys), "left_semi")
-    # A few hundred ranges per hot group at most, so this side is bounded.
+    inside = cur.join(_small(hot_df, len(hot)), _same(cur, hot_df, keys), "left_semi")
     offsets = _range_offsets(inside, keys, levels).drop("__cnt")
-    cur = _broadcast_left(cur, offsets, keys + levels)
+    limit_rows = hot_rows if hot_rows is not None else hot_row_limit(spark)
+    ranges = sum(max(MAX_RANGES, 4 * r["__n"] // max(limit_rows, 1)) * 2 for r in hot)
+    cur = _broadcast_left(cur, offsets, keys + levels, ranges)
     cur = cur.withColumn("__off", F.coalesce("__off", F.lit(0)))
     if bound is not None:
         cur = cur.filter(F.col("__off") < bound)
@@ -200,9 +199,9 @@ def exact_percentiles(
 
     key_fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
     hot_df = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], T.StructType(key_fields))
-    cold = cur.join(F.broadcast(hot_df), _same(cur, hot_df, keys), "left_anti").groupBy(*keys).agg(*aggs)
+    cold = cur.join(_small(hot_df, len(hot)), _same(cur, hot_df, keys), "left_anti").groupBy(*keys).agg(*aggs)
 
-    inside = cur.join(F.broadcast(hot_df), _same(cur, hot_df, keys), "left_semi")
+    inside = cur.join(_small(hot_df, len(hot)), _same(cur, hot_df, keys), "left_semi")
     targets = []
     for r in hot:
         for n in names:

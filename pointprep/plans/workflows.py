@@ -18,6 +18,8 @@ from pointprep.plans.knn import knn_join
 from pointprep.session import materialize
 from pointprep.sources.tables import with_default
 
+#: Cases in a list that is sent to every task.
+CASE_LIST = 1_000_000
 TARGETS = {"vol_0": "ux", "vol_1": "uy", "vol_2": "uz", "vol_3": "p_train", "vol_4": "nut"}
 POINT_INPUTS = {
     "pt_sdf": "sdf", "pt_sdfg_0": "gx", "pt_sdfg_1": "gy", "pt_sdfg_2": "gz", "pt_cm": "curv_mean", "pt_cg": "curv_gauss",
@@ -39,8 +41,13 @@ def curate(
     n_test: int = 5,
     seed: int = 42,
     drop_anomalies: bool = True,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifest, all strata, verdicts): buildings per case are clusters of its face centres."""
+    load_errors: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(manifest, all strata, verdicts, rejects): buildings per case are clusters of its face centres.
+
+    ``rejects`` has case_id, stage, reason and n rows for every case that does not get into the strata:
+    anomalies, and cases of ``load_errors`` (case_id and reason).
+    """
     table = materialize(stats.case_stats(points), "cases")
     buildings = cluster.dbscan_count(
         cluster.dbscan(face_centers, eps, min_samples, row_id="face_id"), table, row_id="face_id"
@@ -50,7 +57,12 @@ def curate(
     counted = materialize(kept.select("case_id", "n_volume", "n_surface").join(buildings, "case_id"), "kept")
     placed = materialize(strata.add_strata(counted), "strata")
     chosen = strata.stratified_split(placed, n_train, n_val, n_test, seed)
-    return chosen, placed, verdicts
+    n = (F.col("n_volume") + F.col("n_surface")).alias("n")
+    dropped = table.join(placed.select("case_id"), "case_id", "left_anti").join(verdicts.select("case_id", "rule"), "case_id", "left")
+    rejects = dropped.select("case_id", F.lit("anomaly").alias("stage"), F.col("rule").alias("reason"), n)
+    if load_errors is not None:
+        rejects = rejects.unionByName(load_errors.select("case_id", F.lit("load").alias("stage"), "reason", F.lit(0).cast("bigint").alias("n")))
+    return chosen, placed, verdicts, rejects
 
 
 @dataclass(frozen=True)
@@ -63,22 +75,42 @@ class Prepared:
     axis_scales: DataFrame
     pools: DataFrame
     query_counts: DataFrame
+    rejects: DataFrame
+
+
+def judge_features(points: DataFrame, vertices: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Every case of the manifest with its rows ``n`` and the reason why no features can be made, or NULL."""
+    rows = points.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_surface")).alias("__volume"))
+    meshes = vertices.select("case_id", F.lit(True).alias("__mesh")).distinct()
+    reason = (
+        F.when(F.col("n").isNull(), "no_points").when(F.col("__volume") == 0, "no_volume").when(F.col("__mesh").isNull(), "no_mesh")
+    )
+    return manifest.select("case_id").distinct().join(rows, "case_id", "left").join(meshes, "case_id", "left").select(
+        "case_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), reason.alias("reason")
+    )
+
+
+def of_cases(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """Rows of the listed cases; a short list goes to the rows, so that these are not shuffled."""
+    listed = cases.select("case_id").distinct()
+    return rows.join(F.broadcast(listed) if listed.count() <= CASE_LIST else listed, "case_id", "left_semi")
 
 
 def clean_points(points: DataFrame, vertices: DataFrame, faces: DataFrame, g: float = S.GRAVITY) -> DataFrame:
     """Stored sign turned, surface distance and gradient filled, curvature attached, pressure detrended.
 
-    Expects sdf, gx, gy, gz as stored, and NULL or anything on surface rows.
+    Expects sdf, gx, gy, gz as stored, and NULL or anything on surface rows. Every row comes out: what a
+    case without volume rows or without vertices lacks is NULL.
     """
     grad = ["gx", "gy", "gz"]
     turned = points.withColumns({c: -F.col(c) for c in ("sdf", *grad)})
     volume = turned.filter(~F.col("is_surface"))
     near = neighbours.surface_gradient(turned, grad)
-    surface = turned.filter("is_surface").drop("sdf", *grad).join(near.drop("volume_id"), ["case_id", "point_id"])
+    surface = turned.filter("is_surface").drop("sdf", *grad).join(near.drop("volume_id"), ["case_id", "point_id"], "left")
     both = with_default(volume.unionByName(surface), "area", 1.0)
     curv = materialize(mesh.vertex_curvature(vertices, faces), "curvature")
     at = mesh.point_curvature(points, vertices, curv).select("case_id", "point_id", "curv_mean", "curv_gauss")
-    return both.join(at, ["case_id", "point_id"]).withColumn("p_train", S.detrend("p", "z", g))
+    return both.join(at, ["case_id", "point_id"], "left").withColumn("p_train", S.detrend("p", "z", g))
 
 
 def featurise(
@@ -96,16 +128,36 @@ def featurise(
 ) -> Prepared:
     """All features of the manifest's cases; statistics come from its train split only.
 
-    ``slots`` is the leaf count per case, by default that of the case's stratum.
+    ``slots`` is the leaf count per case, by default that of the case's stratum. Nothing is lost in
+    silence: ``rejects`` has case_id, stage, reason and n rows. A case without points, volume rows,
+    vertices, usable distances or with more populated bins than slots is left out whole; rows whose
+    distance lies in no bin are counted, stay in the points and only make no leaves.
     """
+    judged = materialize(judge_features(points, vertices, manifest), "judged")
     chosen = batching.stratum_params(manifest.select("case_id", "sub_bin", "split"))
     slot_count = F.col("leaves") if slots is None else slots
-    mine = points.join(chosen.select("case_id"), "case_id", "left_semi")
-    cloud = materialize(clean_points(mine, vertices, faces), "cloud")
+    raw = of_cases(points, judged.filter("reason is null"))
+    cloud = materialize(clean_points(raw, vertices, faces), "cloud")
 
-    binned = materialize(binning.with_bins(cloud).filter(F.col("bin").isNotNull()), "binned")
-    counts = binning.bin_counts(binned).join(chosen.select("case_id", "leaves"), "case_id")
+    marked = materialize(binning.with_bins(cloud), "binned")
+    counts = binning.bin_counts(marked).join(chosen.select("case_id", "leaves"), "case_id")
     alloc = materialize(binning.bin_allocation(counts, slot_count, alpha=alpha), "allocation")
+    unbinned = marked.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bin").isNull()).alias("__out"))
+    fits = alloc.groupBy("case_id").agg(F.min("feasible").alias("__fits"))
+    later = materialize(unbinned.join(fits, "case_id", "left").select(
+        "case_id", "n", "__out", F.when(F.col("__fits").isNull(), "no_usable_distance").when(~F.col("__fits"), "infeasible_slots").alias("reason")
+    ), "later")
+    rejects = judged.filter("reason is not null").select("case_id", F.lit("case").alias("stage"), "reason", "n").unionByName(
+        later.filter("reason is not null").select("case_id", F.lit("case").alias("stage"), "reason", "n")
+    ).unionByName(
+        later.filter("reason is null and __out > 0").select(
+            "case_id", F.lit("rows").alias("stage"), F.lit("distance_out_of_range").alias("reason"), F.col("__out").alias("n")
+        )
+    )
+    good = later.filter("reason is null").select("case_id")
+    chosen, alloc = of_cases(chosen, good), of_cases(alloc, good)
+    marked = of_cases(marked, good)
+    cloud, binned = marked.drop("bin"), marked.filter(F.col("bin").isNotNull())
     leaves = materialize(_leaves(binned, alloc, max_iter), "leaves")
 
     payload = ["x", "y", "z", "sdf", "gx", "gy", "gz", "curv_mean", "curv_gauss", "is_surface"]
@@ -122,12 +174,12 @@ def featurise(
         .join(rays, by_leaf),
         "features",
     )
-    owner = neighbours.nearest_centroid(cloud, leaves).select("case_id", "point_id", "leaf_id")
-    located = cloud.join(owner, ["case_id", "point_id"])
+    rest = [c for c in cloud.columns if c not in ("case_id", "point_id", "x", "y", "z")]
+    located = neighbours.nearest_centroid(cloud, leaves, carry=rest).drop("dist")
 
     train = chosen.filter("split = 'train'").select("case_id")
-    train_points = cloud.join(train, "case_id", "left_semi")
-    train_leaves = features.join(train, "case_id", "left_semi")
+    train_points = of_cases(cloud, train)
+    train_leaves = of_cases(features, train)
     volume = F.col("is_surface") == False  # noqa: E712
     point_channels = {c: F.when(volume, F.col(v)) for c, v in TARGETS.items()}
     point_channels["surf"] = F.when(~volume, F.col("p_train"))
@@ -160,7 +212,7 @@ def featurise(
     per_case = cloud.groupBy("case_id").agg(F.count_if(volume).alias("__nv"), F.count_if(~volume).alias("__ns")).select(
         "case_id", n_vol.alias("n_query_vol"), n_surf.alias("n_query_surf")
     )
-    return Prepared(final_points, final_leaves, edges, around, norms, scales, pools, per_case)
+    return Prepared(final_points, final_leaves, edges, around, norms, scales, pools, per_case, rejects)
 
 
 def _leaves(binned: DataFrame, alloc: DataFrame, max_iter: int) -> DataFrame:

@@ -108,8 +108,9 @@ def slice_stats(spark, sf_dir):
     select {big('count(*) filter (where p and t)')} n_both, {big('count(*) filter (where p and not t)')} n_pred_only,
            {big('count(*) filter (where t and not p)')} n_target_only
     from (select a.id is not null p, b.id is not null t
-          from (select distinct o_custkey id from orders) a full outer join (select c_custkey id from customer) b on a.id = b.id)"""))
+          from (select distinct o_custkey id from orders where o_orderstatus = 'F') a full outer join (select c_custkey id from customer where c_acctbal > 0) b on a.id = b.id)"""))
 def pred_coverage(spark, sf_dir):
-    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
-    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    """Customers with finished orders stand in for predictions, those with a positive balance for targets."""
+    ordered = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return quality.pred_coverage(ordered, known, ["id"])

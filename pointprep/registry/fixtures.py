@@ -27,8 +27,9 @@ POINT_FIELDS = {
     "gx": "-(y/100e0)",
     "gy": "-(x/500e0)",
     "gz": "-(z/24e0)",
-    "ux": "x/10e0",
-    "uy": "y/10e0",
+    # A few cases are off in one or two fields, so that outlier rules have something to find.
+    "ux": "x/10e0*(case when case_id % 47 = 5 then 40e0 else 1e0 end)",
+    "uy": "y/10e0*(case when case_id % 47 in (5, 9) then 30e0 else 1e0 end)",
     "uz": "z - 12e0",
     "p": "x*y/100e0",
     "nut": "(x+1e0)/(y+50e0)",

@@ -215,7 +215,10 @@ def graph_edges(spark, sf_dir):
     select c.*, row_number() over (partition by case_id, leaf_id order by first_slot) rn from (
       select case_id, leaf_id, key_id, min(i) first_slot from (
         select case_id, leaf_id, g.i, cast(floor({U("'other'", "case_id", "'2'", "leaf_id", "g.i")} * n) as bigint) key_id
-        from f_leafn, range(0, {N_RANDOM + 8}) g(i)) group by 1, 2, 3) c
+        from f_leafn, range(0, {N_RANDOM + 8}) g(i)
+        union all select l.case_id, l.leaf_id, g.i + {N_RANDOM + 8},
+          cast((floor({U("'fill'", "l.case_id", "'2'", "l.leaf_id")} * n) + g.i * {N.STEPS[0]}) as bigint) % n
+        from f_leafn l, range(0, 1000) g(i) where g.i < n) group by 1, 2, 3) c
     where not exists (select 1 from f_self s where s.case_id = c.case_id and s.leaf_id = c.leaf_id and s.nbr_leaf_id = c.key_id))
     where rn <= {N_RANDOM}"""))
 def graph_edges_excl(spark, sf_dir):

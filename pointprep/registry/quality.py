@@ -70,25 +70,28 @@ def manifest_issues(spark, sf_dir):
 
 
 PROFILE = ["x", "y", "z", "area", "nut"]
+# Readings that have gone wrong.
+_ODD = "case when y < 3e0 then cast('NaN' as double) when y > 98e0 then cast('Infinity' as double) else nut end"
 
 
 @query("column_profile", sql(" union all ".join(
     f"""select '{c}' as column_name, {big('count(*)')} n, {big(f'count(*) filter (where {c} is null)')} n_null, {big(f'count(*) filter (where isnan({c}))')} n_nan,
-        {big(f'count(*) filter (where isinf({c}))')} n_inf, {R(f'min({c})')} low, {R(f'max({c})')} high from f_points""" for c in PROFILE)))
+        {big(f'count(*) filter (where isinf({c}))')} n_inf, {R(f'min({c}) filter (where isfinite({c}))')} low, {R(f'max({c}) filter (where isfinite({c}))')} high from (select x, y, z, area, {_ODD} nut from f_points)""" for c in PROFILE)))
 def column_profile(spark, sf_dir):
-    out = Q.column_profile(points(spark, sf_dir), PROFILE)
+    out = Q.column_profile(points(spark, sf_dir).withColumn("nut", F.expr(_ODD)), PROFILE)
     return out.select("column_name", "n", "n_null", "n_nan", "n_inf", r("low").alias("low"), r("high").alias("high"))
 
 
 @query("dq_status", sql(f"""
-    with warn as (select count(*) n from (select distinct split, 1 from f_split where n_surface > n_volume)),
-    odd as (select count(*) n from (select case_id from f_points group by 1 having max(sdf) >= 100e0))
+    with warn as (select (select count(distinct split) from f_split where n_surface > n_volume)
+        + (select count(*) from (values ('train'), ('val'), ('test')) v(split) where v.split not in (select split from f_split)) n),
+    odd as (select count(*) n from (select case_id from f_points group by 1 having max(sdf) >= 220e0))
     select {big('odd.n')} failures, {big('warn.n')} warnings, {big('case when odd.n > 0 then 1 when warn.n > 0 then 2 else 0 end')} status from warn, odd"""))
 def dq_status(spark, sf_dir):
     from pointprep.sources.tables import judge_cases
 
     odd = F.when(F.col("n_surface") <= F.col("n_volume"), F.col("sub_bin")).otherwise(F.lit("other"))
     warnings = Q.manifest_issues(manifest_rows(spark, sf_dir).withColumn("sub_bin", odd))
-    judged = judge_cases(points(spark, sf_dir), "case_id", "is_surface", "sdf", 100.0)
+    judged = judge_cases(points(spark, sf_dir), "case_id", "is_surface", "sdf", 220.0)
     failures = judged.filter("reason = 'sdf_out_of_range'").withColumn("level", F.lit("failure"))
     return Q.dq_status(warnings, failures)

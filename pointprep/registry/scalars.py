@@ -12,7 +12,7 @@ from pointprep.registry.core import query
 from pointprep.registry.fixtures import R, big, points, predictions, r, sql, table
 from pointprep.sources import tables
 
-MAX_RANGE = 100.0
+MAX_RANGE = 220.0
 
 
 @query("scan_points", sql(f"""
@@ -54,11 +54,6 @@ def load_report(spark, sf_dir):
     return tables.load_report(judged, "case_id")
 
 
-@query("file_inventory")
-def file_inventory(spark, sf_dir):
-    return tables.file_inventory(spark, sf_dir, "*.parquet")
-
-
 @query("sdf_fix", sql(f"""
     select point_id, {R('-sdf_raw')} sdf, {R('-gx_raw')} gx, {R('-gy_raw')} gy, {R('-gz_raw')} gz
     from f_points where not is_surface"""))

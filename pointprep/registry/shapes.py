@@ -82,7 +82,7 @@ def kmeans_rounds(spark, sf_dir):
 @query("binned_kmeans")
 def binned_kmeans(spark, sf_dir):
     p = binned(spark, sf_dir).select("case_id", "bin", "point_id", "x", "y", "z")
-    out = C.binned_kmeans(p, materialize(allocation(spark, sf_dir), "allocation"), max_iter=30, tol=1.0)
+    out = C.binned_kmeans(p, materialize(allocation(spark, sf_dir), "allocation"), max_iter=30, tol=1e-3)
     return out.select("case_id", "bin", "cluster", *[r(c).alias(c) for c in "xyz"])
 
 

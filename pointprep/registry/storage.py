@@ -63,5 +63,5 @@ def curated_cases(spark, sf_dir):
     """The curation job with clusters of the points' own XY as buildings."""
     p = points(spark, sf_dir)
     centres = p.select("case_id", F.col("point_id").alias("face_id"), "x", "y")
-    chosen, _, _ = workflows.curate(p, centres, EPS, MIN_SAMPLES, N_TRAIN, N_VAL, N_TEST)
+    chosen, _, _, _ = workflows.curate(p, centres, EPS, MIN_SAMPLES, N_TRAIN, N_VAL, N_TEST)
     return chosen.select("case_id", "sub_bin", "n_buildings", "n_volume", "n_surface", "split")

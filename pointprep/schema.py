@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType,
     BooleanType,
     DoubleType,
     LongType,
@@ -18,19 +17,14 @@ def _table(**columns) -> StructType:
 
 
 _L, _D, _S, _B = LongType(), DoubleType(), StringType(), BooleanType()
-VECTOR = _table(x=_D, y=_D, z=_D)
 
 POINTS = _table(
-    case_id=_S, point_id=_L, is_surface=_B, x=_D, y=_D, z=_D, sdf=_D, sdf_grad=VECTOR,
+    case_id=_S, point_id=_L, is_surface=_B, x=_D, y=_D, z=_D, sdf=_D, gx=_D, gy=_D, gz=_D,
     ux=_D, uy=_D, uz=_D, p=_D, nut=_D, wss_x=_D, wss_y=_D, wss_z=_D, area=_D,
 )
 VERTICES = _table(case_id=_S, vertex_id=_L, x=_D, y=_D, z=_D)
 FACES = _table(case_id=_S, face_id=_L, v0=_L, v1=_L, v2=_L)
 FACE_CENTERS = _table(case_id=_S, face_id=_L, x=_D, y=_D, z=_D)
-CENTROIDS = _table(
-    case_id=_S, leaf_id=_L, bin_id=_L, x=_D, y=_D, z=_D, sdf=_D, sdf_grad=VECTOR,
-    curv_mean=_D, curv_gauss=_D, stats=ArrayType(_D), pbd=ArrayType(_D),
-)
 LEAF_POINTS = _table(case_id=_S, leaf_id=_L, rank=_L, point_id=_L, dist=_D)
 LEAF_LEAVES = _table(case_id=_S, leaf_id=_L, rank=_L, nbr_leaf_id=_L, dist=_D)
 NORM_STATS = _table(feature=_S, channel=_L, n=_L, mean=_D, std=_D)
@@ -44,17 +38,4 @@ FEATURE_GROUPS = {
     "vol": 5, "surf": 1, "pt_sdf": 1, "pt_sdfg": 3, "pt_cm": 1, "pt_cg": 1,
     "leaf_sdf": 1, "leaf_sdfg": 3, "leaf_cm": 1, "leaf_cg": 1, "leaf_stats": 21,
 }
-# Columns a raw case must bring, and those of a prepared case.
-RAW_REQUIRED = (
-    "volume_fields", "surface_fields", "volume_pos", "surface_pos", "volume_sdf",
-    "volume_sdf_grad", "stl_vertices", "stl_faces", "stl_centers",
-)
-PREPARED_REQUIRED = (
-    "leaf_centroid_norm", "leaf_stats", "leaf_sdf", "leaf_sdf_grad", "leaf_curvature_mean",
-    "leaf_curvature_gauss", "leaf_pbd", "leaf_bin_id", "latent_point_top256", "latent_neighbor_top64",
-    "point_pos_norm", "point_sdf", "point_sdf_grad", "point_curvature_mean", "point_curvature_gauss",
-    "point_is_surface", "point_leaf_id", "point_y_volume", "point_y_surface", "vol_reorder_idx",
-    "surf_reorder_idx", "encoder_pool", "vol_log_sample_weight", "rope_cos", "rope_sin",
-    "bigbird_fixed", "n_query_vol", "n_query_surf", "case_name", "sub_bin", "L",
-)
 FORBIDDEN_LEFTOVER = ("original_sdf_volume",)

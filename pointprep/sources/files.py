@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pointprep.schema import FEATURE_GROUPS
@@ -13,12 +12,15 @@ MANIFEST_COLUMNS = ("case_name", "sub_bin", "n_buildings", "n_volume", "n_surfac
 
 
 def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Read a table written earlier, or compute, write and read it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.parquet(path)
-        return spark.read.parquet(path)
+    """Read a table written earlier, or compute, write and read it.
+
+    Only a folder whose writer has finished is reused; what a job that died left is replaced.
+    """
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_manifest(split: DataFrame, path: str, key: str = "case_id", summary: DataFrame | None = None) -> None:

@@ -67,13 +67,14 @@ def load_report(judged: DataFrame, key: str, first: int = 10, hot_rows: int | No
     return counts.join(named, "reason", "left").withColumn("first_cases", F.coalesce("first_cases", F.lit("")))
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Number and sizes of files; the content column is pruned, so nothing is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
-    return files.agg(
-        F.count(F.lit(1)).alias("n_files"),
-        F.sum("length").alias("total_bytes"),
-        F.min("length").alias("min_bytes"),
-        F.max("length").alias("max_bytes"),
-        F.avg("length").alias("mean_bytes"),
-    )
+def unreadable_files(spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet") -> DataFrame:
+    """Files of a folder that give no row when corrupt files are skipped, with a reason.
+
+    ``scan_cases`` with ``skip_corrupt`` leaves them out; this is their error table.
+    """
+    there = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+    read = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("pathGlobFilter", pattern).parquet(path)
+    seen = read.select(F.input_file_name().alias("path")).distinct()
+    # Both name the same files, one with and one without the empty authority of a local path.
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    return there.withColumn("path", plain).join(seen.withColumn("path", plain), "path", "left_anti").withColumn("reason", F.lit("unreadable_or_empty"))

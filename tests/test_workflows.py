@@ -44,9 +44,10 @@ def test_curate_featurise_sample_evaluate(spark, city):
     points, vertices, faces, centers = city
     numbered = points.withColumn("case_id", F.regexp_extract("case_id", "([0-9]+)", 1).cast("bigint"))
     tables = [d.withColumn("case_id", F.regexp_extract("case_id", "([0-9]+)", 1).cast("bigint")) for d in (vertices, faces, centers)]
-    manifest, strata, verdicts = workflows.curate(numbered, tables[2], n_train=2, n_val=1, n_test=1)
+    manifest, strata, verdicts, dropped = workflows.curate(numbered, tables[2], n_train=2, n_val=1, n_test=1)
     assert {r["case_id"] for r in verdicts.filter("is_anomaly").collect()} == {5}
     assert {r["n_buildings"] for r in strata.collect()} == {2}
+    assert [tuple(r) for r in dropped.collect()] == [(5, "anomaly", "concordance_2", 80)]
     assert manifest.count() == 5 and {r["sub_bin"] for r in manifest.collect()} == {"0-19_easy", "0-19_hard"}
 
     out = workflows.featurise(
@@ -84,3 +85,22 @@ def test_curate_featurise_sample_evaluate(spark, city):
     assert joined.agg(F.max(F.abs(F.col("pred") - F.col("p")))).first()[0] < 1e-9
     assert errors.agg(F.max("rel_l2")).first()[0] == 0.0
     assert median.count() == 1 and {r["metric"] for r in summary.collect()} == {"p_vol", "overall"}
+
+
+def test_no_case_is_lost_in_silence(spark, city):
+    points, vertices, faces, _ = city
+    number = lambda d: d.withColumn("case_id", F.regexp_extract("case_id", "([0-9]+)", 1).cast("bigint"))
+    points, vertices, faces = number(points), number(vertices), number(faces)
+    far = (F.col("case_id") == 3) & (F.col("point_id") % 4 == 1)
+    points = points.filter("case_id != 1 or is_surface").withColumn("sdf", F.when(far, -2000.0).otherwise(F.col("sdf")))
+    manifest = spark.createDataFrame([(c, "0-19_easy", "train") for c in (0, 1, 2, 3, 9)], "case_id bigint, sub_bin string, split string")
+    out = workflows.featurise(
+        points, vertices.filter("case_id != 2"), faces.filter("case_id != 2"), manifest, k_points=4, k_leaves=2, slots=F.lit(8), max_iter=2, n_query=10
+    )
+    rejects = {(r["case_id"], r["stage"], r["reason"]): r["n"] for r in out.rejects.collect()}
+    assert rejects == {
+        (1, "case", "no_volume"): 20, (2, "case", "no_mesh"): 80, (9, "case", "no_points"): 0, (3, "rows", "distance_out_of_range"): 20,
+    }
+    kept = out.points.groupBy("case_id").count().collect()
+    assert {r["case_id"]: r["count"] for r in kept} == {0: 80, 3: 80}
+    assert sum(r["count"] for r in kept) + sum(n for (_, s, _), n in rejects.items() if s == "case") == points.filter("case_id in (0, 1, 2, 3)").count()
