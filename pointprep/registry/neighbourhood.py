@@ -8,7 +8,7 @@ from pointprep.functions import encode
 from pointprep.operators import neighbours as N
 from pointprep.plans.knn import knn_join
 from pointprep.registry.core import query
-from pointprep.registry.fixtures import R, U, big, define, leaves, points, r, sql
+from pointprep.registry.fixtures import R, U, big, define, leaves, points, r, sql, table
 from pointprep.registry.curation import train_leaves
 from pointprep.operators.stats import axis_scale
 from pointprep.session import materialize
@@ -56,6 +56,27 @@ def knn_points(spark, sf_dir):
     return out.select("case_id", "leaf_id", "rank", "point_id", r("dist").alias("dist"))
 
 
+LINES = {
+    "case_id": "l_suppkey",
+    "row_id": "((l_orderkey*8 + l_linenumber)*20001 + l_partkey)*1001 + l_suppkey",
+    "x": "l_extendedprice/1e3",
+    "y": "l_quantity",
+    "z": "l_discount*1e2",
+}
+define("f_lines", "select " + ", ".join(f"{e} as {n}" for n, e in LINES.items()) + " from lineitem")
+
+
+@query("knn_large_groups", sql(f"""select case_id, row_id, "rank", other, {R('sqrt(d2)')} dist from (
+    select a.case_id, a.row_id, b.row_id as other, d2, row_number() over (partition by a.row_id order by d2, b.row_id) as "rank"
+    from f_lines a join f_lines b on a.case_id = b.case_id and a.row_id <> b.row_id,
+      lateral (select ((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)) + (b.z-a.z)*(b.z-a.z) as d2)) where "rank" <= 3"""))
+def knn_large_groups(spark, sf_dir):
+    """Some hundred rows per supplier: the block search with its default sizes."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in LINES.items()])
+    out = knn_join(rows, rows, 3, query_id="row_id", target_id="row_id", exclude_same_id=True, neighbour_name="other")
+    return out.select("case_id", "row_id", "rank", "other", r("dist").alias("dist"))
+
+
 @query("knn_self", sql(f"""select case_id, leaf_id, "rank", nbr_leaf_id, {R('sqrt(d2)')} dist from f_self"""))
 def knn_self(spark, sf_dir):
     return self_edges(spark, sf_dir).select("case_id", "leaf_id", "rank", "nbr_leaf_id", r("dist").alias("dist"))

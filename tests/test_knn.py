@@ -72,3 +72,19 @@ def test_no_cross_join_and_no_extra_shuffle_of_pairs(spark):
     plan = out._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("k,n_targets,n_queries", [(1, 3_000, 20_000), (64, 40_000, 800)])
+def test_few_of_all_pairs_are_formed(spark, monkeypatch, k, n_targets, n_queries):
+    formed = []
+    plain = knn.partitions_for
+    monkeypatch.setattr(knn, "partitions_for", lambda s, rows: (formed.append(rows), plain(s, rows))[1])
+
+    def uniform(n, name, seed):
+        return knn.materialize(spark.range(n).select(
+            F.lit("a").alias("case_id"), F.col("id").alias(name), *[F.rand(seed + i).alias(c) for i, c in enumerate("xyz")]
+        ))
+
+    out = knn_join(uniform(n_queries, "leaf_id", 1), uniform(n_targets, "point_id", 9), k)
+    assert out.count() == k * n_queries
+    assert sum(formed) < 0.05 * n_targets * n_queries
