@@ -132,25 +132,53 @@ def sort_anchors(anchors: DataFrame, settled: Column) -> DataFrame:
     return materialize(per, "work")
 
 
-def read_work(column, at: int) -> dict[tuple[int, int], int]:
-    """A row's list as a dict from (gram, context) to kind."""
-    value = column[at].as_py()
-    return {(w["gram"], w["context"]): w["kind"] for w in value} if value else {}
+def work_of(column) -> Callable[[int], dict[tuple[int, int], int]]:
+    """Access to a batch's work lists: for a row number the dict from (gram, context) to kind."""
+    ends, there = column.offsets.to_pylist(), column.is_valid().to_pylist()
+    grams, contexts, kinds = (column.values.field(f).to_pylist() for f in ("gram", "context", "kind"))
 
+    def read(i: int) -> dict[tuple[int, int], int]:
+        if not there[i]:
+            return {}
+        s = slice(ends[i], ends[i + 1])
+        return dict(zip(zip(grams[s], contexts[s]), kinds[s]))
 
-def compare_by_hashes(contexts: DataFrame, repeats: Column) -> DataFrame:
+    return read
+
+
+def crowded_work(work: DataFrame) -> DataFrame:
+    """The work lists of texts with contexts of crowded grams, cut down to these."""
+    hot = F.filter("work", lambda w: w["kind"].bitwiseAND(HOT) > 0)
+    return work.select("key", hot.alias("work")).filter(F.size("work") > 0)
+
+
+def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece: int) -> DataFrame:
     """For contexts of crowded grams, which of their windows repeat.
 
     ``contexts`` has ``key``, ``gram``, ``context``, ``offset`` of the first window relative to the anchor and
-    ``hashes``. A window is one row here, so that a crowded gram spreads over all tasks.
-    ``repeats`` judges from ``key``, ``least`` and ``n`` of all windows with the hash.
-    Returns ``key``, ``gram``, ``context`` and ``spans``, pairs of first and last offset.
+    ``hashes``; it is read several times. Windows are compared ``piece`` at a time, then one by one where
+    the whole piece does not repeat, so that a crowded gram spreads over all tasks and few rows come
+    of it. A piece that repeats stays as one reference for the others. ``repeats`` judges from ``key``,
+    ``least`` and ``n`` of all that is equal. Returns ``key``, ``gram``, ``context`` and ``spans``, pairs of first and last offset.
     """
-    single = contexts.select("key", "gram", "context", "offset", F.posexplode("hashes").alias("i", "h")).withColumn("at", F.col("offset") + F.col("i")).drop("offset", "i")
-    least = single.groupBy("gram", "at", "h").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = single.join(least, ["gram", "at", "h"]).filter(repeats)
-    return found.groupBy("key", "gram", "context").agg(
-        F.transform(F.collect_set("at"), lambda a: F.array(a, a)).alias("spans")
+    last = F.col("offset") + F.size("hashes") - 1
+    cut = contexts.withColumn("i", F.explode(F.sequence(F.floor(F.col("offset") / piece), F.floor(last / piece))))
+    cut = cut.withColumns({"a": F.greatest(F.col("i") * piece, F.col("offset")), "b": F.least(F.col("i") * piece + piece - 1, last)})
+    cut = cut.withColumn("part", F.slice("hashes", F.col("a").cast("int") - F.col("offset") + 1, (F.col("b") - F.col("a") + 1).cast("int")))
+    pieces = cut.select("key", "gram", "context", "a", "b", "part", F.xxhash64("part").alias("h"))
+    same = ["gram", "a", "b", "h"]
+    least = pieces.groupBy(*same).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    judged = materialize(pieces.join(least, same).withColumn("whole", repeats()).drop("h", "n"), "pieces")
+    whole = judged.filter("whole").select("key", "gram", "context", "a", "b")
+    single = judged.filter(~F.col("whole") | (F.col("key") == F.col("least"))).select(
+        "key", "gram", "context", "whole", F.posexplode("part").alias("i", "h"), "a"
+    ).withColumn("at", F.col("a") + F.col("i")).drop("a", "i")
+    same = ["gram", "at", "h"]
+    # A piece known to repeat counts for two.
+    least = single.groupBy(*same).agg(F.min("key").alias("least"), F.sum(F.col("whole").cast("int") + 1).alias("n")).filter("n > 1")
+    found = single.filter(~F.col("whole")).join(least, same).filter(repeats()).select("key", "gram", "context", F.col("at").alias("a"), F.col("at").alias("b"))
+    return whole.unionAll(found).groupBy("key", "gram", "context").agg(
+        F.collect_set(F.array(F.col("a").cast("int"), F.col("b").cast("int"))).alias("spans")
     )
 
 

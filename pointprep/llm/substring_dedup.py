@@ -77,23 +77,27 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     some_hot = any(r["k"] & an.HOT for r in kinds)
     dealt = docs.repartition("key")
 
-    def passages(batches: Iterator[dict]):
+    def passages(batches: Iterator[dict], hot: int):
         for batch in batches:
+            work_at = an.work_of(batch["work"])
             for i, k in enumerate(batch["key"].to_pylist()):
-                todo = an.read_work(batch["work"], i)
-                if not any(v & an.SHIP for v in todo.values()):
+                todo = work_at(i)
+                todo = {p for p, v in todo.items() if v & an.SHIP and v & an.HOT == hot}
+                if not todo:
                     continue
                 found = an.find_anchors(word_symbols(batch["text"][i].as_py()), window, gram)
                 if found is None:
                     continue
                 for j, pair in enumerate(zip(found.gram.tolist(), found.context.tolist())):
-                    if (kind := todo.pop(pair, 0)) & an.SHIP:
-                        yield (*pair, k, bool(kind & an.HOT), int(found.first[j] - found.position[j]), found.window_hashes(j))
+                    if pair in todo:
+                        todo.discard(pair)
+                        yield (*pair, k, int(found.first[j] - found.position[j]), found.window_hashes(j))
 
-    shipped = arrow_map(
-        dealt.join(work, "key", "left").select("key", "text", "work"), passages,
-        "gram long, context long, key long, hot boolean, offset int, hashes array<long>", out_rows=5_000,
-    )
+    def shipped(rows: DataFrame, hot: int) -> DataFrame:
+        return arrow_map(
+            rows.select("key", "text", "work"), lambda batches: passages(batches, hot),
+            "gram long, context long, key long, offset int, hashes array<long>", out_rows=5_000,
+        )
 
     def parse(batches: Iterator[dict]):
         gram_now, held, names = None, [], []
@@ -113,10 +117,11 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                 names.append((k, c))
         yield from flush()
 
-    blocks = shipped.filter("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "key", "context")
+    blocks = shipped(dealt.join(work, "key", "left"), 0).repartition("gram").sortWithinPartitions("gram", "key", "context")
     factors = arrow_map(blocks, parse, "key long, gram long, context long, spans array<array<int>>")
     if some_hot:
-        factors = factors.unionByName(an.compare_by_hashes(shipped.filter("hot"), F.col("least") < F.col("key")))
+        crowded = an.materialize(shipped(docs.select("key", "text").join(an.crowded_work(work), "key"), an.HOT), "crowded")
+        factors = factors.unionByName(an.compare_by_hashes(crowded, lambda: F.col("least") < F.col("key"), round((window - gram + 1) ** 0.5)))
     per = factors.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
     return dealt.join(work, "key", "left").join(per, "key", "left"), work
 
@@ -151,8 +156,9 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: s
 
     def rows(batches: Iterator[dict]):
         for batch in batches:
+            work_at = an.work_of(batch["work"])
             for i, k in enumerate(batch["key"].to_pylist()):
-                words, gone = removed_words(batch["text"][i].as_py(), an.read_work(batch["work"], i), batch["factors"][i].as_py(), window, gram)
+                words, gone = removed_words(batch["text"][i].as_py(), work_at(i), batch["factors"][i].as_py(), window, gram)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()
                 yield None if k == _LAST else k, len(words), int(gone.sum()), kept, [(a, b - 1) for a, b in edges.tolist()]
@@ -169,8 +175,9 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text:
 
     def rows(batches: Iterator[dict]):
         for batch in batches:
+            work_at = an.work_of(batch["work"])
             for i, k in enumerate(batch["key"].to_pylist()):
-                words, gone = removed_words(batch["text"][i].as_py(), an.read_work(batch["work"], i), batch["factors"][i].as_py(), window, gram)
+                words, gone = removed_words(batch["text"][i].as_py(), work_at(i), batch["factors"][i].as_py(), window, gram)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 yield None if k == _LAST else k, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()
 
@@ -189,9 +196,10 @@ def cut_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text:
 
     def rows(batches: Iterator[dict]):
         for batch in batches:
+            work_at = an.work_of(batch["work"])
             for i, rest_of in enumerate(batch["__rest"].to_pylist()):
                 whole = batch["text"][i].as_py()
-                words, gone = removed_words(whole, an.read_work(batch["work"], i), batch["factors"][i].as_py(), window, gram)
+                words, gone = removed_words(whole, work_at(i), batch["factors"][i].as_py(), window, gram)
                 cut = bool(gone.any())
                 if cut:
                     whole = b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode()

@@ -198,8 +198,9 @@ def _runs(batches: Iterator[dict], shares: int, window: int, gram: int) -> Itera
 
 def _contexts(batches: Iterator[dict], window: int, gram: int) -> Iterator[tuple]:
     for batch in batches:
+        work_at = an.work_of(batch["work"])
         for i, k in enumerate(batch["key"].to_pylist()):
-            todo = an.read_work(batch["work"], i)
+            todo = work_at(i)
             if not any(v & an.SHIP for v in todo.values()):
                 continue
             data = batch["text"][i].as_py().encode()
@@ -286,8 +287,11 @@ def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> D
                     h = an.mix((c_sum[window: window + n] - c_sum[:n]) * an._Powers.down[:n]).view(np.int64)
                     yield g, c, k, -len(left), h
 
-        crowded = arrow_map(joined, hashes, "gram long, context long, key long, offset int, hashes array<long>", out_rows=2_000)
-        merged = merged.unionByName(an.compare_by_hashes(crowded, F.col("n") > 1))
+        crowded = an.materialize(arrow_map(
+            keyed.join(an.crowded_work(work), "key").select("key", "text", "work"), hashes,
+            "gram long, context long, key long, offset int, hashes array<long>", out_rows=2_000,
+        ), "crowded")
+        merged = merged.unionByName(an.compare_by_hashes(crowded, lambda: F.col("n") > 1, round((window - gram + 1) ** 0.5)))
     per = merged.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
     return dealt.join(work, "key", "left").join(per, "key", "left").select("key", "text", "work", "factors")
 
@@ -303,9 +307,10 @@ def removed_bytes(data: bytes, work: dict, factors: list | None, window: int, gr
 
 def _rows(batches: Iterator[dict], window: int, gram: int) -> Iterator[tuple]:
     for batch in batches:
+        work_at = an.work_of(batch["work"])
         for i, k in enumerate(batch["key"].to_pylist()):
             data = batch["text"][i].as_py().encode()
-            gone = removed_bytes(data, an.read_work(batch["work"], i), batch["factors"][i].as_py(), window, gram)
+            gone = removed_bytes(data, work_at(i), batch["factors"][i].as_py(), window, gram)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
             kept, at = [], 0
             for a, b in edges:
