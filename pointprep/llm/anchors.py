@@ -156,7 +156,7 @@ def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece:
     """For contexts of crowded grams, which of their windows repeat.
 
     ``contexts`` has ``key``, ``gram``, ``context``, ``offset`` of the first window relative to the anchor and
-    ``hashes``; it is read several times. Windows are compared ``piece`` at a time, then one by one where
+    ``hashes``. Windows are compared ``piece`` at a time, then one by one where
     the whole piece does not repeat, so that a crowded gram spreads over all tasks and few rows come
     of it. A piece that repeats stays as one reference for the others. ``repeats`` judges from ``key``,
     ``least`` and ``n`` of all that is equal. Returns ``key``, ``gram``, ``context`` and ``spans``, pairs of first and last offset.
@@ -165,7 +165,8 @@ def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece:
     cut = contexts.withColumn("i", F.explode(F.sequence(F.floor(F.col("offset") / piece), F.floor(last / piece))))
     cut = cut.withColumns({"a": F.greatest(F.col("i") * piece, F.col("offset")), "b": F.least(F.col("i") * piece + piece - 1, last)})
     cut = cut.withColumn("part", F.slice("hashes", F.col("a").cast("int") - F.col("offset") + 1, (F.col("b") - F.col("a") + 1).cast("int")))
-    pieces = cut.select("key", "gram", "context", "a", "b", "part", F.xxhash64("part").alias("h"))
+    # Read twice, cut once.
+    pieces = materialize(cut.select("key", "gram", "context", "a", "b", "part", F.xxhash64("part").alias("h")), "cut")
     same = ["gram", "a", "b", "h"]
     least = pieces.groupBy(*same).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
     judged = materialize(pieces.join(least, same).withColumn("whole", repeats()).drop("h", "n"), "pieces")
@@ -175,6 +176,7 @@ def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece:
     ).withColumn("at", F.col("a") + F.col("i")).drop("a", "i")
     same = ["gram", "at", "h"]
     # A piece known to repeat counts for two.
+    single = materialize(single, "windows")
     least = single.groupBy(*same).agg(F.min("key").alias("least"), F.sum(F.col("whole").cast("int") + 1).alias("n")).filter("n > 1")
     found = single.filter(~F.col("whole")).join(least, same).filter(repeats()).select("key", "gram", "context", F.col("at").alias("a"), F.col("at").alias("b"))
     return whole.unionAll(found).groupBy("key", "gram", "context").agg(
