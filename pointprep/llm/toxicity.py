@@ -33,39 +33,42 @@ ORDERS = (3, 4)
 #: Longer units are cut into windows of so many characters that overlap by half.
 UNIT_CHARS = 24
 #: Unit scores that a worker remembers before it starts anew.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 900_000
 #: Units scored at a time.
-BATCH = 2_048
+BATCH = 1_024
 #: Score of a text without any unit.
 FLOOR = -2.0
 
 _UNIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: Marks are dropped wherever they stand in a word.
-_MARKS = str.maketrans("", "", ".,;:!?\"'()[]{}|%&*#$-_+=/\\~^`@<>…«»")
+_MARKS = re.compile(r"[.,;:!?\"'()\[\]{}|%&*#$\-_+=/\\~^`@<>…«»]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+")
 
 
 def sentence_units(sentence: str) -> list[str]:
-    """Lower-cased words without marks; single characters in a row form one unit."""
-    out, run = [], []
-    for w in _UNIT.findall(sentence.lower()):
-        w = w.translate(_MARKS)
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if len(run) > 2:
-            out.append("".join(run))
-        run = []
-        if len(w) > UNIT_CHARS:
-            out += [w[i: i + UNIT_CHARS] for i in range(0, len(w) - UNIT_CHARS // 2, UNIT_CHARS // 2)]
-        elif w:
-            out.append(w)
-    if len(run) > 2:
-        joined = "".join(run)
-        out += [joined[i: i + UNIT_CHARS] for i in range(0, max(1, len(joined) - UNIT_CHARS // 2), UNIT_CHARS // 2)]
+    """Lower-cased words without marks; three and more single characters in a row form one unit."""
+    words = _UNIT.findall(_MARKS.sub("", sentence.lower()))
+    out = [w for w in words if 1 < len(w) <= UNIT_CHARS]
+    if len(out) < len(words):
+        run: list[str] = []
+        for w in [*words, ""]:
+            if len(w) == 1:
+                run.append(w)
+                continue
+            if len(run) > 2:
+                out += _windows("".join(run))
+            run = []
+            if len(w) > UNIT_CHARS:
+                out += _windows(w)
     return out
 
 
+def _windows(unit: str) -> list[str]:
+    """A unit, or its windows if it is long."""
+    half = UNIT_CHARS // 2
+    return [unit[i: i + UNIT_CHARS] for i in range(0, max(1, len(unit) - half), half)]
+
+
 def text_units(text: str) -> set[str]:
     return set(sentence_units(text))
 
@@ -78,62 +81,75 @@ def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
 
 
 def _raw_kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Unnormalised kernel of every row of ``left`` (words of one length) with every row of ``right``."""
+    """Unnormalised kernel of every row of ``left`` with every row of ``right``, each words of one length."""
     rows, width = left.shape
     cols, height = right.shape
-    shape = (rows, cols)
     decay = np.float32(DECAY)
-    total = np.zeros(shape, np.float32)
+    total = np.zeros((rows, cols), np.float32)
     match = [[(left[:, i, None] == right[None, :, j]).astype(np.float32) for j in range(height)] for i in range(width)]
-    zero = np.zeros(shape, np.float32)
-    # Decayed sums over all shorter subsequences that end before (i, j).
-    before = None
+    # before[i][j]: decayed sum over shorter subsequences that end left of and above (i, j); None stands for 0.
+    before: list[list] | None = None
     for order in range(1, max(ORDERS) + 1):
-        ended = np.zeros(shape, np.float32)
-        above = [zero] * (height + 1)
+        above: list = [None] * height
         sums = []
+        last = order == max(ORDERS)
         for i in range(width):
-            row, here = [zero], []
+            sums.append([None, *above[:-1]])
+            along, here = None, []
             for j in range(height):
-                value = match[i][j] if before is None else match[i][j] * before[i][j]
-                if order in ORDERS:
-                    ended += value
-                row.append(value + decay * (above[j + 1] + row[j] - decay * above[j]))
-            sums.append(above[:height])
-            above = row
-        # sums[i][j] is the sum over cells above row i and left of column j, decayed up to (i - 1, j - 1).
+                value = None
+                if before is None:
+                    value = match[i][j]
+                elif before[i][j] is not None:
+                    value = match[i][j] * before[i][j]
+                if value is not None and order in ORDERS:
+                    total += value
+                if last:
+                    continue
+                # Along the row, then down the column.
+                if along is None:
+                    along = value
+                else:
+                    along = along * decay
+                    if value is not None:
+                        along += value
+                if above[j] is None:
+                    here.append(along)
+                else:
+                    cell = np.multiply(above[j], decay)
+                    if along is not None:
+                        cell += along
+                    here.append(cell)
+            if not last:
+                above = here
         before = sums
-        if order in ORDERS:
-            total += ended
     return total
 
 
-def _self_kernel(codes: np.ndarray) -> np.ndarray:
-    return np.array([_raw_kernel(codes[i: i + 1], codes[i: i + 1])[0, 0] for i in range(len(codes))])
-
-
-def kernel(words: list[str], marks: list[str], norms: dict[str, float] | None = None) -> np.ndarray:
+def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Squared cosine of the subsequence kernel; strings of one or two characters are like nothing."""
     out = np.zeros((len(words), len(marks)), np.float32)
-    height = max(map(len, marks))
-    right = _codes(marks, height, -2)
-    own_right = np.array([_own(m) for m in marks])
+    groups = []
+    for height in sorted({len(m) for m in marks}):
+        at = [i for i, m in enumerate(marks) if len(m) == height]
+        right = _codes([marks[i] for i in at], height, -2)
+        groups.append((at, right, _own_many(right)))
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for width, at in by_length.items():
+        if width < min(ORDERS):
+            continue
         for k in range(0, len(at), BATCH):
             part = at[k: k + BATCH]
             left = _codes([words[i] for i in part], width, -1)
             own = _own_many(left)
-            out[part] = _raw_kernel(left, right) ** 2 / np.maximum(own[:, None] * own_right[None, :], 1e-12)
+            for columns, right, own_right in groups:
+                found = _raw_kernel(left, right) ** 2 / np.maximum(own[:, None] * own_right[None, :], 1e-12)
+                out[np.ix_(part, columns)] = found
     return out
 
 
-def _own(word: str) -> float:
-    return float(_own_many(_codes([word], len(word), -1))[0])
-
-
 def _own_many(codes: np.ndarray) -> np.ndarray:
     """Kernel of each row with itself, all rows at once."""
     rows, width = codes.shape
