@@ -23,6 +23,8 @@ BUDGET = 3
 SHINGLE = 3
 #: Distinct fingerprints that one group may hold before it is dealt out once more.
 GROUP_ROWS = 50_000
+#: Rows of groups that a task is meant to hold.
+TASK_ROWS = 100_000
 #: Node pairs walked at a time.
 PAIRS = 1 << 20
 #: Shingles whose bits are summed at a time.
@@ -149,7 +151,9 @@ def simhash_links(prints: DataFrame) -> DataFrame:
         F.struct(F.lit(p).alias("p"), F.abs(F.xxhash64(*[_field(F.col("r"), 12 * q + 3 * p, 3) for q in range(4)], "quarter")).alias("x")) for p in range(4)
     ])).otherwise(F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("x"))))).select(*keys, "r", F.explode("part").alias("part"))
     keys = [*keys, "part"]
-    ordered = grouped.repartition(*keys).sortWithinPartitions(*keys, "r")
+    # Rows are few bytes but much work, so tasks are sized by rows. A fingerprint has 16 of them at least.
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism * 2, prints.count() * 16 // TASK_ROWS)
+    ordered = grouped.repartition(tasks, *keys).sortWithinPartitions(*keys, "r")
 
     def rows(batches: Iterator[dict]):
         held_key, held = None, []
