@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pointprep.llm.common import arrow_map
 
 #: Labelled documents per class that the machine is trained on at most.
-TRAIN_DOCS = 1_500
+TRAIN_DOCS = 800
 #: Landmarks, a third of them from clean text, and the longest of them.
 LANDMARKS = 36
 LANDMARK_CHARS = 10
@@ -180,7 +181,7 @@ def _spread(pool: list[str], value: np.ndarray, like: np.ndarray, size: int) ->
     for _ in range(min(size, len(pool))):
         i = int(np.argmax(value * novelty))
         out.append(pool[i])
-        novelty = np.minimum(novelty, np.maximum(1 - like[i], 0))
+        novelty = np.minimum(novelty, np.maximum(1 - np.sqrt(like[i]), 0) ** 2)
         novelty[i] = -1
     return out
 
@@ -247,7 +248,7 @@ def train(documents: list[tuple[int, list[list[str]]]], prior: float) -> Machine
     value = np.array([found[1][u] * odds(u) for u in candidates])
     marks = _spread(candidates, value, kernel(candidates, candidates), LANDMARKS * 2 // 3)
     # Of clean units, those most like an insult, so that they can be told from it.
-    like = kernel(common, marks).max(axis=1) * np.log1p([found[0][u] for u in common])
+    like = kernel(common, marks).max(axis=1) * np.sqrt([found[0][u] for u in common])
     marks += [common[i] for i in np.argsort(-like, kind="stable") if common[i] not in marks][: LANDMARKS - len(marks)]
     gram = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -331,8 +332,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 sentences = [list(dict.fromkeys(sentence_units(s))) for s in _SENTENCE.split(t.as_py())]
                 yield k, y, [s for s in sentences if s]
 
-    found = arrow_map(drawn, rows, "key long, y int, sentences array<array<string>>").collect()
-    return train([(r["y"], r["sentences"]) for r in sorted(found, key=lambda r: (r["key"], r["y"]))], prior)
+    found = arrow_map(drawn, rows, "key long, y int, sentences array<array<string>>", out_rows=200).orderBy("key", "y").toArrow()
+    # Units repeat much, so each string is held once.
+    documents = [
+        (y, [[sys.intern(u) for u in s] for s in sentences.as_py()]) for y, sentences in zip(found["y"].to_pylist(), found["sentences"])
+    ]
+    return train(documents, prior)
 
 
 _MACHINES: dict[int, Machine] = {}
