@@ -1,29 +1,36 @@
 """Main text of web pages by wrappers: union-free regular expressions over page tokens.
 
 A page is a stream of tags and text slots. Adjacent repeats fold into repeated groups, from
-the inside out. The streams of some pages of a host are then aligned one after another:
+the inside out. All pages of a host are grouped by their folded stream, and the streams are then aligned one after another:
 what only some of them have becomes optional, a group that one page has once and another
 often becomes a repeated group, and text meets text in a slot. There is no alternation. The
 result is the host's wrapper. Each of its parts is marked as content or not from where its
-slots lie and whether their text is the same on all pages. Every page of the host, sampled or
-not, is aligned with the wrapper and gives the slots of content parts; parts of a page that the
-wrapper lacks are resolved for that page in the same way, as optional ones.
+slots lie and whether their text is the same on all pages. Every page of the host is aligned with the wrapper and
+gives the slots of content parts.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame, Window, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from pointprep.llm.common import arrow_map, materialize
 
-#: Pages per host that a wrapper is inferred from: those with the smallest hash of their id.
-SAMPLE_PAGES = 12
+#: Structures of a host that are aligned in one step.
+PIECE = 24
+#: Structures that a task adds up before it sends them on.
+HELD = 500
+#: Different texts of a slot that are told apart; a slot with more varies.
+TEXTS = 16
 #: Tokens in the longest unit that can fold.
 UNIT = 12
 #: Bytes of wrappers that are sent to every worker; more are joined by host.
@@ -128,6 +135,8 @@ def fold(stream: list, units: set) -> list[tuple]:
 def align(left: list, right: list) -> list[tuple[int | None, int | None]]:
     """Index pairs of two lists of symbols, in order; None where one side lacks the other's."""
     out: list[tuple[int | None, int | None]] = []
+    number: dict = {}
+    left, right = ([number.setdefault(s, len(number)) for s in x] for x in (left, right))
     for kind, a, b, c, d in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if kind == "equal":
             out += zip(range(a, b), range(c, d))
@@ -137,40 +146,154 @@ def align(left: list, right: list) -> list[tuple[int | None, int | None]]:
     return out
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of a host: parts in order, which of them are optional, and which hold content."""
-    streams = [tokens(p) for p in pages if p]
-    where = [places(s) for s in streams]
+def regroup(parts: list[list], units: set) -> list[tuple]:
+    """(symbol, first, end) of parts that are folded already, with the units of other pages as groups too."""
+    return fold([p[0] for p in parts], units)
+
+
+def outline(page: str) -> tuple[str, dict]:
+    """A key of the page's structure, and its structure as a wrapper of one page.
+
+    A part is its symbol, the pages that have it, and what is known of its text: pages by place where the page
+    has an article, pages by place where it has none, up to three pages for each different text (None for
+    more than TEXTS texts), and texts known to be fixed.
+    """
+    stream = tokens(page)
+    place = places(stream)
+    articled = 2 in place
     units: set = set()
-    # Folding again lets units found on one page show on another.
-    for _ in range(2):
-        folded = [fold([t[0] for t in s], units) for s in streams]
-    parts: list[dict] = []
-    for n, (stream, place, items) in enumerate(zip(streams, where, folded)):
-        merged = []
-        for i, j in align([p["symbol"] for p in parts], [x[0] for x in items]):
-            part = parts[i] if i is not None else {"symbol": items[j][0], "pages": 0, "texts": set(), "places": []}
-            if j is not None:
-                _, a, b = items[j]
-                part["pages"] += 1
-                text = " ".join(t[3] for t in stream[a:b] if not t[1])
-                if text.strip():
-                    part["texts"].add(hash(text))
-                    part["places"].append(max((q for q, t in zip(place[a:b], stream[a:b]) if not t[1]), default=0))
-            merged.append(part)
+    items = fold([t[0] for t in stream], units)
+    mark = xxhash.xxh3_64_intdigest("\0".join(t[3] for t in stream if not t[1]).encode("utf-8", "surrogatepass"))
+    parts, shape = [], []
+    for symbol, a, b in items:
+        text = " ".join(t[3] for t in stream[a:b] if not t[1])
+        known = None
+        if text.strip():
+            q = max((q for q, t in zip(place[a:b], stream[a:b]) if not t[1]), default=0)
+            known = [[0] * 3, [0] * 3, {text_hash(text): [mark]}, set()]
+            known[0 if articled else 1][q] = 1
+            shape.append(q)
+        else:
+            shape.append(None)
+        parts.append([symbol, 1, known])
+    key = xxhash.xxh3_128_hexdigest(repr(([p[0] for p in parts], shape, articled)).encode("utf-8", "surrogatepass"))
+    return key, {"parts": parts, "units": units, "articled": int(articled)}
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass"))
+
+
+def _texts(x: dict | None, y: dict | None) -> dict | None:
+    if x is None or y is None:
+        return None
+    out = dict(x)
+    for t, marks in y.items():
+        out[t] = sorted({*out[t], *marks})[:3] if t in out else marks
+    return out if len(out) <= TEXTS else None
+
+
+def _both(x: list | None, y: list | None) -> list | None:
+    if x is None or y is None:
+        return x or y
+    return [[a + b for a, b in zip(x[0], y[0])], [a + b for a, b in zip(x[1], y[1])], _texts(x[2], y[2]), x[3] | y[3]]
+
+
+def absorb(held: dict, other: dict) -> None:
+    """Add another page of the same structure."""
+    for p, q in zip(held["parts"], other["parts"]):
+        p[1] += q[1]
+        p[2] = _both(p[2], q[2])
+    held["articled"] += other["articled"]
+
+
+def is_fixed(texts: dict | None) -> bool:
+    """Whether each text is on three different pages; copies of a page are one."""
+    return bool(texts) and all(len(marks) >= 3 for marks in texts.values())
+
+
+def settle(wrapper: dict) -> dict:
+    """Note the texts that are fixed in a structure, once all its pages are in, so that alignment with other structures does not hide them."""
+    for p in wrapper["parts"]:
+        if p[2] and is_fixed(p[2][2]):
+            p[2][3] = set(p[2][2])
+    return wrapper
+
+
+def _grouped(wrapper: dict, units: set) -> list[list]:
+    out = []
+    for symbol, a, b in regroup(wrapper["parts"], units):
+        inner = wrapper["parts"][a:b]
+        known = None
+        for p in inner:
+            if p[2]:
+                # A group counts once per page, at the place of its best text.
+                known = p[2] if known is None else [
+                    *max((known[:2], p[2][:2]), key=lambda v: (v[0][2] + v[1][2], v[0][1] + v[1][1])), _texts(known[2], p[2][2]), known[3] | p[2][3]
+                ]
+        out.append([symbol, max(p[1] for p in inner), known])
+    return out
+
+
+def merge(wrappers: list[dict]) -> dict:
+    """One wrapper of several: what only some of them have becomes optional later on."""
+    if len(wrappers) == 1:
+        return wrappers[0]
+    units = set().union(*(w["units"] for w in wrappers))
+    # Grouping again lets units found on one page show on another.
+    parts: list[list] = []
+    for w in wrappers:
+        merged, its = [], _grouped(w, units)
+        for i, j in align([p[0] for p in parts], [p[0] for p in its]):
+            if i is None or j is None:
+                merged.append(parts[i] if j is None else its[j])
+            else:
+                merged.append([parts[i][0], parts[i][1] + its[j][1], _both(parts[i][2], its[j][2])])
         parts = merged
-    articled = any(2 in p["places"] for p in parts)
-    for p in parts:
-        inside = sum(q == 2 for q in p["places"]) * 2 > len(p["places"])
-        open_ = sum(q >= 1 for q in p["places"]) * 2 > len(p["places"])
-        same = len(p["texts"]) == 1 and len(p["places"]) >= 3
-        p["content"] = inside if articled else open_ and not same
+    return {"parts": parts, "units": units, "pages": sum(w["pages"] for w in wrappers), "articled": sum(w["articled"] for w in wrappers)}
+
+
+def finish(wrapper: dict) -> dict:
+    """What extraction needs of a wrapper: parts, which are optional, content or not on pages with and without an article."""
+    content, fixed = [], []
+    for _, pages, known in wrapper["parts"]:
+        if known is None:
+            content.append(None)
+            fixed.append([])
+            continue
+        art, plain, texts, own = known
+        same = is_fixed(texts)
+        inside = art[2] * 2 > sum(art) if any(art) else None
+        open_ = (plain[1] + plain[2]) * 2 > sum(plain) and not same if any(plain) else None
+        content.append([inside, open_])
+        fixed.append(sorted(own))
     return {
-        "parts": [p["symbol"] for p in parts], "optional": [p["pages"] < len(streams) for p in parts],
-        "content": [bool(p["content"]) if p["places"] else None for p in parts], "units": sorted(units, key=repr), "articled": articled,
+        "parts": [p[0] for p in wrapper["parts"]], "optional": [p[1] < wrapper["pages"] for p in wrapper["parts"]],
+        "content": content, "fixed": fixed, "units": sorted(wrapper["units"], key=repr),
     }
 
 
+def infer(pages: list[str]) -> dict:
+    """The wrapper of some pages of a host: parts in order, which of them are optional, and which hold content."""
+    held: dict[str, dict] = {}
+    for page in pages:
+        if page:
+            add_page(held, "", page)
+    structures = [settle(w) for _, w in sorted(held.items())]
+    return finish(merge(structures) if structures else {"parts": [], "units": set(), "pages": 0, "articled": 0})
+
+
+def add_page(held: dict, host: str, page: str) -> None:
+    key, own = outline(page)
+    own["pages"] = 1
+    at = (host, key)
+    if at in held:
+        absorb(held[at], own)
+        held[at]["pages"] += 1
+    else:
+        held[at] = own
+
+
 def _frozen(symbol):
     return symbol if isinstance(symbol, str) else tuple(_frozen(s) for s in symbol)
 
@@ -184,18 +307,35 @@ def expression(wrapper: dict) -> str:
     return " ".join(shown(s) + "?" * bool(o) for s, o in zip(wrapper["parts"], wrapper["optional"]))
 
 
+def _parts_of(symbols: list, wrapper: dict) -> list[int | None]:
+    """For each folded symbol of a page the part of the wrapper that it meets; pages of one structure are aligned once."""
+    known = wrapper.setdefault("aligned", {})
+    at = tuple(symbols)
+    if at not in known:
+        if len(known) > 500:
+            known.clear()
+        items = fold(symbols, set(wrapper["units"]))
+        out: list[int | None] = [None] * len(symbols)
+        for i, j in align(wrapper["parts"], [x[0] for x in items]):
+            if i is not None and j is not None:
+                out[items[j][1]: items[j][2]] = [i] * (items[j][2] - items[j][1])
+        known[at] = out
+    return known[at]
+
+
 def extract(page: str, wrapper: dict) -> str:
     """The blocks of a page's content slots, joined by two line feeds."""
     stream = tokens(page)
     place = places(stream)
-    items = fold([t[0] for t in stream], set(wrapper["units"]))
+    items = fold([t[0] for t in stream], set())
     own = [False] * len(stream)
     articled = 2 in place
-    for i, j in align(wrapper["parts"], [x[0] for x in items]):
-        if j is None:
-            continue
-        verdict = wrapper["content"][i] if i is not None else None
-        for t in range(items[j][1], items[j][2]):
+    for (_, a, b), part in zip(items, _parts_of([x[0] for x in items], wrapper)):
+        known = wrapper["content"][part] if part is not None else None
+        verdict = known[0 if articled else 1] if known else None
+        if verdict and not articled and wrapper["fixed"][part]:
+            verdict = text_hash(" ".join(t[3] for t in stream[a:b] if not t[1])) not in wrapper["fixed"][part]
+        for t in range(a, b):
             if articled or verdict is None or not place[t]:
                 # Within a part, the page's own containers decide.
                 own[t] = place[t] == (2 if articled else 1)
@@ -224,32 +364,83 @@ def host_of(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """``host`` and its ``wrapper`` as JSON, from SAMPLE_PAGES pages a host at most.
+def _packed(wrapper: dict) -> bytes:
+    return zlib.compress(pickle.dumps(wrapper), 1)
 
-    The pages are those with the smallest hash of key and address; ranks are cut before the shuffle, so a
-    host with very many pages sends a few from each task.
+
+def _unpacked(data: bytes) -> dict:
+    return pickle.loads(zlib.decompress(data))
+
+
+def structures(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``host``, ``shape`` and ``part``, the wrapper of all its pages, of every structure of every host.
+
+    Each task adds up its pages by structure before the shuffle, so the rows of a host that holds many pages are few.
     """
-    w = Window.partitionBy("host").orderBy("h", "key", "html")
-    drawn = (
-        pages.select(host_of(url).alias("host"), F.xxhash64(key, url).alias("h"), F.col(key).cast("string").alias("key"), F.col(page).alias("html"))
-        .withColumn("n", F.row_number().over(w)).filter(F.col("n") <= SAMPLE_PAGES).drop("h", "key")
-    )
 
-    def rows(batches: Iterator[dict]):
-        host, held = None, []
+    def count(batches: Iterator[dict]):
+        held: dict = {}
         for batch in batches:
             for h, p in zip(batch["host"].to_pylist(), batch["html"]):
-                if h != host and host is not None:
-                    yield host, json.dumps(infer(held))
+                if text := p.as_py():
+                    add_page(held, h, text)
+                    if len(held) >= HELD:
+                        yield from ((*k, _packed(w)) for k, w in held.items())
+                        held = {}
+        yield from ((*k, _packed(w)) for k, w in held.items())
+
+    def add(batches: Iterator[dict]):
+        at, held = None, None
+        for batch in batches:
+            for h, k, data in zip(batch["host"].to_pylist(), batch["shape"].to_pylist(), batch["part"]):
+                w = _unpacked(data.as_py())
+                if at == (h, k):
+                    absorb(held, w)
+                    held["pages"] += w["pages"]
+                else:
+                    if held is not None:
+                        yield *at, _packed(settle(held))
+                    at, held = (h, k), w
+        if held is not None:
+            yield *at, _packed(settle(held))
+
+    schema = "host string, shape string, part binary"
+    counted = arrow_map(pages.select(host_of(url).alias("host"), F.col(page).alias("html")), count, schema, out_rows=500)
+    return materialize(arrow_map(counted.repartition("host", "shape").sortWithinPartitions("host", "shape"), add, schema, out_rows=500), "structures")
+
+
+def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``host`` and its ``wrapper`` as JSON, from all pages of the host.
+
+    Structures are aligned about PIECE at a time and the wrappers of pieces again, until each host has one.
+    """
+
+    def join(batches: Iterator[dict]):
+        at, held, shape = None, [], ""
+        for batch in batches:
+            for h, n, k, data in zip(*(batch[c].to_pylist() for c in ("host", "piece", "shape")), batch["part"]):
+                if at != (h, n) and held:
+                    yield at[0], shape, _packed(merge(held))
                     held = []
-                host = h
-                held.append(p.as_py())
-        if host is not None:
-            yield host, json.dumps(infer(held))
+                if not held:
+                    at, shape = (h, n), k
+                held.append(_unpacked(data.as_py()))
+        if held:
+            yield at[0], shape, _packed(merge(held))
+
+    def last(batches: Iterator[dict]):
+        for batch in batches:
+            for h, data in zip(batch["host"].to_pylist(), batch["part"]):
+                yield h, json.dumps(finish(_unpacked(data.as_py())))
 
-    # The window leaves each host's rows next to each other in one partition.
-    return arrow_map(drawn.sortWithinPartitions("host", "n").select("host", "html"), rows, "host string, wrapper string")
+    level = structures(pages, url, page)
+    most = level.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    while most > 1:
+        most = math.ceil(most / PIECE)
+        pieces = level.withColumn("piece", F.pmod(F.xxhash64("shape"), F.lit(most)))
+        dealt = pieces.repartition("host", "piece").sortWithinPartitions("host", "piece", "shape")
+        level = materialize(arrow_map(dealt, join, "host string, shape string, part binary", out_rows=100), "pieces")
+    return arrow_map(level, last, "host string, wrapper string", out_rows=100)
 
 
 _PARSED: dict[str, dict] = {}
@@ -260,7 +451,7 @@ def _parsed(text: str) -> dict:
         if len(_PARSED) > 2_000:
             _PARSED.clear()
         w = json.loads(text)
-        _PARSED[text] = w | {"parts": [_frozen(s) for s in w["parts"]], "units": [_frozen(u) for u in w["units"]]}
+        _PARSED[text] = w | {"fixed": [frozenset(f) for f in w["fixed"]], "parts": [_frozen(s) for s in w["parts"]], "units": [_frozen(u) for u in w["units"]]}
     return _PARSED[text]
 
 
@@ -270,7 +461,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     A null or empty page gives an empty text; pages with a null address form a host of
     their own. Each row gives one row, repeated rows too; other columns are dropped.
     """
-    wrappers = materialize(infer_wrappers(pages, key, url, page), "wrappers")
+    wrappers = materialize(infer_wrappers(pages, url, page), "wrappers")
     weight = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     known = F.broadcast(wrappers) if weight <= BROADCAST_BYTES else wrappers
     joined = pages.select(F.col(key), F.col(url), F.col(page).alias("html"), host_of(url).alias("host")).join(known, "host", "left")
@@ -278,7 +469,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     def rows(batches: Iterator[dict]):
         for batch in batches:
             for k, u, p, w in zip(batch[key].to_pylist(), batch[url].to_pylist(), batch["html"], batch["wrapper"].to_pylist()):
-                text = extract(p.as_py() or "", _parsed(w))
+                text = extract(p.as_py(), _parsed(w)) if w and p.as_py() else ""
                 yield k, u, text, len(text)
 
     kind = pages.schema[key].dataType.simpleString()

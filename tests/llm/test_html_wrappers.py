@@ -63,3 +63,26 @@ def test_whole_table_against_the_plain_rule(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
     assert {r["page_id"]: r["text"] for r in hw.extract_main_text(pages).collect()} == want
+
+
+def test_every_template_of_a_large_host_is_in_its_wrapper(spark):
+    """30 templates on one host with 10 pages each: banners and ends of all of them go, whichever pages come first."""
+
+    def page_of(t, n):
+        return f"<html><body><div class='b{t}'>Banner {t}</div><div><p>Text {t} of {n}</p></div><h{1 + t % 5}>End {t}</h{1 + t % 5}></body></html>"
+
+    rows = [(100 * t + n, "http://d.example/", page_of(t, n)) for t in range(30) for n in range(10)]
+    got = {r["page_id"]: r["text"] for r in hw.extract_main_text(table(spark, rows).repartition(7)).collect()}
+    assert got == {100 * t + n: f"Text {t} of {n}" for t in range(30) for n in range(10)}
+
+
+def test_copies_of_a_page_do_not_make_its_text_fixed(spark):
+    rows = [(i, "http://e.example/", "<html><body><div>All the same</div></body></html>") for i in range(9)]
+    assert {r["text"] for r in hw.extract_main_text(table(spark, rows)).collect()} == {"All the same"}
+
+
+def test_hosts_with_and_without_articles(spark):
+    plain = [(i, "http://f.example/", f"<html><body><div>Same top</div><div><p>Plain {i}</p></div></body></html>") for i in range(5)]
+    rows = plain + [(10 + i, "http://f.example/", page(i, f"<p>Body {i}</p>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in hw.extract_main_text(table(spark, rows)).collect()}
+    assert got == {i: f"Plain {i}" for i in range(5)} | {10 + i: f"Title {i}\n\nBody {i}" for i in range(5)}
