@@ -79,13 +79,17 @@ def tokens(page: str) -> list[tuple]:
 
 
 def places(stream: list[tuple]) -> list[int]:
-    """For each token 2 within the article, 1 outside of it, 0 where menus, adverts and the like are."""
-    out, stack, main = [], [], 0
+    """For each token 3 within the article, 2 there in an element that only a word of its class marks, 1 outside, 0 where menus, adverts and the like are."""
+    out, stack, main, hard = [], [], 0, []
+
+    def here() -> int:
+        return (2 if main and not any(hard) else 0) if stack else 3 if main else 1
+
     for symbol, tag, closes, _ in stream:
         if not tag:
-            out.append(0 if stack else 2 if main else 1)
+            out.append(here())
             continue
-        aside = tag in ASIDE or tag == "header" and not main
+        aside = firm = tag in ASIDE or tag == "header" and not main
         if not aside and not closes and " " in symbol:
             aside = tag not in ("html", "body") and tag not in MAIN and any(w.lower() in ASIDE_WORDS for w in _WORDS.findall(symbol[len(tag) + 1:]))
         if tag in MAIN and not stack:
@@ -93,14 +97,16 @@ def places(stream: list[tuple]) -> list[int]:
         if closes:
             if tag in stack:
                 while stack.pop() != tag:
-                    pass
+                    hard.pop()
+                hard.pop()
                 out.append(0)
                 continue
         elif tag not in VOID and (stack and tag not in INLINE or aside):
             # Paragraphs and list items are closed by the next one, often without a mark.
             if not stack or tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 stack.append(tag)
-        out.append(0 if stack else 2 if main else 1)
+                hard.append(firm)
+        out.append(here())
     return out
 
 
@@ -160,7 +166,7 @@ def outline(page: str) -> tuple[str, dict]:
     """
     stream = tokens(page)
     place = places(stream)
-    articled = 2 in place
+    articled = max(place, default=0) >= 2
     units: set = set()
     items = fold([t[0] for t in stream], units)
     mark = xxhash.xxh3_64_intdigest("\0".join(t[3] for t in stream if not t[1]).encode("utf-8", "surrogatepass"))
@@ -170,7 +176,7 @@ def outline(page: str) -> tuple[str, dict]:
         known = None
         if text.strip():
             q = max((q for q, t in zip(place[a:b], stream[a:b]) if not t[1]), default=0)
-            known = [[0] * 3, [0] * 3, {text_hash(text): [mark]}, set()]
+            known = [[0] * 4, [0] * 4, {text_hash(text): [mark]}, set()]
             known[0 if articled else 1][q] = 1
             shape.append(q)
         else:
@@ -229,7 +235,7 @@ def _grouped(wrapper: dict, units: set) -> list[list]:
             if p[2]:
                 # A group counts once per page, at the place of its best text.
                 known = p[2] if known is None else [
-                    *max((known[:2], p[2][:2]), key=lambda v: (v[0][2] + v[1][2], v[0][1] + v[1][1])), _texts(known[2], p[2][2]), known[3] | p[2][3]
+                    *max((known[:2], p[2][:2]), key=lambda v: [v[0][q] + v[1][q] for q in (3, 2, 1)]), _texts(known[2], p[2][2]), known[3] | p[2][3]
                 ]
         out.append([symbol, max(p[1] for p in inner), known])
     return out
@@ -253,18 +259,43 @@ def merge(wrappers: list[dict]) -> dict:
     return {"parts": parts, "units": units, "pages": sum(w["pages"] for w in wrappers), "articled": sum(w["articled"] for w in wrappers)}
 
 
+def _varies(texts: dict | None) -> bool:
+    return texts is None or not is_fixed(texts) and len(texts) > 1 and len(set().union(*texts.values())) >= 3
+
+
+def _list_of_items(symbol) -> bool:
+    """Whether a repeated unit holds links or marked elements, as comments and related pages do and paragraphs do not."""
+    if isinstance(symbol, str):
+        return symbol.startswith("<") and (" " in symbol or symbol == "<a>")
+    return any(_list_of_items(s) for s in symbol[1])
+
+
 def finish(wrapper: dict) -> dict:
-    """What extraction needs of a wrapper: parts, which are optional, content or not on pages with and without an article."""
+    """What extraction needs of a wrapper: parts, which are optional, content or not on pages with and without an article.
+
+    A fixed text is no content wherever it lies. A slot that lies in the article on most pages is content. One that a
+    class word marks there is content if its text varies and most pages with an article have it; if it is a repeated
+    group, only if it is one of paragraphs and the article has no other such group, so that it is the body.
+    """
+    def unmarked(art: list) -> bool:
+        return art[3] * 2 > sum(art)
+
+    body = any(not isinstance(s, str) and k and unmarked(k[0]) and _varies(k[2]) for s, _, k in wrapper["parts"])
     content, fixed = [], []
-    for _, pages, known in wrapper["parts"]:
+    for symbol, _, known in wrapper["parts"]:
         if known is None:
             content.append(None)
             fixed.append([])
             continue
         art, plain, texts, own = known
         same = is_fixed(texts)
-        inside = art[2] * 2 > sum(art) if any(art) else None
-        open_ = (plain[1] + plain[2]) * 2 > sum(plain) and not same if any(plain) else None
+        inside = open_ = None
+        if any(art):
+            inside = not same and unmarked(art)
+            if not same and not inside and (art[2] + art[3]) * 2 > sum(art):
+                inside = _varies(texts) and sum(art) * 2 > wrapper["articled"] and (isinstance(symbol, str) or not body and not _list_of_items(symbol))
+        if any(plain):
+            open_ = plain[1] * 2 > sum(plain) and not same
         content.append([inside, open_])
         fixed.append(sorted(own))
     return {
@@ -329,18 +360,19 @@ def extract(page: str, wrapper: dict) -> str:
     place = places(stream)
     items = fold([t[0] for t in stream], set())
     own = [False] * len(stream)
-    articled = 2 in place
+    articled = max(place, default=0) >= 2
     for (_, a, b), part in zip(items, _parts_of([x[0] for x in items], wrapper)):
         known = wrapper["content"][part] if part is not None else None
         verdict = known[0 if articled else 1] if known else None
-        if verdict and not articled and wrapper["fixed"][part]:
+        if verdict and wrapper["fixed"][part]:
             verdict = text_hash(" ".join(t[3] for t in stream[a:b] if not t[1])) not in wrapper["fixed"][part]
+        if verdict is None:
+            top = 3 if articled else 1
+        else:
+            # The wrapper decides on a part; within it, the page's own containers tell its text from an aside.
+            top = max((place[t] for t in range(a, b) if not stream[t][1]), default=0) if verdict else 0
         for t in range(a, b):
-            if articled or verdict is None or not place[t]:
-                # Within a part, the page's own containers decide.
-                own[t] = place[t] == (2 if articled else 1)
-            else:
-                own[t] = verdict
+            own[t] = place[t] == top > 0
     blocks, current = [], []
 
     def close() -> None:

@@ -86,3 +86,24 @@ def test_hosts_with_and_without_articles(spark):
     rows = plain + [(10 + i, "http://f.example/", page(i, f"<p>Body {i}</p>")) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in hw.extract_main_text(table(spark, rows)).collect()}
     assert got == {i: f"Plain {i}" for i in range(5)} | {10 + i: f"Title {i}\n\nBody {i}" for i in range(5)}
+
+
+def test_the_wrapper_decides_within_articles(spark):
+    """Every page has an article: what repeats in it goes, and a block that only a class word marks stays if its text varies."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = []
+    for r in pages.orderBy("page_id").collect():
+        a, b = r["html"].split("</article>", 1)
+        extra = f"<div class='search-notice'>Summary of {r['page_id']}</div><div class='end'>Subscribe today</div><div class='share'><a>Post</a></div>"
+        rows.append((r["page_id"], "http://g.example/", f"{a}{extra}</article>{b}"))
+    before = {r["page_id"]: r["text"] for r in hw.extract_main_text(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in hw.extract_main_text(table(spark, rows)).collect()}
+    assert got == {k: f"{t}\n\nSummary of {k}" for k, t in before.items()}
+
+
+def test_comments_that_vary_are_not_the_body():
+    def own(n):
+        return page(n, f"<p>One {n}</p><p>Two {n}</p>").replace("<p>First!</p>", f"<p>Comment {n}</p><p>More {n}</p>")
+
+    w = hw.infer([own(n) for n in range(6)])
+    assert [hw.extract(own(n), w) for n in range(6)] == [f"Title {n}\n\nOne {n}\n\nTwo {n}" for n in range(6)]
