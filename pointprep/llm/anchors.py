@@ -22,8 +22,8 @@ from pointprep.llm.common import arrow_map, materialize
 #: Contexts of one gram that are compared in one task; grams with more are compared by window hashes.
 HOT_CONTEXTS = 5_000
 
-#: What is to be done with an anchor: all its windows repeat; its context is to be compared; by hashes.
-SETTLED, SHIP, HOT = 1, 2, 4
+#: What is to be done with an anchor: all its windows repeat; its context is to be compared; by hashes; another row compares it.
+SETTLED, SHIP, HOT, WANT = 1, 2, 4, 8
 
 _BASE = 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1
@@ -98,37 +98,44 @@ def find_anchors(symbols: np.ndarray, window: int, gram: int) -> Anchors | None:
     return Anchors(at, g[at].view(np.int64), context.view(np.int64), lo, np.minimum(at, n - window), prefix, window)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``row`` of each row's own, written out, so that null and repeated keys spread like any others."""
+    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def anchor_rows(docs: DataFrame, symbols: Callable[[str], np.ndarray], window: int, gram: int) -> DataFrame:
-    """``key``, ``gram``, ``context`` and ``n``, how often they occur in the text; written out."""
+    """``row``, ``key``, ``gram``, ``context`` and ``n``, how often they occur in the text; written out."""
 
     def rows(batches: Iterator[dict]):
         for batch in batches:
-            for k, t in zip(batch["key"].to_pylist(), batch["text"]):
+            for r, k, t in zip(batch["row"].to_pylist(), batch["key"].to_pylist(), batch["text"]):
                 found = find_anchors(symbols(t.as_py() or ""), window, gram)
                 if found is not None:
                     pairs, counts = np.unique(np.stack([found.gram, found.context], axis=1), axis=0, return_counts=True)
                     for (g, c), n in zip(pairs.tolist(), counts.tolist()):
-                        yield k, g, c, n
+                        yield r, k, g, c, n
 
-    return materialize(arrow_map(docs, rows, "key long, gram long, context long, n int"), "anchors")
+    return materialize(arrow_map(docs.select("row", "key", "text"), rows, "row long, key long, gram long, context long, n int"), "anchors")
 
 
 def sort_anchors(anchors: DataFrame, settled: Column) -> DataFrame:
-    """Per ``key`` the list ``work`` of (gram, context, kind) that can lie in repeated windows; written out.
+    """Per ``row`` the list ``work`` of (gram, context, kind) that can lie in repeated windows; written out.
 
     ``settled`` says from ``n``, the occurrences of a context, ``least``, its smallest key, and ``key``
-    whether a context's windows all repeat. Counts are combined before each shuffle, and no
-    row waits for the others of its gram.
+    whether a context's windows all repeat. One of the rows with the smallest key compares a context, and the others
+    with that key WANT its result. Counts are combined before each shuffle, and no row waits for the others of its gram.
     """
-    contexts = anchors.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("key").alias("least"))
+    contexts = anchors.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("key").alias("least"), F.min_by("row", "key").alias("first"))
     grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("all")).filter(F.col("all") > 1)
-    known = contexts.join(grams, "gram").select("gram", "context", "n", "least", "contexts")
+    known = contexts.join(grams, "gram").select("gram", "context", "n", "least", "first", "contexts")
+    several = F.col("contexts") > 1
     kind = (
         F.when(settled, SETTLED).otherwise(0)
-        + F.when((F.col("contexts") > 1) & (F.col("key") == F.col("least")), F.when(F.col("contexts") > HOT_CONTEXTS, SHIP + HOT).otherwise(SHIP)).otherwise(0)
+        + F.when(several & (F.col("row") == F.col("first")), F.when(F.col("contexts") > HOT_CONTEXTS, SHIP + HOT).otherwise(SHIP)).otherwise(0)
+        + F.when(several & (F.col("row") != F.col("first")) & (F.col("key") == F.col("least")) & ~settled, WANT).otherwise(0)
     )
-    rows = anchors.drop("n").join(known, ["gram", "context"]).select("key", "gram", "context", kind.cast("int").alias("kind")).filter("kind > 0")
-    per = rows.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "kind")).alias("work"))
+    rows = anchors.drop("n").join(known, ["gram", "context"]).select("row", "gram", "context", kind.cast("int").alias("kind")).filter("kind > 0")
+    per = rows.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "kind")).alias("work"))
     return materialize(per, "work")
 
 
@@ -149,37 +156,37 @@ def work_of(column) -> Callable[[int], dict[tuple[int, int], int]]:
 def crowded_work(work: DataFrame) -> DataFrame:
     """The work lists of texts with contexts of crowded grams, cut down to these."""
     hot = F.filter("work", lambda w: w["kind"].bitwiseAND(HOT) > 0)
-    return work.select("key", hot.alias("work")).filter(F.size("work") > 0)
+    return work.select("row", hot.alias("work")).filter(F.size("work") > 0)
 
 
 def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece: int) -> DataFrame:
     """For contexts of crowded grams, which of their windows repeat.
 
-    ``contexts`` has ``key``, ``gram``, ``context``, ``offset`` of the first window relative to the anchor and
+    ``contexts`` has ``row``, ``key``, ``gram``, ``context``, ``offset`` of the first window relative to the anchor and
     ``hashes``. Windows are compared ``piece`` at a time, then one by one where
     the whole piece does not repeat, so that a crowded gram spreads over all tasks and few rows come
     of it. A piece that repeats stays as one reference for the others. ``repeats`` judges from ``key``,
-    ``least`` and ``n`` of all that is equal. Returns ``key``, ``gram``, ``context`` and ``spans``, pairs of first and last offset.
+    ``least`` and ``n`` of all that is equal. Returns ``row``, ``gram``, ``context`` and ``spans``, pairs of first and last offset.
     """
     last = F.col("offset") + F.size("hashes") - 1
     cut = contexts.withColumn("i", F.explode(F.sequence(F.floor(F.col("offset") / piece), F.floor(last / piece))))
     cut = cut.withColumns({"a": F.greatest(F.col("i") * piece, F.col("offset")), "b": F.least(F.col("i") * piece + piece - 1, last)})
     cut = cut.withColumn("part", F.slice("hashes", F.col("a").cast("int") - F.col("offset") + 1, (F.col("b") - F.col("a") + 1).cast("int")))
     # Read twice, cut once.
-    pieces = materialize(cut.select("key", "gram", "context", "a", "b", "part", F.xxhash64("part").alias("h")), "cut")
+    pieces = materialize(cut.select("row", "key", "gram", "context", "a", "b", "part", F.xxhash64("part").alias("h")), "cut")
     same = ["gram", "a", "b", "h"]
     least = pieces.groupBy(*same).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
     judged = materialize(pieces.join(least, same).withColumn("whole", repeats()).drop("h", "n"), "pieces")
-    whole = judged.filter("whole").select("key", "gram", "context", "a", "b")
+    whole = judged.filter("whole").select("row", "gram", "context", "a", "b")
     single = judged.filter(~F.col("whole") | (F.col("key") == F.col("least"))).select(
-        "key", "gram", "context", "whole", F.posexplode("part").alias("i", "h"), "a"
+        "row", "key", "gram", "context", "whole", F.posexplode("part").alias("i", "h"), "a"
     ).withColumn("at", F.col("a") + F.col("i")).drop("a", "i")
     same = ["gram", "at", "h"]
     # A piece known to repeat counts for two.
     single = materialize(single, "windows")
     least = single.groupBy(*same).agg(F.min("key").alias("least"), F.sum(F.col("whole").cast("int") + 1).alias("n")).filter("n > 1")
-    found = single.filter(~F.col("whole")).join(least, same).filter(repeats()).select("key", "gram", "context", F.col("at").alias("a"), F.col("at").alias("b"))
-    return whole.unionAll(found).groupBy("key", "gram", "context").agg(
+    found = single.filter(~F.col("whole")).join(least, same).filter(repeats()).select("row", "gram", "context", F.col("at").alias("a"), F.col("at").alias("b"))
+    return whole.unionAll(found).groupBy("row", "gram", "context").agg(
         F.collect_set(F.array(F.col("a").cast("int"), F.col("b").cast("int"))).alias("spans")
     )
 

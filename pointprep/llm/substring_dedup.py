@@ -67,20 +67,21 @@ def parse_block(passages: list[tuple[int, int, list[int]]]) -> list[list[tuple[i
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (key, text) dealt by key, with the work and factors found for each of its passages.
+    """``docs`` (key, text) dealt by rows, with the work and factors found for each of its passages.
 
-    Returns the joined rows and the work lists. The texts are shuffled once; both passes over them read
-    the same exchange.
+    Returns the joined rows and the work lists. The rows are written once with a number of their own; keys only say
+    which of two passages is earlier. The texts are shuffled once; both passes over them read the same exchange.
     """
+    docs = an.identified(docs)
     work = an.sort_anchors(an.anchor_rows(docs, word_symbols, window, gram), F.col("least") < F.col("key"))
     kinds = work.select(F.explode("work.kind").alias("k")).groupBy("k").count().collect()
     some_hot = any(r["k"] & an.HOT for r in kinds)
-    dealt = docs.repartition("key")
+    dealt = docs.repartition("row")
 
     def passages(batches: Iterator[dict], hot: int):
         for batch in batches:
             work_at = an.work_of(batch["work"])
-            for i, k in enumerate(batch["key"].to_pylist()):
+            for i, (r, k) in enumerate(zip(batch["row"].to_pylist(), batch["key"].to_pylist())):
                 todo = work_at(i)
                 todo = {p for p, v in todo.items() if v & an.SHIP and v & an.HOT == hot}
                 if not todo:
@@ -91,39 +92,45 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                 for j, pair in enumerate(zip(found.gram.tolist(), found.context.tolist())):
                     if pair in todo:
                         todo.discard(pair)
-                        yield (*pair, k, int(found.first[j] - found.position[j]), found.window_hashes(j))
+                        yield (*pair, r, k, int(found.first[j] - found.position[j]), found.window_hashes(j))
 
     def shipped(rows: DataFrame, hot: int) -> DataFrame:
         return arrow_map(
-            rows.select("key", "text", "work"), lambda batches: passages(batches, hot),
-            "gram long, context long, key long, offset int, hashes array<long>", out_rows=5_000,
+            rows.select("row", "key", "text", "work"), lambda batches: passages(batches, hot),
+            "gram long, context long, row long, key long, offset int, hashes array<long>", out_rows=5_000,
         )
 
     def parse(batches: Iterator[dict]):
         gram_now, held, names = None, [], []
 
         def flush():
-            for (k, c), factors in zip(names, parse_block(held)):
+            for (r, c), factors in zip(names, parse_block(held)):
                 if factors:
-                    yield k, gram_now, c, factors
+                    yield r, gram_now, c, factors
 
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("gram", "context", "key", "offset"))
-            for g, c, k, o, h in zip(*columns, batch["hashes"]):
+            columns = (batch[c].to_pylist() for c in ("gram", "context", "row", "key", "offset"))
+            for g, c, r, k, o, h in zip(*columns, batch["hashes"]):
                 if g != gram_now:
                     yield from flush()
                     gram_now, held, names = g, [], []
                 held.append((k, o, h.as_py()))
-                names.append((k, c))
+                names.append((r, c))
         yield from flush()
 
-    blocks = shipped(dealt.join(work, "key", "left"), 0).repartition("gram").sortWithinPartitions("gram", "key", "context")
-    factors = arrow_map(blocks, parse, "key long, gram long, context long, spans array<array<int>>")
+    blocks = shipped(dealt.join(work, "row", "left"), 0).repartition("gram").sortWithinPartitions("gram", "key", "context")
+    factors = arrow_map(blocks, parse, "row long, gram long, context long, spans array<array<int>>")
     if some_hot:
-        crowded = an.materialize(shipped(docs.select("key", "text").join(an.crowded_work(work), "key"), an.HOT), "crowded")
+        crowded = an.materialize(shipped(docs.select("row", "key", "text").join(an.crowded_work(work), "row"), an.HOT), "crowded")
         factors = factors.unionByName(an.compare_by_hashes(crowded, lambda: F.col("least") < F.col("key"), round((window - gram + 1) ** 0.5)))
-    per = factors.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
-    return dealt.join(work, "key", "left").join(per, "key", "left"), work
+    if any(r["k"] & an.WANT for r in kinds):
+        # Rows with the same key and context as the row that was compared.
+        factors = an.materialize(factors, "factors")
+        want = work.select("row", F.explode("work").alias("w")).filter(F.col("w.kind").bitwiseAND(an.WANT) > 0)
+        want = want.select("row", F.col("w.gram").alias("gram"), F.col("w.context").alias("context"))
+        factors = factors.unionByName(want.join(factors.drop("row"), ["gram", "context"]))
+    per = factors.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
+    return dealt.join(work, "row", "left").join(per, "row", "left"), work
 
 
 def removed_words(text: str, work: dict, factors: list | None, window: int, gram: int) -> tuple[list[bytes], np.ndarray]:

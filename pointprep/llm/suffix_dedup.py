@@ -199,7 +199,7 @@ def _runs(batches: Iterator[dict], shares: int, window: int, gram: int) -> Itera
 def _contexts(batches: Iterator[dict], window: int, gram: int) -> Iterator[tuple]:
     for batch in batches:
         work_at = an.work_of(batch["work"])
-        for i, k in enumerate(batch["key"].to_pylist()):
+        for i, k in enumerate(batch["row"].to_pylist()):
             todo = work_at(i)
             if not any(v & an.SHIP for v in todo.values()):
                 continue
@@ -248,14 +248,19 @@ def _merge(rows: list[dict], window: int, gram: int) -> Iterator[tuple]:
 
 
 def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> DataFrame:
-    """Rows of the input with what is known of the windows in them. Texts are shuffled once; both passes read that exchange."""
-    keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    """Rows of the input with what is known of the windows in them.
+
+    The rows are written once with a number of their own, by which all else goes; keys are only handed on.
+    Texts are shuffled once; both passes read that exchange.
+    """
+    named = an.identified(docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(text, F.lit("")).alias("text")))
+    keyed = named.withColumn("key", F.col("row"))
     work = an.sort_anchors(an.anchor_rows(keyed, lambda t: byte_symbols(t.encode()), window, gram), F.col("n") > 1)
     kinds = {r["k"]: r["count"] for r in work.select(F.explode("work.kind").alias("k")).groupBy("k").count().collect()}
     shipped = sum(n for k, n in kinds.items() if k & an.SHIP and not k & an.HOT)
     shares = max(1, math.ceil(shipped * 2 * window / SHARE_BYTES))
-    dealt = keyed.repartition("key")
-    joined = dealt.join(work, "key", "left").select("key", "text", "work")
+    dealt = named.repartition("row")
+    joined = dealt.join(work, "row", "left").select("row", "text", "work")
     runs = arrow_map(joined, lambda b: _runs(b, shares, window, gram), RUN_SCHEMA, out_rows=1)
 
     def merge(batches: Iterator[dict]):
@@ -272,7 +277,7 @@ def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> D
 
     merged = arrow_map(
         runs.repartitionById(shares, F.col("share").cast("int")).sortWithinPartitions("share"), merge,
-        "key long, gram long, context long, spans array<array<int>>",
+        "row long, gram long, context long, spans array<array<int>>",
     )
     if any(k & an.HOT for k in kinds):
 
@@ -285,15 +290,15 @@ def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> D
                     np.cumsum(byte_symbols(data) * an._Powers.up[: len(data)], out=c_sum[1:])
                     n = min(len(left), len(data) - window) + 1
                     h = an.mix((c_sum[window: window + n] - c_sum[:n]) * an._Powers.down[:n]).view(np.int64)
-                    yield g, c, k, -len(left), h
+                    yield g, c, k, k, -len(left), h
 
         crowded = an.materialize(arrow_map(
-            keyed.join(an.crowded_work(work), "key").select("key", "text", "work"), hashes,
-            "gram long, context long, key long, offset int, hashes array<long>", out_rows=2_000,
+            named.join(an.crowded_work(work), "row").select("row", "text", "work"), hashes,
+            "gram long, context long, row long, key long, offset int, hashes array<long>", out_rows=2_000,
         ), "crowded")
         merged = merged.unionByName(an.compare_by_hashes(crowded, lambda: F.col("n") > 1, round((window - gram + 1) ** 0.5)))
-    per = merged.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
-    return dealt.join(work, "key", "left").join(per, "key", "left").select("key", "text", "work", "factors")
+    per = merged.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
+    return dealt.join(work, "row", "left").join(per, "row", "left").select(F.col("id").alias("key"), "text", "work", "factors")
 
 
 def removed_bytes(data: bytes, work: dict, factors: list | None, window: int, gram: int) -> np.ndarray:

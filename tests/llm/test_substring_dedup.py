@@ -80,3 +80,26 @@ def test_a_factor_ends_where_its_reference_does():
     passages = [(1, -3, [10, 11, 12]), (2, -3, [20, 11, 12, 13]), (3, -3, [10, 11, 12, 13])]
     assert sd.parse_block(passages)[2] == [(-3, -1), (0, 0)]
     assert sd.parse_block([(5, 0, [1]), (5, 0, [1])]) == [[], []]
+
+
+@pytest.mark.parametrize("hot", [5_000, 1])
+def test_null_and_repeated_keys(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(an, "HOT_CONTEXTS", hot)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else k, t) for i, (k, t) in enumerate(corpus(5) + corpus(5)[:20])]
+    want = brute(rows, 12)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in sd.dedup_words(docs(rows), 12, 4).collect()), key=str)
+    assert got == want and sum(r[2] for r in want) > 200
+
+
+def test_rows_with_one_key_spread(spark, docs):
+    """All ids null: no task gets more than its share of the rows, and each list of anchors is one row's."""
+    rows = [(None, t) for _, t in corpus(6, 200)]
+    joined, work = sd.duplicate_factors(sd._keyed(docs(rows), "text", "doc_id"), 12, 4)
+    assert work.agg({"row": "count"}).first()[0] == work.select("row").distinct().count() > 50
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = an.identified(sd._keyed(docs(rows), "text", "doc_id")).repartition("row").rdd.glom().map(len).collect()
+        parts = joined.rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(parts) == sum(dealt) == 200 and max(parts) < 120

@@ -69,3 +69,14 @@ def test_front_coding_and_merge_never_look_back():
         assert k == n
         before = s
     assert list(sd.LoserTree([])) == []
+
+
+@pytest.mark.parametrize("hot", [5_000, 1])
+def test_null_and_repeated_keys(spark, docs, monkeypatch, hot):
+    """Work and factors go by row: no list of anchors holds more than those of one text."""
+    monkeypatch.setattr(an, "HOT_CONTEXTS", hot)
+    rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(corpus(7, 50, 8))]
+    assert run(docs(rows), 30, 8) == brute(rows, 30)
+    most = max(len(an.find_anchors(sd.byte_symbols(t.encode()), 30, 8).gram) for _, t in rows if len(t) >= 30)
+    prepared = sd._prepared(docs(rows), 30, 8, "text", "doc_id").collect()
+    assert len(prepared) == 50 and max(len(r["work"] or ()) for r in prepared) <= most
