@@ -18,7 +18,8 @@ DEFAULT_HOT_ROWS = 1_000_000
 MAX_RANGES = 200
 #: Rows of a table about hot groups that are sent to every task; a longer one is joined by key.
 BROADCAST_ROWS = 1_000_000
-_SKETCH_ACCURACY = 10_000
+#: Sampled rows for each split value.
+_SAMPLES_PER_SPLIT = 20
 
 
 def hot_row_limit(spark: SparkSession) -> int:
@@ -64,37 +65,47 @@ def _broadcast_left(df: DataFrame, small: DataFrame, keys: Sequence[str], rows:
 
 
 def _range_column(df: DataFrame, keys: list[str], value: str, hot: list, hot_rows: int, name: str) -> DataFrame:
-    """Add range number ``name``: odd = rows equal to a split value, even = rows between splits."""
+    """Add range number ``name``: odd = rows equal to a split value (or null), even = rows between splits.
+
+    Splits are values of the rows themselves, in their own type, with each group's least and
+    greatest value among them. So a round takes at least these rows out of the ranges between
+    splits, and the ranges that stay hold strictly fewer rows; the sample only makes them small.
+    """
     spark = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
+    key_fields = [T.StructField(k, df.schema[k].dataType, True) for k in keys]
+    wanted = {tuple(r[k] for k in keys): min(MAX_RANGES, -(-r["__n"] // max(hot_rows, 1)) * 2) for r in hot}
     hot_df = spark.createDataFrame(
-        [tuple(r[k] for k in keys) for r in hot],
-        T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]),
+        [(*[r[k] for k in keys], min(1.0, _SAMPLES_PER_SPLIT * MAX_RANGES / r["__n"])) for r in hot],
+        T.StructType([*key_fields, T.StructField("__rate", T.DoubleType())]),
+    )
+    renamed = hot_df.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__rate")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    inside = df.select(*keys, value).join(_small(renamed, len(hot)), same).filter(F.col(value).isNotNull())
+    inside = inside.withColumn("__drawn", F.when(F.rand(7) < F.col("__rate"), F.col(value)))
+    # Any splits give exact ranks, good ones balance the tasks: which rows are drawn changes no result.
+    samples = inside.groupBy(*keys).agg(
+        F.min(value).alias("__low"),
+        F.max(value).alias("__high"),
+        F.sort_array(F.collect_list("__drawn")).alias("__v"),
+    )
+    count, size = F.col("__count"), F.size("__v")
+    places = F.sequence(F.lit(1), F.least(count, size).cast("int"))
+    picked = F.when(size > 0, F.transform(places, lambda i: F.col("__v")[(F.floor((i - 0.5) * size / F.least(count, size))).cast("int")]))
+    counts = spark.createDataFrame(
+        [(*key, n) for key, n in wanted.items()], T.StructType([*key_fields, T.StructField("__count", T.IntegerType())])
     )
-    probs = [(i + 1) / MAX_RANGES for i in range(MAX_RANGES - 1)]
-    inside = df.join(_small(hot_df, len(hot)), _same(df, hot_df, keys), "left_semi")
-    # One bounded sketch per hot group; any splits give exact ranks, good ones balance the tasks.
-    sketches = inside.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, _SKETCH_ACCURACY).alias("__q")
+    splits = _broadcast_left(samples, counts, keys, len(hot)).select(
+        *keys, F.array_sort(F.array_distinct(F.concat(F.array("__low", "__high"), F.coalesce(picked, F.array("__low"))))).alias("__s")
     ).collect()
-    rows_of = {tuple(r[k] for k in keys): r["__n"] for r in hot}
-    splits = []
-    for r in sketches:
-        key = tuple(r[k] for k in keys)
-        wanted = min(MAX_RANGES, -(-rows_of.get(key, 0) // max(hot_rows, 1)) * 2)
-        step = max(1, MAX_RANGES // max(wanted, 1))
-        splits.append((*key, sorted(set(r["__q"][::step]))))
     split_df = spark.createDataFrame(
-        splits,
-        T.StructType(
-            [T.StructField(f.name, f.dataType, True) for f in key_fields]
-            + [T.StructField("__s", T.ArrayType(df.schema[value].dataType), True)]
-        ),
+        [tuple(r) for r in splits], T.StructType([*key_fields, T.StructField("__s", T.ArrayType(df.schema[value].dataType), True)])
     )
     out = _broadcast_left(df, split_df, keys, len(splits) * MAX_RANGES)
     v = F.col(value)
     between = F.size(F.filter("__s", lambda s: s < v)) * 2
-    number = between + F.array_contains("__s", v).cast("int")
+    number = F.when(v.isNull(), F.lit(-1)).otherwise(between + F.array_contains("__s", v).cast("int"))
     return out.withColumn(name, F.when(F.col("__s").isNull(), F.lit(0)).otherwise(number)).drop("__s")
 
 
@@ -123,7 +134,7 @@ def cut_hot_groups(
             cur = _range_column(cur, part, value, hot, limit, name)
             levels.append(name)
             part = part + [name]
-            single = single | (F.col(name) % 2 == 1)
+            single = single | (F.pmod(F.col(name), F.lit(2)) == 1)
             hot = hot_groups(cur.filter(~single), part, limit)
         if not levels or i + 1 == len(order):
             break

@@ -63,3 +63,21 @@ def test_salted_join_equals_join(spark, rows, how):
     want = rows.join(right, "g", how)
     got = salted_join(rows, right, ["g"], ["id"], how, hot_rows=50)
     assert as_set(got.select("g", "v", "id", "w").fillna(-1)) == as_set(want.select("g", "v", "id", "w").fillna(-1))
+
+
+@pytest.mark.parametrize("values", [
+    [2**60 + 1] * 300,
+    [2**60 + i % 64 for i in range(3000)],
+    [None] * 250 + [2**60 + 1] * 250 + [-(2**62)],
+], ids=["equal", "within 64", "nulls"])
+def test_integers_beyond_doubles(spark, values):
+    rows = spark.createDataFrame([("g", v, i) for i, v in enumerate(values)], "g string, v bigint, id bigint").repartition(3)
+    got = {r["id"]: r["rn"] for r in ranked(rows, ["g"], ["v", "id"], hot_rows=30).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_copies_of_one_large_number_a_hundred_times_the_limit(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("g"), F.lit(2**60 + 3).alias("v"), "id")
+    got = ranked(rows, ["g"], ["v", "id"], hot_rows=200)
+    assert got.filter(F.col("rn") != F.col("id") + 1).isEmpty() and got.count() == 20_000
