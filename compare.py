@@ -33,7 +33,7 @@ def _norm(v):
     return "" if v is None else str(v)
 
 
-KIND = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+KIND = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
 
 
 def difference(df, con, text: str) -> tuple[int, str | None]:
