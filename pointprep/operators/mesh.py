@@ -145,8 +145,8 @@ def ray_distance(
 
     Turned so that a direction runs along one axis, a ray is a point in the plane of
     the other two. Triangles are filed there by their box in a grid whose cell grows
-    with the triangle, so each lies in at most four cells, and a ray looks up one cell
-    per grid size. Only triangles that stand in a ray's way meet it.
+    with the triangle along either axis, so each lies in at most four cells, and a ray looks up one cell
+    per grid size that occurs. Only triangles that stand in a ray's way meet it.
     """
     dirs = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("dir"), F.lit(c).alias("dx"), F.lit(s).alias("dy"))
@@ -163,28 +163,29 @@ def ray_distance(
         F.least(*[F.col(f"{p}.z") for p in corners]).alias("z_lo"),
         F.greatest(*[F.col(f"{p}.z") for p in corners]).alias("z_hi"),
     )
-    extent = F.greatest(F.col("v_hi") - F.col("v_lo"), F.col("z_hi") - F.col("z_lo"))
-    level = F.greatest(
-        F.lit(MIN_LEVEL), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / F.lit(base_cell))).cast("int")
-    )
-    tri = tri.withColumn("level", level)
-    cell = F.lit(base_cell) * F.pow(F.lit(2.0), F.col("level"))
-    at = lambda c: F.floor(c / cell).cast("bigint")
-    tri = tri.withColumn("cv", F.explode(F.sequence(at(F.col("v_lo")), at(F.col("v_hi"))))).withColumn(
-        "cz", F.explode(F.sequence(at(F.col("z_lo")), at(F.col("z_hi"))))
+    def level(low: str, high: str) -> Column:
+        return F.greatest(
+            F.lit(MIN_LEVEL), F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(1e-9)) / F.lit(base_cell))).cast("int")
+        )
+
+    # Either axis has its own level, so a tall narrow wall lies in tall narrow cells.
+    tri = tri.withColumns({"lv": level("v_lo", "v_hi"), "lz": level("z_lo", "z_hi")})
+    at = lambda c, lev: F.floor(c / (F.lit(base_cell) * F.pow(F.lit(2.0), F.col(lev)))).cast("bigint")
+    tri = tri.withColumn("cv", F.explode(F.sequence(at(F.col("v_lo"), "lv"), at(F.col("v_hi"), "lv")))).withColumn(
+        "cz", F.explode(F.sequence(at(F.col("z_lo"), "lz"), at(F.col("z_hi"), "lz")))
     )
-    # Grid sizes that occur per case: a handful of rows per case.
-    used = tri.select(key, "level").distinct()
+    # Grid sizes that occur per case and direction: a handful of rows each.
+    used = tri.groupBy(key, "dir").agg(F.collect_set(F.struct("lv", "lz")).alias("__used"))
     rays = (
-        origins.select(key, F.col(origin_id).alias("__o"), "x", "y", "z")
-        .join(used, key)
-        .withColumn("d", F.explode(dirs))
-        .select(key, "__o", "x", "y", "z", "level", F.col("d.dir").alias("dir"), F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"))
+        origins.select(key, F.col(origin_id).alias("__o"), "x", "y", "z", F.explode(dirs).alias("d"))
+        .select(key, "__o", "x", "y", "z", F.col("d.dir").alias("dir"), F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"))
+        .join(used, [key, "dir"])
         .withColumn("v", F.col("y") * F.col("dx") - F.col("x") * F.col("dy"))
-        .withColumn("cv", at(F.col("v")))
-        .withColumn("cz", at(F.col("z")))
+        .select("*", F.explode("__used").alias("__l")).select("*", "__l.lv", "__l.lz").drop("__used", "__l")
+        .withColumn("cv", at(F.col("v"), "lv"))
+        .withColumn("cz", at(F.col("z"), "lz"))
     )
-    met = salted_join(rays, tri, [key, "dir", "level", "cv", "cz"], ["__o"]).filter(
+    met = salted_join(rays, tri, [key, "dir", "lv", "lz", "cv", "cz"], ["__o"]).filter(
         (F.col("v") >= F.col("v_lo")) & (F.col("v") <= F.col("v_hi")) & (F.col("z") >= F.col("z_lo")) & (F.col("z") <= F.col("z_hi"))
     )
     # Ray and triangle by barycentric coordinates (Moeller and Trumbore).

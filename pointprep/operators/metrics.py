@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.scalar import as_col
-from pointprep.plans.skew import exact_percentiles, hot_groups, hot_row_limit, ranked
+from pointprep.plans.select import percentiles
+from pointprep.plans.skew import ranked
 
 # Fixed values
 SLICE_HEIGHTS = (1.5, 5.0, 10.0, 20.0, 40.0, 80.0, 120.0)
@@ -112,7 +113,7 @@ def slice_stats(
     """Colour limits per horizontal slice and field; ``fields`` maps name to (target, prediction).
 
     A point belongs to every slice whose height it meets. The slices are a short
-    literal list, so membership is a filter on an array and needs no join.
+    literal list, so membership is a filter on an array and needs no join. The points are read twice.
     """
     slices = F.array(*[
         F.struct(F.lit(float(h)).alias("height"), F.lit(float(t)).alias("tol")) for h, t in zip(heights, tolerances)
@@ -132,20 +133,7 @@ def slice_stats(
         .select(*keys, "height", "f.*")
     )
     group = [*keys, "height", "field"]
-    limit = hot_rows if hot_rows is not None else hot_row_limit(points.sparkSession)
-    hot = hot_groups(long, group, limit)
-    count = F.count(F.lit(1)).alias("n")
-    if hot:
-        gt = exact_percentiles(long, group, "target", {"lo": 0.005, "hi": 0.995}, limit, hot)
-        err = exact_percentiles(long, group, "error", {"e": 0.995}, limit, hot)
-        limits = long.groupBy(*group).agg(count).join(gt, group).join(err, group)
-    else:
-        limits = long.groupBy(*group).agg(
-            count,
-            F.percentile("target", 0.005).alias("lo"),
-            F.percentile("target", 0.995).alias("hi"),
-            F.percentile("error", 0.995).alias("e"),
-        )
+    limits = percentiles(long, group, {"lo": ("target", 0.005), "hi": ("target", 0.995), "e": ("error", 0.995)}, hot_rows)
     flat = F.abs(F.col("hi") - F.col("lo")) < 1e-10
     return limits.filter(F.col("n") >= min_points).select(
         *group,

@@ -281,10 +281,21 @@ def block_adjacency(edges: DataFrame, leaves: DataFrame, n_register: int = 16, b
     return pairs.withColumn("n_keys", F.count(F.lit(1)).over(W.partitionBy(key, "q_block")))
 
 
-def rotary_features(leaves: DataFrame, scale: Sequence[float], dims: Sequence[int] = ROTARY_DIMS,
+def with_stratum_scale(leaves: DataFrame, axis_scales: DataFrame, stratum: str = "sub_bin", name: str = "axis_scale") -> DataFrame:
+    """Leaves with the scales of their stratum as one array in the order of the axes; NULL for an unknown stratum."""
+    # One row per stratum.
+    packed = axis_scales.groupBy(stratum).agg(F.sort_array(F.collect_list(F.struct("axis", "scale"))).alias("__s"))
+    packed = packed.select(F.col(stratum).alias("__r"), F.transform("__s", lambda s: s["scale"]).alias(name))
+    return leaves.join(F.broadcast(packed), F.col(stratum) == F.col("__r"), "left").drop("__r")
+
+
+def rotary_features(leaves: DataFrame, scale: Sequence[Column | float], dims: Sequence[int] = ROTARY_DIMS,
                     base: float = ROTARY_BASE, registers: int = REGISTER_TOKENS, divisor: float = 1.0,
                     key: str = "case_id", leaf_id: str = "leaf_id") -> DataFrame:
-    """Cosine and sine arrays per leaf, then the register tokens with the identity rotation."""
+    """Cosine and sine arrays per leaf, then the register tokens with the identity rotation.
+
+    ``scale`` has a number or a column of the leaves for each axis, so every case can turn by its own stratum's.
+    """
     angles = rotary_angles([F.col(c) / F.lit(divisor) for c in "xyz"], scale, dims, base)
     turned = leaves.select(key, leaf_id, angles.alias("__a")).select(
         key, leaf_id, F.transform("__a", lambda a: F.cos(a)).alias("cos_v"), F.transform("__a", lambda a: F.sin(a)).alias("sin_v")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pointprep.functions.rng import gumbel, uniform
 from pointprep.functions.scalar import STRATA, curriculum_count, curriculum_temperature, query_split
-from pointprep.plans.skew import ranked
+from pointprep.plans.select import ACCURACY, SHARES, near_bounds, threshold
+from pointprep.plans.skew import hot_row_limit, ranked
+from pointprep.session import materialize
 
 
 def gumbel_topk(
@@ -54,31 +56,37 @@ def query_slots(
 ) -> DataFrame:
     """Slots 0..n_query-1 per case: weighted volume rows, uniform surface rows, padding.
 
-    Padding slots have no point and ``valid`` false, so all cases have equal length.
+    Padding slots have no point and ``valid`` false, so all cases have equal length. The points are read twice:
+    once for counts and sketches of the draws, once for the rows that the sketches let through.
     """
     flag = F.col(surface)
     n_vol, n_surf = query_split("__nv", "__ns", n_query)
-    counts = (
-        points.groupBy(key)
-        .agg(F.count_if(~flag).alias("__nv"), F.count_if(flag).alias("__ns"))
-        .select(key, n_vol.alias("__qv"), n_surf.alias("__qs"))
+    # A volume row sorts by its weighted draw, a surface row by a plain one; the least sort keys are taken.
+    draw = F.when(F.col("__surf"), uniform("surface", F.col(key), epoch, F.col(row_id))).otherwise(
+        -gumbel(F.col("__lw"), uniform("gumbel", F.col(key), epoch, F.col(row_id)))
     )
-    cols = points.select(key, row_id, surface, log_weight.alias("__lw"))
-    volume = gumbel_topk(cols.filter(~flag), F.col("__lw"), n_query, epoch, key, row_id, "__rn", hot_rows)
-    surf = uniform_sample(cols.filter(flag), n_query, epoch, [key], row_id, "surface", "__rn", hot_rows)
-    # At most n_query rows per case are left on this side.
-    volume = volume.join(counts, key).filter(F.col("__rn") <= F.col("__qv"))
-    surf = surf.join(counts, key).filter(F.col("__rn") <= F.col("__qs"))
-    taken = volume.select(
-        key, (F.col("__rn") - 1).alias("slot"), row_id, F.lit(False).alias("is_surf"), F.lit(True).alias("valid")
-    ).unionByName(
-        surf.select(
-            key,
-            (F.col("__qv") + F.col("__rn") - 1).alias("slot"),
-            row_id,
-            F.lit(True).alias("is_surf"),
-            F.lit(True).alias("valid"),
-        )
+    drawn = points.select(key, row_id, flag.alias("__surf"), log_weight.alias("__lw")).withColumn("__by", draw).drop("__lw")
+    sketch = lambda of: F.percentile_approx(F.when(of, F.col("__by")), SHARES, ACCURACY)
+    sized = drawn.groupBy(key).agg(
+        F.count_if(~F.col("__surf")).alias("__nv"), F.count_if("__surf").alias("__ns"),
+        sketch(~F.col("__surf")).alias("__kv"), sketch(F.col("__surf")).alias("__ks"),
+    ).withColumns({"__qv": n_vol, "__qs": n_surf})
+    # One row per case: how many rows of each kind, and a sort key that enough of them do not exceed.
+    counts = materialize(sized.select(
+        key, (F.col("__nv") + F.col("__ns")).alias("__all"), "__qv", "__qs",
+        threshold(F.col("__kv"), F.col("__nv"), F.col("__qv")).alias("__tv"),
+        threshold(F.col("__ks"), F.col("__ns"), F.col("__qs")).alias("__ts"),
+    ), "counts")
+    limit = hot_rows if hot_rows is not None else hot_row_limit(points.sparkSession)
+    quota = F.when(F.col("__surf"), F.col("__qs")).otherwise(F.col("__qv"))
+    bound = F.when(F.col("__surf"), F.col("__ts")).otherwise(F.col("__tv"))
+    # What passes is a few times the wanted number of rows, so one window per case and kind is enough.
+    close = near_bounds(drawn, counts, [key], [row_id], "__all", limit).filter(bound.isNull() | (F.col("__by") <= bound))
+    place = F.row_number().over(W.partitionBy(key, "__surf").orderBy("__by", row_id)).cast("bigint")
+    best = close.withColumn("__rn", place).filter(F.col("__rn") <= quota)
+    slot = F.when(F.col("__surf"), F.col("__qv")).otherwise(F.lit(0)) + F.col("__rn") - 1
+    taken = best.select(
+        key, slot.cast("bigint").alias("slot"), row_id, F.col("__surf").alias("is_surf"), F.lit(True).alias("valid")
     )
     used = F.col("__qv") + F.col("__qs")
     padding = (

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.scalar import LEAVES_PER_STRATUM, log_abs, nan_to_null, standardise, unstandardise
-from pointprep.plans.skew import exact_percentiles
+from pointprep.plans.select import percentiles
 
 VOLUME_FIELDS = {"Ux": "ux", "Uy": "uy", "Uz": "uz", "p_vol": "p", "nut_nondim": "nut"}
 SURFACE_FIELDS = {"p_surf": "p", "wss_x": "wss_x", "wss_y": "wss_y", "wss_z": "wss_z"}
@@ -123,7 +123,7 @@ def axis_scale(
     """Scale per stratum and axis: cube root of the leaf count times the relative extent."""
     entries = [F.struct(F.lit(i).alias("axis_no"), F.lit(a).alias("axis"), F.col(a).alias("v")) for i, a in enumerate(axes)]
     long = centroids.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    spans = exact_percentiles(long, ["axis_no", "axis"], "v", {"p_low": low, "p_high": high}, hot_rows)
+    spans = percentiles(long, ["axis_no", "axis"], {"p_low": ("v", low), "p_high": ("v", high)}, hot_rows)
     spans = spans.withColumn("extent", F.greatest(F.col("p_high") - F.col("p_low"), F.lit(1e-8)))
     one = spans.agg(
         F.array_sort(F.collect_list(F.struct("axis_no", "axis", "extent"))).alias("axes"),

@@ -198,7 +198,8 @@ def _joined(columns: list[str]) -> str:
     return " ".join(f"join f_norm n_{c} on n_{c}.channel = '{c}'" for c in columns)
 
 
-ZCOLS = ["ux", "uy", "uz", "p", "nut"]
+ZCOLS = list(CHANNELS)
+FLOW = ["ux", "uy", "uz", "p", "nut"]
 
 
 @query("zscore_apply", sql(f"""select point_id, {', '.join(f'{R(f"(t.{c} - n_{c}.mean)/greatest(n_{c}.std, 1e-8)", 5)} as {c}' for c in ZCOLS)}
@@ -209,14 +210,15 @@ def zscore_apply(spark, sf_dir):
     return out.select("point_id", *[r(c, 5).alias(c) for c in ZCOLS])
 
 
-@query("denormalize", sql(f"""select point_id, {R('t.ux*n_ux.std + n_ux.mean', 5)} ux, {R('t.p*n_p.std + n_p.mean - 9.81e0*t.z', 5)} p
-    from f_points t {_joined(['ux', 'p'])}"""))
+@query("denormalize", sql(f"""select point_id, {', '.join(
+    f"{R(f't.{c}*n_{c}.std + n_{c}.mean' + (' - 9.81e0*t.z' if c == 'p' else ''), 5)} as {c}" for c in FLOW)}
+    from f_points t {_joined(FLOW)}"""))
 def denormalize(spark, sf_dir):
     from pointprep.functions.scalar import retrend
 
-    lookup = stats.stats_lookup(stats.norm_stats(train_points(spark, sf_dir), {c: c for c in ("ux", "p")}))
-    out = stats.denormalize(points(spark, sf_dir).select("point_id", "ux", "p", "z"), lookup)
-    return out.select("point_id", r("ux", 5).alias("ux"), r(retrend("p", "z"), 5).alias("p"))
+    lookup = stats.stats_lookup(stats.norm_stats(train_points(spark, sf_dir), {c: c for c in FLOW}))
+    out = stats.denormalize(points(spark, sf_dir).select("point_id", *FLOW, "z"), lookup).withColumn("p", retrend("p", "z"))
+    return out.select("point_id", *[r(c, 5).alias(c) for c in FLOW])
 
 
 _EXT = ", ".join(f"greatest(quantile_cont({a}, 0.95e0) - quantile_cont({a}, 0.05e0), 1e-8) e{a}" for a in "xyz")

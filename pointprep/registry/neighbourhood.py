@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointprep.functions import encode
-from pointprep.operators import neighbours as N
+from pointprep.operators import mesh, neighbours as N
 from pointprep.plans.knn import knn_join
 from pointprep.registry.core import query
 from pointprep.registry.fixtures import R, U, big, define, leaves, points, r, sql, table
-from pointprep.registry.curation import train_leaves
+from pointprep.registry.curation import stratified, train_leaves
+from pointprep.registry.shapes import HITS, faces, vertices
 from pointprep.operators.stats import axis_scale
 from pointprep.session import materialize
 
 K, K_SELF, K_IDW = 8, 4, 3
 N_RANDOM, N_REGISTER, BLOCK = 3, 2, 4
+REGISTERS = encode.REGISTER_TOKENS
 
 define("f_cloud", "select *, ux as curv_mean, uy as curv_gauss from f_points")
 define("f_knn", f"""select * from (
@@ -36,6 +38,12 @@ define("f_edge", """select e.*, p.x, p.y, p.z, p.sdf, p.gx, p.gy, p.gz, p.curv_m
     from f_knn e join f_cloud p on e.point_id = p.point_id""")
 
 
+define("f_leafhits", HITS.format(origins="f_leaves"))
+define("f_leafrays", "select case_id, leaf_id, " + ", ".join(
+    f"1e0 - exp(-max(t) filter (where dir = {i})/50e0) as d{i}" for i in range(mesh.DIRECTIONS)
+) + " from f_leafhits group by 1, 2")
+
+
 def cloud(spark, sf_dir):
     return points(spark, sf_dir).withColumn("curv_mean", F.col("ux")).withColumn("curv_gauss", F.col("uy"))
 
@@ -97,10 +105,10 @@ def surface_gradient(spark, sf_dir):
     return out.select("case_id", "point_id", "volume_id", "sdf", *[r(c).alias(c) for c in ("gx", "gy", "gz")])
 
 
-@query("centroid_attrs", sql(f"""select case_id, leaf_id, {R('sdf')} sdf, {R('gx')} gx, {R('curv_mean')} curv_mean, {R('curv_gauss')} curv_gauss
+@query("centroid_attrs", sql(f"""select case_id, leaf_id, {R('sdf')} sdf, {R('gx')} gx, {R('gy')} gy, {R('gz')} gz, {R('curv_mean')} curv_mean, {R('curv_gauss')} curv_gauss
     from f_edge where "rank" = 1"""))
 def centroid_attrs(spark, sf_dir):
-    cols = ["sdf", "gx", "curv_mean", "curv_gauss"]
+    cols = ["sdf", "gx", "gy", "gz", "curv_mean", "curv_gauss"]
     out = N.nearest_attributes(edges(spark, sf_dir, cols))
     return out.select("case_id", "leaf_id", *[r(c).alias(c) for c in cols])
 
@@ -136,20 +144,22 @@ def leaf_stats(spark, sf_dir):
 
 @query("leaf_aggregate", sql(f"""select s.case_id, s.leaf_id, {big('i - 1')} pos, {R('v[i]', 5)} value from (
     select s.case_id, s.leaf_id, [{', '.join('s.' + n for n in N.STAT_NAMES)}, e.sdf, e.gx, e.gy, e.gz, e.curv_mean, e.curv_gauss,
-      l.x/550e0, l.y/550e0, l.z/550e0] v
+      l.x/550e0, l.y/550e0, l.z/550e0, {', '.join(f"coalesce(h.d{i}, 1e0)" for i in range(mesh.DIRECTIONS))}] v
     from f_leafstats s join f_edge e on s.case_id = e.case_id and s.leaf_id = e.leaf_id and e."rank" = 1
-    join f_leaves l on s.case_id = l.case_id and s.leaf_id = l.leaf_id) s, range(1, 31) g(i)"""))
+    join f_leaves l on s.case_id = l.case_id and s.leaf_id = l.leaf_id
+    left join f_leafrays h on h.case_id = s.case_id and h.leaf_id = s.leaf_id) s, range(1, 47) g(i)"""))
 def leaf_aggregate(spark, sf_dir):
-    """Ray features need a mesh these cases lack, so that part of the vector is empty here."""
+    """Rays look at the buildings of the case with the same number; where there is none they all miss."""
     cols = [*EDGE_COLS, "gx", "gy", "gz"]
     e = materialize(edges(spark, sf_dir, cols), "edges")
     table = leaves(spark, sf_dir)
     stat = N.leaf_stats(e, table, K)
     at = N.nearest_attributes(e).select("case_id", "leaf_id", "sdf", "gx", "gy", "gz", "curv_mean", "curv_gauss")
-    joined = stat.join(at, ["case_id", "leaf_id"]).join(table, ["case_id", "leaf_id"])
+    rays = mesh.ray_vector(mesh.ray_distance(table, vertices(spark, sf_dir), faces(spark, sf_dir)))
+    joined = stat.join(at, ["case_id", "leaf_id"]).join(table, ["case_id", "leaf_id"]).join(rays, ["case_id", "leaf_id"])
     vector = encode.leaf_vector(
         F.array(*N.STAT_NAMES), F.col("sdf"), [F.col(c) for c in ("gx", "gy", "gz")], F.col("curv_mean"),
-        F.col("curv_gauss"), [F.col(c) / 550.0 for c in "xyz"], F.array().cast("array<double>"),
+        F.col("curv_gauss"), [F.col(c) / 550.0 for c in "xyz"], F.col("pbd"),
     )
     out = joined.select("case_id", "leaf_id", F.posexplode(vector).alias("pos", "value"))
     return out.select("case_id", "leaf_id", F.col("pos").cast("bigint").alias("pos"), r("value", 5).alias("value"))
@@ -159,16 +169,15 @@ POOL = ["sdf", "gx", "gy", "gz", "is_surface", "curv_mean", "curv_gauss"]
 
 
 @query("neighbour_pool", sql(f"""select e.case_id, e.leaf_id, {big('"rank" - 1')} slot,
-    {R('(e.x-l.x)/550e0')} rel_x, {R('e.sdf')} sdf, {R('cast(cast(e.is_surface as int) as double)')} surf, {R('e.curv_gauss')} curv_gauss
+    {', '.join(f"{R(f'(e.{a}-l.{a})/550e0')} as rel_{a}" for a in 'xyz')}, {', '.join(f"{R(f'cast(cast(e.is_surface as int) as double)' if c == 'is_surface' else f'e.{c}')} as {c}" for c in POOL)}
     from f_edge e join f_leaves l on e.case_id = l.case_id and e.leaf_id = l.leaf_id"""))
 def neighbour_pool(spark, sf_dir):
     e = edges(spark, sf_dir, ["x", "y", "z", *POOL])
     pool = N.neighbour_pool(e, leaves(spark, sf_dir), POOL, scale=550.0)
     out = pool.select("case_id", "leaf_id", F.posexplode("pool").alias("slot", "v"))
-    at = lambda i: r(F.element_at("v", i))
+    names = ["rel_x", "rel_y", "rel_z", *POOL]
     return out.select(
-        "case_id", "leaf_id", F.col("slot").cast("bigint").alias("slot"), at(1).alias("rel_x"), at(4).alias("sdf"),
-        at(8).alias("surf"), at(10).alias("curv_gauss"),
+        "case_id", "leaf_id", F.col("slot").cast("bigint").alias("slot"), *[r(F.col("v")[i]).alias(n) for i, n in enumerate(names)]
     )
 
 
@@ -200,11 +209,11 @@ def idw_weights(spark, sf_dir):
     return idw(spark, sf_dir).select("case_id", "point_id", "rank", "leaf_id", r("weight").alias("weight"))
 
 
-@query("idw_interpolate", sql(f"""select w.case_id, w.point_id, {R('sum(w.weight*l.x)')} x, {R('sum(w.weight*l.y)')} y
+@query("idw_interpolate", sql(f"""select w.case_id, w.point_id, {R('sum(w.weight*l.x)')} x, {R('sum(w.weight*l.y)')} y, {R('sum(w.weight*l.z)')} z
     from f_idw w join f_leaves l on w.case_id = l.case_id and w.leaf_id = l.leaf_id group by 1, 2"""))
 def idw_interpolate(spark, sf_dir):
-    out = N.idw_interpolate(materialize(idw(spark, sf_dir), "weights"), leaves(spark, sf_dir), ["x", "y"])
-    return out.select("case_id", "point_id", r("x").alias("x"), r("y").alias("y"))
+    out = N.idw_interpolate(materialize(idw(spark, sf_dir), "weights"), leaves(spark, sf_dir), ["x", "y", "z"])
+    return out.select("case_id", "point_id", *[r(c).alias(c) for c in "xyz"])
 
 
 @query("idw_check", sql(f"""select {big('count(*)')} n_queries, {big('count(*) filter (where abs(s - 1e0) > 1e-2)')} n_off
@@ -256,21 +265,20 @@ def block_adjacency(spark, sf_dir):
     return N.block_adjacency(graph(spark, sf_dir), leaves(spark, sf_dir), N_REGISTER, BLOCK)
 
 
-_ROPE = ", ".join(
-    f"(l.{a}/550e0) * {(1.0 / 100.0 ** (2.0 * i / d))!r}e0 * s{a}".replace("1.0e0 *", "1e0 *")
-    for a, d in (("x", 6), ("y", 6), ("z", 4)) for i in range(d // 2)
-)
+_PAIRS = [(a, f"{1.0 / encode.ROTARY_BASE ** (2.0 * i / d)!r}") for a, d in zip("xyz", encode.ROTARY_DIMS) for i in range(d // 2)]
+_ROPE = ", ".join(f"(l.{a}/550e0) * cast('{w}' as double) * s{a}" for a, w in _PAIRS)
 
 
 @query("rope_features", sql(f"""select case_id, leaf_id, {big('i - 1')} pos, {R('cos(v[i])')} cos_v, {R('sin(v[i])')} sin_v from (
-      select l.case_id, l.leaf_id, [{_ROPE}] v from f_leaves l,
-        (select max(scale) filter (where axis = 'x') sx, max(scale) filter (where axis = 'y') sy, max(scale) filter (where axis = 'z') sz
-         from f_scale where sub_bin = '60-79_easy')), range(1, 9) g(i)
+      select l.case_id, l.leaf_id, [{_ROPE}] v from f_leaves l join f_strata c on l.case_id = c.case_id join
+        (select sub_bin, max(scale) filter (where axis = 'x') sx, max(scale) filter (where axis = 'y') sy, max(scale) filter (where axis = 'z') sz
+         from f_scale group by 1) k on k.sub_bin = c.sub_bin), range(1, {len(_PAIRS) + 1}) g(i)
     union all select case_id, {big('n + t.i')}, {big('g.i - 1')}, 1e0, 0e0
-      from (select case_id, count(*) n from f_leaves group by 1), range(0, {N_REGISTER}) t(i), range(1, 9) g(i)"""))
+      from (select l.case_id, count(*) n from f_leaves l join f_strata c on l.case_id = c.case_id group by 1), range(0, {REGISTERS}) t(i), range(1, {len(_PAIRS) + 1}) g(i)"""))
 def rope_features(spark, sf_dir):
-    scales = axis_scale(train_leaves(spark, sf_dir), leaves={"60-79_easy": 57344})
-    scale = {row["axis"]: row["scale"] for row in scales.collect()}
-    out = N.rotary_features(leaves(spark, sf_dir), [scale[a] for a in "xyz"], dims=(6, 6, 4), registers=N_REGISTER, divisor=550.0)
+    """Each case turns by the scales of its own stratum."""
+    table = leaves(spark, sf_dir).join(stratified(spark, sf_dir).select("case_id", "sub_bin"), "case_id")
+    scaled = N.with_stratum_scale(table, axis_scale(train_leaves(spark, sf_dir)))
+    out = N.rotary_features(scaled, [F.col("axis_scale")[i] for i in range(3)], registers=REGISTERS, divisor=550.0)
     wide = out.select("case_id", "leaf_id", F.posexplode(F.arrays_zip("cos_v", "sin_v")).alias("pos", "e"))
     return wide.select("case_id", "leaf_id", F.col("pos").cast("bigint").alias("pos"), r("e.cos_v").alias("cos_v"), r("e.sin_v").alias("sin_v"))

@@ -156,12 +156,15 @@ def batches(spark, sf_dir):
     with placed as (select *, row_number() over (partition by shard, sub_bin order by u, case_id) - 1 i, count(*) over (partition by shard, sub_bin) n from (
       select shard, sub_bin, case_id, leaves, b, {U("'batch'", "'0'", "shard", "case_id")} u
       from f_shards join (values {_PAR}) v(s, leaves, b) on s = sub_bin)),
-    firsts as (select distinct shard, sub_bin, leaves, i // b as batch from placed)
-    select shard, sub_bin, leaves, {big('batch')} batch, {big(f"row_number() over (partition by shard order by leaves, {U(chr(39)+'tie'+chr(39), 'sub_bin', 'batch')}) - 1")} seq
-    from (select shard, sub_bin, cast(leaves as bigint) leaves, batch from firsts)"""))
+    slots as (select shard, sub_bin, leaves, i // b as batch, i % b as pos, case_id, false as is_fill from placed
+      union all select shard, sub_bin, leaves, n // b, g, case_id, true from (select *, unnest(range(n % b, b)) g from placed where i = 0 and n % b > 0)),
+    seqs as (select shard, sub_bin, batch, row_number() over (partition by shard order by leaves, {U("'tie'", 'sub_bin', 'batch')}) - 1 as seq
+      from (select distinct shard, sub_bin, leaves, batch from slots))
+    select s.shard, s.sub_bin, {big('leaves')} leaves, {big('s.batch')} batch, {big('pos')} pos, case_id, is_fill, {big('seq')} seq
+    from slots s join seqs o on s.shard = o.shard and s.sub_bin = o.sub_bin and s.batch = o.batch"""))
 def batches_first_epoch(spark, sf_dir):
     out = batching.batches(sharded(spark, sf_dir), 0)
-    return out.filter("pos = 0").select("shard", "sub_bin", "leaves", "batch", "seq")
+    return out.select("shard", "sub_bin", "leaves", "batch", "pos", "case_id", "is_fill", "seq")
 
 
 @query("steps_per_epoch", sql(f"""select {big('greatest(coalesce(sum((n + b - 1) // b), 0), 1)')} steps

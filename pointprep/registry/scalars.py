@@ -151,19 +151,18 @@ def query_counts(spark, sf_dir):
     return counts.select("case_id", n_vol.alias("n_query_vol"), n_surf.alias("n_query_surf"))
 
 
-FOURIER_SQL = ", ".join(["ux", "uy", "uz"] + [
-    f"{fn}({c} * {(2.0**k * math.pi)!r}e0)" for c in ("ux", "uy", "uz") for fn in ("sin", "cos") for k in range(4)
-])
+FOURIER = ["ux", "uy", "uz", "p", "gx", "gy", "gz"]
+FREQS = 10
+_WAVES = [f"{c}/1e2" for c in FOURIER] + [
+    f"{fn}({c}/1e2 * {(2.0**k * math.pi)!r}e0)" for c in FOURIER for fn in ("sin", "cos") for k in range(FREQS)
+]
 
 
-@query("fourier_features", sql(f"""
-    select point_id, {big('i - 1')} pos, {R('v[i]')} value
-    from (select point_id, [{FOURIER_SQL}] v from (select point_id, ux/1e2 ux, uy/1e2 uy, uz/1e2 uz from f_points)),
-         range(1, 28) g(i)"""))
+@query("fourier_features", sql(f"select point_id, {', '.join(f'{R(w)} as f{i}' for i, w in enumerate(_WAVES))} from f_points"))
 def fourier_features(spark, sf_dir):
-    p = points(spark, sf_dir).select("point_id", *[(F.col(c) / 100.0).alias(c) for c in ("ux", "uy", "uz")])
-    wide = p.select("point_id", F.posexplode(encode.fourier(["ux", "uy", "uz"], 4)).alias("pos", "value"))
-    return wide.select("point_id", F.col("pos").cast("bigint").alias("pos"), r("value").alias("value"))
+    p = points(spark, sf_dir).select("point_id", *[(F.col(c) / 100.0).alias(c) for c in FOURIER])
+    wide = p.select("point_id", encode.fourier(FOURIER, FREQS).alias("v"))
+    return wide.select("point_id", *[r(F.col("v")[i]).alias(f"f{i}") for i in range(len(_WAVES))])
 
 
 @query("vector_mean", f"""

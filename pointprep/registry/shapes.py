@@ -49,13 +49,14 @@ define("f_lloyd", """select case_id, bin, cluster, count(*) n, avg(x) x, avg(y)
 
 
 @query("lloyd_step", sql(f"""select s.case_id, s.bin, s.cluster, {R('coalesce(l.x, s.x)')} x, {R('coalesce(l.y, s.y)')} y,
-    {big('coalesce(l.n, 0)')} n, {R('coalesce(l.cost, 0e0)')} "cost"
+    {R('coalesce(l.z, s.z)')} z, {big('coalesce(l.n, 0)')} n, {R('coalesce(l.cost, 0e0)')} "cost",
+    {R('coalesce(sqrt((l.x-s.x)*(l.x-s.x) + (l.y-s.y)*(l.y-s.y) + (l.z-s.z)*(l.z-s.z)), 0e0)')} moved
     from f_seed s left join f_lloyd l on s.case_id = l.case_id and s.bin = l.bin and s.cluster = l.cluster"""))
 def lloyd_step(spark, sf_dir):
     p = binned(spark, sf_dir).select("case_id", "bin", "point_id", "x", "y", "z")
     seeds = materialize(C.seed_centroids(p, allocation(spark, sf_dir)), "seeds")
     out = C.lloyd_step(p, seeds)
-    return out.select("case_id", "bin", "cluster", r("x").alias("x"), r("y").alias("y"), "n", r("cost").alias("cost"))
+    return out.select("case_id", "bin", "cluster", *[r(c).alias(c) for c in "xyz"], "n", r("cost").alias("cost"), r("moved").alias("moved"))
 
 
 ROUNDS = 3
@@ -192,13 +193,14 @@ def point_curvature(spark, sf_dir):
 
 
 _DIRS = ", ".join(f"({i}, {c!r}e0, {s!r}e0)" if "e" not in repr(c) + repr(s) else f"({i}, cast('{c!r}' as double), cast('{s!r}' as double))" for i, c, s in mesh.directions())
-define("f_hits", f"""select case_id, leaf_id, dir, min(t) t from (
+HITS = f"""select case_id, leaf_id, dir, min(t) t from (
     select *, (e2x*qx + e2y*qy + e2z*qz)/det t, (sx*hx + sy*hy + sz*hz)/det u, (dx*qx + dy*qy)/det v from (
       select *, sy*e1z - sz*e1y qx, sz*e1x - sx*e1z qy, sx*e1y - sy*e1x qz, e1x*hx + e1y*hy + e1z*hz det from (
         select *, dy*e2z hx, -dx*e2z hy, dx*e2y - dy*e2x hz from (
           select o.case_id, o.leaf_id, d.dir, d.dx, d.dy, bx-ax e1x, by_-ay e1y, bz-az e1z, cx-ax e2x, cy-ay e2y, cz-az e2z, o.x-ax sx, o.y-ay sy, o.z-az sz
-          from f_origins o join f_tri t on o.case_id = t.case_id, (values {_DIRS}) d(dir, dx, dy)))) where abs(det) > 1e-12)
-    where u >= 0 and v >= 0 and u + v <= 1 and t >= 0 group by 1, 2, 3""")
+          from {{origins}} o join f_tri t on o.case_id = t.case_id, (values {_DIRS}) d(dir, dx, dy)))) where abs(det) > 1e-12)
+    where u >= 0 and v >= 0 and u + v <= 1 and t >= 0 group by 1, 2, 3"""
+define("f_hits", HITS.format(origins="f_origins"))
 
 
 @query("ray_distance", sql(f"""select {big('o.case_id')} case_id, o.leaf_id, {big('d.dir')} dir, {R('h.t')} dist, {R('coalesce(1e0 - exp(-h.t/50e0), 1e0)')} feature
