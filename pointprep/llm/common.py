@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pointprep.session import materialize
+from pointprep.session import materialize, scratch_path
 
-__all__ = ["WORD", "arrow_map", "materialize", "read_table"]
+__all__ = ["WORD", "arrow_map", "materialize", "read_table", "stage"]
 
 #: A word is a run of anything but these six white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path, so that it can be discarded once nothing reads it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], schema: str, out_rows: int = OUT_ROWS) -> DataFrame:
     """Run ``rows`` over each partition; it takes an iterator of batches and yields output tuples.
 

@@ -32,9 +32,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def word_symbols(text: str) -> np.ndarray:
+def word_symbols(text: str) -> tuple[np.ndarray, bytes, int]:
     words = words_of(text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    values = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return values, values.tobytes(), 8
 
 
 def parse_block(passages: list[tuple[int, int, list[int]]]) -> list[list[tuple[int, int]]]:
@@ -43,13 +44,14 @@ def parse_block(passages: list[tuple[int, int, list[int]]]) -> list[list[tuple[i
     A passage is its key, the offset of its first window from the anchor, and its windows' hashes.
     Passages come in the order of their keys.
     """
-    index: dict[tuple[int, int], int] = {}
+    # Offsets differ by less than a window, hashes are of 64 bits: one number names both.
+    index: dict[int, int] = {}
     out = []
     for number, (key, offset, hashes) in enumerate(passages):
         factors = []
         i, n = 0, len(hashes)
         while i < n:
-            reference = index.get((offset + i, hashes[i]))
+            reference = index.get(hashes[i] + ((offset + i) << 64))
             if reference is None or passages[reference][0] >= key:
                 i += 1
                 continue
@@ -62,7 +64,7 @@ def parse_block(passages: list[tuple[int, int, list[int]]]) -> list[list[tuple[i
             i = j
         out.append(factors)
         for i, h in enumerate(hashes):
-            index.setdefault((offset + i, h), number)
+            index.setdefault(h + ((offset + i) << 64), number)
     return out
 
 
@@ -73,7 +75,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     which of two passages is earlier. The texts are shuffled once; both passes over them read the same exchange.
     """
     docs = an.identified(docs)
-    work = an.sort_anchors(an.anchor_rows(docs, word_symbols, window, gram), F.col("least") < F.col("key"))
+    work = an.sort_anchors(docs, word_symbols, window, gram, F.col("least") < F.col("key"))
     kinds = work.select(F.explode("work.kind").alias("k")).groupBy("k").count().collect()
     some_hot = any(r["k"] & an.HOT for r in kinds)
     dealt = docs.repartition("row")
@@ -82,17 +84,14 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         for batch in batches:
             work_at = an.work_of(batch["work"])
             for i, (r, k) in enumerate(zip(batch["row"].to_pylist(), batch["key"].to_pylist())):
-                todo = work_at(i)
-                todo = {p for p, v in todo.items() if v & an.SHIP and v & an.HOT == hot}
+                todo = [w for w in work_at(i) if w[2] & an.SHIP and w[2] & an.HOT == hot]
                 if not todo:
                     continue
-                found = an.find_anchors(word_symbols(batch["text"][i].as_py()), window, gram)
-                if found is None:
-                    continue
-                for j, pair in enumerate(zip(found.gram.tolist(), found.context.tolist())):
-                    if pair in todo:
-                        todo.discard(pair)
-                        yield (*pair, r, k, int(found.first[j] - found.position[j]), found.window_hashes(j))
+                symbols = word_symbols(batch["text"][i].as_py())[0]
+                hashes = an.WindowHashes(symbols)
+                for g, c, _, positions in todo:
+                    first, last = an.reach(positions[0], len(symbols), window, gram)
+                    yield g, c, r, k, first - positions[0], hashes.of(first, last, window)
 
     def shipped(rows: DataFrame, hot: int) -> DataFrame:
         return arrow_map(
@@ -121,8 +120,9 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     blocks = shipped(dealt.join(work, "row", "left"), 0).repartition("gram").sortWithinPartitions("gram", "key", "context")
     factors = arrow_map(blocks, parse, "row long, gram long, context long, spans array<array<int>>")
     if some_hot:
-        crowded = an.materialize(shipped(docs.select("row", "key", "text").join(an.crowded_work(work), "row"), an.HOT), "crowded")
+        crowded, crowded_path = an.stage(shipped(docs.select("row", "key", "text").join(an.crowded_work(work), "row"), an.HOT), "crowded")
         factors = factors.unionByName(an.compare_by_hashes(crowded, lambda: F.col("least") < F.col("key"), round((window - gram + 1) ** 0.5)))
+        an.discard(docs.sparkSession, crowded_path)
     if any(r["k"] & an.WANT for r in kinds):
         # Rows with the same key and context as the row that was compared.
         factors = an.materialize(factors, "factors")
@@ -133,14 +133,13 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     return dealt.join(work, "row", "left").join(per, "row", "left"), work
 
 
-def removed_words(text: str, work: dict, factors: list | None, window: int, gram: int) -> tuple[list[bytes], np.ndarray]:
+def removed_words(text: str, work: list, factors: list | None, window: int, gram: int) -> tuple[list[bytes], np.ndarray]:
     """The words of a text and which of them go."""
     words = words_of(text)
     gone = np.zeros(len(words), bool)
     if work and len(words) >= window:
-        found = an.find_anchors(word_symbols(text), window, gram)
         spans = {(f["gram"], f["context"]): f["spans"] for f in factors or ()}
-        gone = an.covered(an.mark_starts(found, work, spans, len(words)), window, len(words))
+        gone = an.covered(an.mark_starts(work, spans, len(words), window, gram), window, len(words))
     return words, gone
 
 

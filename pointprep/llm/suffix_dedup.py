@@ -33,8 +33,9 @@ PAIRWISE = 12
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def byte_symbols(data: bytes) -> np.ndarray:
-    return _TABLE[np.frombuffer(data, np.uint8)]
+def byte_symbols(text: str) -> tuple[np.ndarray, bytes, int]:
+    data = text.encode()
+    return _TABLE[np.frombuffer(data, np.uint8)], data, 1
 
 
 def common_prefix(a: bytes, b: bytes, k: int = 0) -> int:
@@ -200,17 +201,14 @@ def _contexts(batches: Iterator[dict], window: int, gram: int) -> Iterator[tuple
     for batch in batches:
         work_at = an.work_of(batch["work"])
         for i, k in enumerate(batch["row"].to_pylist()):
-            todo = work_at(i)
-            if not any(v & an.SHIP for v in todo.values()):
+            todo = [w for w in work_at(i) if w[2] & an.SHIP]
+            if not todo:
                 continue
             data = batch["text"][i].as_py().encode()
-            found = an.find_anchors(byte_symbols(data), window, gram)
-            if found is None:
-                continue
-            for j, pair in enumerate(zip(found.gram.tolist(), found.context.tolist())):
-                if (kind := todo.pop(pair, 0)) & an.SHIP:
-                    p = int(found.position[j])
-                    yield (*pair, k, bool(kind & an.HOT), bool(kind & an.SETTLED), data[int(found.first[j]): p][::-1], data[p: p + window])
+            for g, c, kind, positions in todo:
+                p = positions[0]
+                first, _ = an.reach(p, len(data), window, gram)
+                yield g, c, k, bool(kind & an.HOT), bool(kind & an.SETTLED), data[first:p][::-1], data[p: p + window]
 
 
 RUN_SCHEMA = (
@@ -255,7 +253,7 @@ def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> D
     """
     named = an.identified(docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(text, F.lit("")).alias("text")))
     keyed = named.withColumn("key", F.col("row"))
-    work = an.sort_anchors(an.anchor_rows(keyed, lambda t: byte_symbols(t.encode()), window, gram), F.col("n") > 1)
+    work = an.sort_anchors(keyed, byte_symbols, window, gram, F.col("n") > 1)
     kinds = {r["k"]: r["count"] for r in work.select(F.explode("work.kind").alias("k")).groupBy("k").count().collect()}
     shipped = sum(n for k, n in kinds.items() if k & an.SHIP and not k & an.HOT)
     shares = max(1, math.ceil(shipped * 2 * window / SHARE_BYTES))
@@ -285,29 +283,25 @@ def _prepared(docs: DataFrame, window: int, gram: int, text: str, key: str) -> D
             for g, c, k, hot, several, left, suffix in _contexts(batches, window, gram):
                 if hot:
                     data = left[::-1] + suffix
-                    c_sum = np.zeros(len(data) + 1, np.uint64)
-                    an._Powers.reach(len(data))
-                    np.cumsum(byte_symbols(data) * an._Powers.up[: len(data)], out=c_sum[1:])
-                    n = min(len(left), len(data) - window) + 1
-                    h = an.mix((c_sum[window: window + n] - c_sum[:n]) * an._Powers.down[:n]).view(np.int64)
-                    yield g, c, k, k, -len(left), h
-
-        crowded = an.materialize(arrow_map(
+                    hashes = an.WindowHashes(_TABLE[np.frombuffer(data, np.uint8)])
+                    yield g, c, k, k, -len(left), hashes.of(0, min(len(left), len(data) - window), window)
+
+        crowded, crowded_path = an.stage(arrow_map(
             named.join(an.crowded_work(work), "row").select("row", "text", "work"), hashes,
             "gram long, context long, row long, key long, offset int, hashes array<long>", out_rows=2_000,
         ), "crowded")
         merged = merged.unionByName(an.compare_by_hashes(crowded, lambda: F.col("n") > 1, round((window - gram + 1) ** 0.5)))
+        an.discard(docs.sparkSession, crowded_path)
     per = merged.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "spans")).alias("factors"))
     return dealt.join(work, "row", "left").join(per, "row", "left").select(F.col("id").alias("key"), "text", "work", "factors")
 
 
-def removed_bytes(data: bytes, work: dict, factors: list | None, window: int, gram: int) -> np.ndarray:
+def removed_bytes(data: bytes, work: list, factors: list | None, window: int, gram: int) -> np.ndarray:
     """Which bytes of a text go."""
     if not work or len(data) < window:
         return np.zeros(len(data), bool)
-    found = an.find_anchors(byte_symbols(data), window, gram)
     spans = {(f["gram"], f["context"]): f["spans"] for f in factors or ()}
-    return an.covered(an.mark_starts(found, work, spans, len(data)), window, len(data))
+    return an.covered(an.mark_starts(work, spans, len(data), window, gram), window, len(data))
 
 
 def _rows(batches: Iterator[dict], window: int, gram: int) -> Iterator[tuple]:

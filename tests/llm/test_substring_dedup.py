@@ -103,3 +103,13 @@ def test_rows_with_one_key_spread(spark, docs):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(parts) == sum(dealt) == 200 and max(parts) < 120
+
+
+@pytest.mark.parametrize("hot", [60_000, 1])
+def test_texts_of_two_words_that_double_and_swap(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(an, "HOT_CONTEXTS", hot)
+    words = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    swapped = ["ba"["ab".index(w)] for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(swapped)), (3, "x " + " ".join(words[64:200]) + " y"), (4, "a b " * 200)]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in sd.dedup_words(docs(rows), 50, 16).collect()), key=str)
+    assert got == brute(rows, 50)

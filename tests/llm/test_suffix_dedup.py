@@ -77,6 +77,33 @@ def test_null_and_repeated_keys(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(an, "HOT_CONTEXTS", hot)
     rows = [(None if i % 2 else 7, t) for i, (_, t) in enumerate(corpus(7, 50, 8))]
     assert run(docs(rows), 30, 8) == brute(rows, 30)
-    most = max(len(an.find_anchors(sd.byte_symbols(t.encode()), 30, 8).gram) for _, t in rows if len(t) >= 30)
+    most = max(len(an.find_anchors(sd.byte_symbols(t)[0], 30, 8)[0]) for _, t in rows if len(t) >= 30)
     prepared = sd._prepared(docs(rows), 30, 8, "text", "doc_id").collect()
     assert len(prepared) == 50 and max(len(r["work"] or ()) for r in prepared) <= most
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("hot", [60_000, 1])
+def test_texts_of_two_letters_that_double_and_swap(spark, docs, monkeypatch, hot):
+    """Such texts and their complements agree in polynomials modulo a power of two."""
+    monkeypatch.setattr(an, "HOT_CONTEXTS", hot)
+    a = thue_morse(2048)
+    swapped = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a[:1500]), (2, swapped[:1500]), (3, "q" + a[100:700] + "r"), (4, "ab" * 600)]
+    assert run(docs(rows), 400, 100) == brute(rows, 400)
+
+
+def test_window_hashes_follow_the_window_only():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    whole, part = an.WindowHashes(x), an.WindowHashes(x[37:])
+    assert (whole.of(37, 400, 50) == part.of(0, 363, 50)).all()
+    assert len(set(whole.of(0, 450, 50).tolist())) == 451
+    p = (1 << 61) - 1
+    a, b = (rng.integers(0, p, 1000, dtype=np.uint64) for _ in range(2))
+    assert an.times61(a, b).tolist() == [int(i) * int(j) % p for i, j in zip(a, b)]
