@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pointprep.functions.rng import uniform
-from pointprep.plans.blocks import Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
+from pointprep.plans.blocks import CURVE, Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
 from pointprep.plans.components import connected_components
 from pointprep.plans.knn import QueryBlocks, block_queries, block_sizes, knn_join
 from pointprep.plans.salt import salted_join
@@ -207,42 +207,94 @@ def lloyd_step(points: DataFrame, centroids: DataFrame, keys: Sequence[str] = ("
     )
 
 
+#: Blocks of a group that lies scattered on a curve are so many times longer.
+CURVE_SHARE = 4
+#: Relative slack of bounds, far above the rounding of a few hundred additions.
+BOUND_SLACK = 1e-9
+
+
 def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str] = ("case_id", "bin"),
                   row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), max_iter: int = 30,
-                  tol: float = 1e-3, seed: int | str = 42) -> DataFrame:
+                  tol: float = 1e-3, seed: int | str = 42, on_curve: bool = False) -> DataFrame:
     """``alloc`` centroids per group; groups with no more points than slots keep their points.
 
-    Groups whose centroids moved at most ``tol`` are finished and leave the loop.
+    Groups whose centroids moved at most ``tol`` are finished and leave the loop. Each point carries the distance to
+    its centroid and a lower bound of the distance to every other one, which falls by the largest move of its group in a round;
+    while its own distance is below that bound nothing can change for it, and only the other points search again.
+    With ``on_curve`` the points know their place on the curve of a larger group, which serves for these groups too.
     """
     keys, coords = list(keys), list(coords)
-    points = materialize(points.select(*keys, row_id, *coords), "points")
+    spark = points.sparkSession
+    limit = hot_row_limit(spark)
+    place = [CURVE] if on_curve else []
+    points = materialize(points.select(*keys, row_id, *coords, *place), "points")
     state = materialize(seed_centroids(points, allocation, keys, row_id, coords, seed), "centroids")
     # A group with as many slots as points is settled by its seeds.
     active = allocation.filter(F.col("n") > F.col("alloc")).select(*keys)
     done = state.join(active, keys, "left_anti")
     state = state.join(active, keys, "left_semi")
     # Centroids stay inside the hull of their points and groups only leave, so one profile serves all rounds.
-    spark = points.sparkSession
-    about = profile(state, points, keys, coords, hot_row_limit(spark))
+    about = profile(state, points, keys, coords, limit)
     # Points never move: they are put in order and written once, whatever the rounds.
-    q_in = points.join(active, keys, "left_semi").select(*keys, F.col(row_id).alias("__q"), *coords)
-    blocks = block_queries(q_in, keys, coords, block_sizes(1, about)[1], about)
-    settled, before = scratch_path(spark, "settled"), None
+    q_in = points.join(active, keys, "left_semi").select(*keys, F.col(row_id).alias("__q"), *coords, *place)
+    # A group has some of the rows of its curve, so its blocks are drawn larger there.
+    size = block_sizes(2, about)[1] * (CURVE_SHARE if on_curve else 1)
+    blocks = block_queries(q_in, keys, coords, size, about, on_curve)
+
+    def nearest_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
+        """Centroid, its distance ``ub`` and that of the second ``lb`` of each row; rows know their block as ``home``."""
+        ordered = QueryBlocks(
+            rows.withColumn("block", F.col("home")).withColumnRenamed(row_id, "__q"),
+            blocks.boxes.join(rows.select(*keys, F.col("home").alias("block")).distinct(), [*keys, "block"], "left_semi"), blocks.size,
+        )
+        near = knn_join(rows, targets, 2, keys, row_id, "cluster", coords, carry=[*coords, "home"], about=about, blocks=ordered)
+        second = F.when(F.count(F.lit(1)) > 1, F.max("dist")).otherwise(F.lit(float("inf")))
+        return near.groupBy(*keys, row_id).agg(
+            F.min_by("cluster", "rank").alias("cluster"), F.min("dist").alias("ub"), second.alias("lb"),
+            *[F.first(c).alias(c) for c in (*coords, "home")],
+        )
+
+    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    every = blocks.rows.withColumnsRenamed({"__q": row_id, "block": "home"})
+    bounds, path = written(nearest_two(every, state), "bounds")
+    stages = [path]
+    settled = scratch_path(spark, "settled")
     done.write.parquet(settled)
-    for last in (i + 1 == max_iter for i in range(max_iter)):
-        here = scratch_path(spark, "lloyd")
-        rows = QueryBlocks(blocks.rows.join(active, keys, "left_semi"), blocks.boxes.join(active, keys, "left_semi"), blocks.size)
-        lloyd_step(points.join(active, keys, "left_semi"), state, keys, row_id, coords, about, rows).write.parquet(here)
-        moved = spark.read.parquet(here)
-        active = moved.groupBy(*keys).agg(F.max("moved").alias("__m")).filter(F.col("__m") > tol).select(*keys)
-        if last:
-            active = active.limit(0)
+    for step in range(max_iter):
+        means = bounds.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"__{c}") for c in coords])
+        new = {c: F.coalesce(f"__{c}", c) for c in coords}
+        moved, at = written(
+            state.join(means, [*keys, "cluster"], "left").select(
+                *keys, "cluster", F.coalesce("n", F.lit(0)).alias("n"), *[new[c].alias(c) for c in coords],
+                F.sqrt(squared_sum([new[c] - F.col(c) for c in coords])).alias("moved"),
+            ),
+            "lloyd",
+        )
+        most = moved.groupBy(*keys).agg(F.max("moved").alias("most")).filter(F.col("most") > tol)
+        if step + 1 == max_iter:
+            most = most.limit(0)
         placed = moved.select(*keys, "cluster", *coords)
-        placed.join(active, keys, "left_anti").write.mode("append").parquet(settled)
-        state = placed.join(active, keys, "left_semi")
-        if before:
-            discard(spark, before)
-        before = here
-        if active.isEmpty():
+        placed.join(most, keys, "left_anti").write.mode("append").parquet(settled)
+        if most.isEmpty():
             break
+        state = placed.join(most, keys, "left_semi")
+        # Points of groups that have settled find no partner here.
+        own = moved.join(most, keys).select(*keys, "cluster", "most", "n", *[F.col(c).alias(f"__{c}") for c in coords])
+        hot = hot_from_counts(own, [*keys, "cluster"], "n", limit)
+        judged = salted_join(bounds, own.drop("n"), [*keys, "cluster"], [row_id], hot=hot).withColumns({
+            "ub": F.sqrt(squared_sum([F.col(c) - F.col(f"__{c}") for c in coords])), "lb": F.col("lb") - F.col("most"),
+        })
+        unsure = F.col("ub") * (1.0 + BOUND_SLACK) >= F.col("lb") * (1.0 - BOUND_SLACK)
+        judged, kept_at = written(judged.withColumn("unsure", unsure).drop("most", *[f"__{c}" for c in coords]), "judged")
+        found, found_at = written(
+            nearest_two(judged.filter("unsure").select(*keys, row_id, *coords, "home"), state), "searched"
+        )
+        bounds = judged.filter("not unsure").drop("unsure").unionByName(found)
+        for old in stages:
+            discard(spark, old)
+        stages = [at, kept_at, found_at]
     return spark.read.parquet(settled)

@@ -113,14 +113,14 @@ def vertex_curvature(vertices: DataFrame, faces: DataFrame, key: str = "case_id"
 
 
 def point_curvature(points: DataFrame, vertices: DataFrame, curvature: DataFrame, key: str = "case_id",
-                    point_id: str = "point_id", vertex_id: str = "vertex_id") -> DataFrame:
+                    point_id: str = "point_id", vertex_id: str = "vertex_id", on_curve: bool = False) -> DataFrame:
     """Curvature of the nearest vertex for every point."""
     # A vertex no face uses has no angle defect of its own: a full turn of 2 pi.
     with_curv = vertices.join(curvature, [key, vertex_id], "left").withColumns({
         "curv_mean": F.coalesce("curv_mean", F.lit(0.0)),
         "curv_gauss": F.coalesce("curv_gauss", F.lit(2.0 * math.pi)),
     })
-    near = knn_join(points, with_curv, 1, [key], point_id, vertex_id, payload=["curv_mean", "curv_gauss"])
+    near = knn_join(points, with_curv, 1, [key], point_id, vertex_id, payload=["curv_mean", "curv_gauss"], query_curve=on_curve)
     return near.select(key, point_id, vertex_id, "curv_mean", "curv_gauss")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pointprep.functions.encode import REGISTER_TOKENS, ROTARY_BASE, ROTARY_DIMS, rotary_angles
 from pointprep.functions.rng import uniform
 from pointprep.functions.scalar import magnitude
-from pointprep.plans.knn import knn_join
+from pointprep.plans.knn import TargetTree, knn_join, target_tree
 from pointprep.plans.salt import salted_join
 
 STAT_NAMES = (
@@ -26,19 +26,21 @@ STAT_NAMES = (
 
 
 def nearest_centroid(points: DataFrame, leaves: DataFrame, key: str = "case_id", point_id: str = "point_id",
-                     leaf_id: str = "leaf_id", carry: Sequence[str] = ()) -> DataFrame:
+                     leaf_id: str = "leaf_id", carry: Sequence[str] = (), on_curve: bool = False,
+                     tree: TargetTree | None = None) -> DataFrame:
     """Leaf of every point: its nearest centroid, the lower id on a tie. Keeps the point's position and ``carry``."""
-    near = knn_join(points, leaves, 1, [key], point_id, leaf_id, carry=("x", "y", "z", *carry))
+    near = knn_join(points, leaves, 1, [key], point_id, leaf_id, carry=("x", "y", "z", *carry), query_curve=on_curve, tree=tree)
     return near.select(key, point_id, leaf_id, "dist", "x", "y", "z", *carry)
 
 
 def surface_gradient(points: DataFrame, gradient: Sequence[str], key: str = "case_id", point_id: str = "point_id",
-                     surface: str = "is_surface") -> DataFrame:
+                     surface: str = "is_surface", on_curve: bool = False) -> DataFrame:
     """Surface points with distance zero and the gradient of the nearest volume point."""
     flag = F.col(surface)
+    volume = points.filter(~flag)
     near = knn_join(
-        points.filter(flag), points.filter(~flag), 1, [key], point_id, point_id,
-        payload=gradient, neighbour_name="volume_id",
+        points.filter(flag), volume, 1, [key], point_id, point_id, payload=gradient, neighbour_name="volume_id",
+        query_curve=on_curve, tree=target_tree(volume, [key], ["x", "y", "z"]) if on_curve else None,
     )
     return near.select(key, point_id, "volume_id", F.lit(0.0).alias("sdf"), *gradient)
 

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pointprep.plans.skew import hot_from_counts, ranked
+from pointprep.plans.skew import hot_from_counts, hot_row_limit, ranked
+from pointprep.session import materialize
 
 _BITS = 20
 ROWS_PER_TASK = 5_000_000
@@ -120,6 +121,26 @@ def assign_blocks(
     return numbered.withColumn(name, block).drop("__z", "__rn")
 
 
+#: The column in which rows keep their place along their group's curve.
+CURVE = "curve"
+
+
+def with_curve(df: DataFrame, keys: Sequence[str], row_id: str, coords: Sequence[str], name: str = CURVE) -> DataFrame:
+    """Rows with their place from 1 along the Z-curve of their group, written out.
+
+    Every later search over these rows, or over some of them, reads its blocks off this column and sorts nothing.
+    """
+    hot_rows = hot_row_limit(df.sparkSession)
+    about = profile(df.select(*keys, *coords), df.select(*keys, *coords).limit(0), keys, coords, hot_rows)
+    coded = with_z_order(df, coords, about.low, about.span, "__z")
+    placed = ranked(coded, list(keys), ["__z", *coords, row_id], name=name, hot_rows=hot_rows, hot=about.hot[0])
+    return materialize(placed.drop("__z"), "curve")
+
+
+def block_of(size: int, curve: str = CURVE) -> Column:
+    return F.floor((F.col(curve) - 1) / F.lit(size)).cast("bigint")
+
+
 def boxes(df: DataFrame, by: Sequence[str], coords: Sequence[str], count: Column | None = None) -> DataFrame:
     return df.groupBy(*by).agg(
         (count if count is not None else F.count(F.lit(1))).alias("n"),

@@ -17,8 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pointprep.plans.blocks import (
+    CURVE,
     Profile,
     assign_blocks,
+    block_of,
     box_max_d2,
     box_min_d2,
     boxes,
@@ -48,12 +50,49 @@ class QueryBlocks:
     size: int
 
 
-def block_queries(q_in: DataFrame, keys: Sequence[str], coords: Sequence[str], size: int, about: Profile) -> QueryBlocks:
-    """``q_in`` has the keys, ``__q`` and the coordinates."""
-    rows = materialize(assign_blocks(q_in, keys, "__q", coords, size, about, 1), "queries")
+def block_queries(
+    q_in: DataFrame, keys: Sequence[str], coords: Sequence[str], size: int, about: Profile, curve: bool = False
+) -> QueryBlocks:
+    """``q_in`` has the keys, ``__q`` and the coordinates; with ``curve`` it has its order too, and nothing is sorted."""
+    if curve:
+        rows = q_in.withColumn("block", block_of(size)).drop(CURVE)
+    else:
+        rows = materialize(assign_blocks(q_in, keys, "__q", coords, size, about, 1), "queries")
     return QueryBlocks(rows, materialize(boxes(rows, [*keys, "block"], coords), "boxes"), size)
 
 
+#: A level of a target tree has a quarter of the boxes below it; a search takes every second level.
+TREE_STEP, STRIDE = 4, 2
+
+
+@dataclass(frozen=True)
+class TargetTree:
+    """Boxes of all block sizes over rows that know their place on the curve, each level written once."""
+
+    levels: list[DataFrame]
+    top: int
+
+    def start(self, size: int) -> int:
+        """The level whose blocks have about ``size`` rows."""
+        level = 0
+        while LEAST_BLOCK * TREE_STEP ** (level + 1) <= size and level + 1 < len(self.levels):
+            level += 1
+        return level
+
+
+def target_tree(rows: DataFrame, keys: Sequence[str], coords: Sequence[str]) -> TargetTree:
+    """The tree of ``rows`` (or of a part of the rows that were put on the curve), for any number of searches."""
+    keys = list(keys)
+    level = materialize(boxes(rows.withColumn("__node", block_of(LEAST_BLOCK)), [*keys, "__node"], coords), "tree")
+    top = level.agg(F.max("__node")).first()[0] or 0
+    levels, left = [level], top
+    while left >= TREE_STEP:
+        left //= TREE_STEP
+        up = levels[-1].withColumn("__node", F.floor(F.col("__node") / TREE_STEP).cast("bigint"))
+        levels.append(materialize(merge_boxes(up, [*keys, "__node"], coords), "tree"))
+    return TargetTree(levels, top)
+
+
 def block_sizes(need: int, about: Profile) -> tuple[int, int]:
     """Rows per target and per query block, so that boxes of both sides are about equally large."""
     target = max(LEAST_BLOCK, need // 8)
@@ -82,28 +121,27 @@ def _prune(pairs: DataFrame, group: Sequence[str], need: int) -> DataFrame:
     )
 
 
-def _drop_spare_copies(target_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int, block_rows: int) -> DataFrame:
+def _drop_spare_copies(target_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int) -> DataFrame:
     """Of a run of blocks that hold one position only, the first rows by id suffice."""
     point = F.lit(True)
     for c in coords:
         point = point & (F.col(f"lo_{c}") == F.col(f"hi_{c}"))
-    spot = [f"lo_{c}" for c in coords]
-    first = target_boxes.filter(point).groupBy(*keys, *spot).agg(F.min("block").alias("__first"))
-    spare = -(-need // block_rows) + 1
-    return (
-        target_boxes.join(first, [*keys, *spot], "left")
-        .filter(~point | F.col("__first").isNull() | (F.col("block") < F.col("__first") + spare))
-        .drop("__first")
-    )
+    run = W.partitionBy(*keys, *[f"lo_{c}" for c in coords]).orderBy("__node").rowsBetween(W.unboundedPreceding, -1)
+    spots = target_boxes.filter(point).withColumn("__before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    return target_boxes.filter(~point).unionByName(spots.filter(F.col("__before") < need).drop("__before"))
 
 
-def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], need: int, top: int, about: Profile) -> DataFrame:
-    """Pairs (query block, target block) that may hold a neighbour; ``top`` is the largest block number."""
-    levels = [t_boxes.withColumn("__node", F.col("block")).drop("block")]
+def _levels(t_boxes: DataFrame, keys: Sequence[str], coords: Sequence[str], top: int) -> list[DataFrame]:
+    levels = [t_boxes]
     while top >= FANOUT:
         top //= FANOUT
         up = levels[-1].withColumn("__node", F.floor(F.col("__node") / FANOUT).cast("bigint"))
         levels.append(merge_boxes(up, [*keys, "__node"], coords))
+    return levels
+
+
+def _candidate_blocks(q_boxes: DataFrame, levels: list[DataFrame], keys: Sequence[str], coords: Sequence[str], need: int, fan: int, about: Profile) -> DataFrame:
+    """Pairs (query block, target block) that may hold a neighbour; ``levels`` from the blocks up, ``fan`` nodes below each."""
     group = [*keys, "q_block"]
     q = _prefixed(q_boxes, keys, "q_")
 
@@ -115,11 +153,11 @@ def _candidate_blocks(q_boxes: DataFrame, t_boxes: DataFrame, keys: Sequence[str
     def nodes(level: DataFrame) -> DataFrame:
         return _prefixed(level, [*keys, "__node"], "t_")
 
-    # At most FANOUT nodes per group at the top of the tree; a group with very many query blocks is dealt out.
+    # At most ``fan`` nodes per group at the top of the tree; a group with very many query blocks is dealt out.
     pairs = _prune(measured(salted_join(q, nodes(levels[-1]), list(keys), ["q_block"], hot=about.hot[1])), group, need)
     for level in reversed(levels[:-1]):
         parents = pairs.select(*group, *[c for c in q.columns if c not in group], F.col("__node").alias("__up"))
-        children = nodes(level).withColumn("__up", F.floor(F.col("__node") / FANOUT).cast("bigint"))
+        children = nodes(level).withColumn("__up", F.floor(F.col("__node") / fan).cast("bigint"))
         pairs = _prune(measured(parents.join(children, [*keys, "__up"]).drop("__up")), group, need)
     return pairs.select(
         *group,
@@ -147,6 +185,8 @@ def knn_join(
     carry: Sequence[str] = (),
     about: Profile | None = None,
     blocks: QueryBlocks | None = None,
+    query_curve: bool = False,
+    tree: TargetTree | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query within the same ``keys``.
 
@@ -155,13 +195,15 @@ def knn_join(
     follow from its id. Groups with fewer than ``k`` targets give what exists. ``about``
     reuses the profile of (targets, queries) at least as large and as wide as these, and
     ``blocks`` the blocks of these queries or of more; then ``queries`` only names the columns,
-    and ``carry`` can name coordinates.
+    and ``carry`` can name coordinates. With ``query_curve`` the queries have been put on a curve before (``with_curve``), with
+    ``tree`` the targets have; neither is sorted again then.
     """
     keys, coords = list(keys), list(coords)
     neighbour = neighbour_name or (f"nbr_{target_id}" if target_id == query_id else target_id)
-    q_in = queries.select(*keys, F.col(query_id).alias("__q"), *coords, *[c for c in carry if c not in (*keys, *coords)])
+    place = [CURVE] if query_curve else []
+    q_in = queries.select(*keys, F.col(query_id).alias("__q"), *coords, *[c for c in carry if c not in (*keys, *coords, *place)], *place)
     t_in = targets.select(
-        *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload]
+        *keys, F.col(target_id).alias("__t"), *coords, *[F.col(c).alias(f"p_{c}") for c in payload], *([CURVE] if tree else [])
     )
     if about is None:
         about = profile(t_in, q_in, keys, coords, hot_row_limit(queries.sparkSession))
@@ -176,7 +218,7 @@ def knn_join(
         per_query = [*keys, "__part", "__q"] if about.hot[1] else [*keys, "__q"]
     else:
         need = k + 1 if exclude_same_id else k
-        met = _met_in_blocks(q_in, t_in, need, keys, coords, block_rows, about, d2, blocks)
+        met = _met_in_blocks(q_in, t_in, need, keys, coords, block_rows, about, d2, blocks, query_curve, tree)
         per_query = [*keys, "__q"]
     if exclude_same_id:
         met = met.filter(F.col("__q") != F.col("t___t"))
@@ -204,17 +246,23 @@ def knn_join(
 
 def _met_in_blocks(
     q_in: DataFrame, t_in: DataFrame, need: int, keys: list[str], coords: list[str], block_rows: int, about: Profile, d2: Column,
-    blocks: QueryBlocks | None,
+    blocks: QueryBlocks | None, query_curve: bool, tree: TargetTree | None,
 ) -> DataFrame:
     """Query rows next to every target that can be among their ``need`` nearest."""
     t_size, q_size = block_sizes(need, about)
     t_size = min(t_size, block_rows)
     if blocks is None:
-        blocks = block_queries(q_in, keys, coords, q_size, about)
-    t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, t_size, about, 0), "targets")
-    t_boxes = _drop_spare_copies(boxes(t_rows, [*keys, "block"], coords), keys, coords, need, t_size)
-    top = max(about.largest[0] - 1, 0) // t_size
-    pairs = materialize(_candidate_blocks(blocks.boxes, t_boxes, keys, coords, need, top, about), "pairs")
+        blocks = block_queries(q_in, keys, coords, q_size, about, query_curve)
+    if tree is None:
+        t_rows = materialize(assign_blocks(t_in, keys, "__t", coords, t_size, about, 0), "targets")
+        t_boxes = boxes(t_rows.withColumnRenamed("block", "__node"), [*keys, "__node"], coords)
+        levels, fan = _levels(_drop_spare_copies(t_boxes, keys, coords, need), keys, coords, max(about.largest[0] - 1, 0) // t_size), FANOUT
+    else:
+        first = tree.start(t_size)
+        t_size, fan = LEAST_BLOCK * TREE_STEP**first, TREE_STEP**STRIDE
+        t_rows = t_in.withColumn("block", block_of(t_size)).drop(CURVE)
+        levels = [_drop_spare_copies(tree.levels[first], keys, coords, need), *tree.levels[first + STRIDE:: STRIDE]]
+    pairs = materialize(_candidate_blocks(blocks.boxes, levels, keys, coords, need, fan, about), "pairs")
     q_side = _prefixed(blocks.rows.withColumnRenamed("block", "q_block"), [*keys, "q_block", "__q"], "q_")
     t_side = _prefixed(t_rows.withColumnRenamed("block", "t_block"), [*keys, "t_block"], "t_")
     block, target, query = [*keys, "q_block"], [*keys, "t_block"], [*keys, "__q"]

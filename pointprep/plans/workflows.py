@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pointprep.functions import scalar as S
 from pointprep.functions.encode import leaf_vector
 from pointprep.operators import batching, binning, cluster, mesh, metrics, neighbours, outliers, sampling, stats, strata
-from pointprep.plans.knn import knn_join
+from pointprep.plans.blocks import CURVE, with_curve
+from pointprep.plans.knn import knn_join, target_tree
 from pointprep.session import materialize
 from pointprep.sources.tables import with_default
 
@@ -96,7 +97,7 @@ def of_cases(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(listed) if listed.count() <= CASE_LIST else listed, "case_id", "left_semi")
 
 
-def clean_points(points: DataFrame, vertices: DataFrame, faces: DataFrame, g: float = S.GRAVITY) -> DataFrame:
+def clean_points(points: DataFrame, vertices: DataFrame, faces: DataFrame, g: float = S.GRAVITY, on_curve: bool = False) -> DataFrame:
     """Stored sign turned, surface distance and gradient filled, curvature attached, pressure detrended.
 
     Expects sdf, gx, gy, gz as stored, and NULL or anything on surface rows. Every row comes out: what a
@@ -105,11 +106,11 @@ def clean_points(points: DataFrame, vertices: DataFrame, faces: DataFrame, g: fl
     grad = ["gx", "gy", "gz"]
     turned = points.withColumns({c: -F.col(c) for c in ("sdf", *grad)})
     volume = turned.filter(~F.col("is_surface"))
-    near = neighbours.surface_gradient(turned, grad)
+    near = neighbours.surface_gradient(turned, grad, on_curve=on_curve)
     surface = turned.filter("is_surface").drop("sdf", *grad).join(near.drop("volume_id"), ["case_id", "point_id"], "left")
     both = with_default(volume.unionByName(surface), "area", 1.0)
     curv = materialize(mesh.vertex_curvature(vertices, faces), "curvature")
-    at = mesh.point_curvature(points, vertices, curv).select("case_id", "point_id", "curv_mean", "curv_gauss")
+    at = mesh.point_curvature(points, vertices, curv, on_curve=on_curve).select("case_id", "point_id", "curv_mean", "curv_gauss")
     return both.join(at, ["case_id", "point_id"], "left").withColumn("p_train", S.detrend("p", "z", g))
 
 
@@ -136,8 +137,10 @@ def featurise(
     judged = materialize(judge_features(points, vertices, manifest), "judged")
     chosen = batching.stratum_params(manifest.select("case_id", "sub_bin", "split"))
     slot_count = F.col("leaves") if slots is None else slots
-    raw = of_cases(points, judged.filter("reason is null"))
-    cloud = materialize(clean_points(raw, vertices, faces), "cloud")
+    xyz = ["x", "y", "z"]
+    # Each cloud is put on a curve once; all searches, k-means included, read their blocks off it.
+    raw = with_curve(of_cases(points, judged.filter("reason is null")), ["case_id"], "point_id", xyz)
+    cloud = materialize(clean_points(raw, vertices, faces, on_curve=True), "cloud")
 
     marked = materialize(binning.with_bins(cloud), "binned")
     counts = binning.bin_counts(marked).join(chosen.select("case_id", "leaves"), "case_id")
@@ -158,24 +161,30 @@ def featurise(
     chosen, alloc = of_cases(chosen, good), of_cases(alloc, good)
     marked = of_cases(marked, good)
     cloud, binned = marked.drop("bin"), marked.filter(F.col("bin").isNotNull())
-    leaves = materialize(_leaves(binned, alloc, max_iter), "leaves")
+    leaves = with_curve(_leaves(binned, alloc, max_iter), ["case_id"], "leaf_id", xyz)
+    leaf_tree = target_tree(leaves, ["case_id"], xyz)
 
     payload = ["x", "y", "z", "sdf", "gx", "gy", "gz", "curv_mean", "curv_gauss", "is_surface"]
-    edges = materialize(knn_join(leaves, cloud, k_points, payload=payload), "leaf_points")
+    edges = materialize(
+        knn_join(leaves, cloud, k_points, payload=payload, query_curve=True, tree=target_tree(cloud, ["case_id"], xyz)), "leaf_points"
+    )
     around = materialize(
-        knn_join(leaves, leaves, k_leaves, query_id="leaf_id", target_id="leaf_id", exclude_same_id=True), "leaf_leaves"
+        knn_join(
+            leaves, leaves, k_leaves, query_id="leaf_id", target_id="leaf_id", exclude_same_id=True, query_curve=True, tree=leaf_tree
+        ),
+        "leaf_leaves",
     )
     at = neighbours.nearest_attributes(edges).select("case_id", "leaf_id", *payload[3:9])
     rays = mesh.ray_vector(mesh.ray_distance(leaves, vertices, faces))
     by_leaf = ["case_id", "leaf_id"]
     features = materialize(
-        leaves.join(neighbours.leaf_stats(edges, leaves, k_points), by_leaf)
+        leaves.drop(CURVE).join(neighbours.leaf_stats(edges, leaves, k_points), by_leaf)
         .join(at, by_leaf)
         .join(rays, by_leaf),
         "features",
     )
-    rest = [c for c in cloud.columns if c not in ("case_id", "point_id", "x", "y", "z")]
-    located = neighbours.nearest_centroid(cloud, leaves, carry=rest).drop("dist")
+    rest = [c for c in cloud.columns if c not in ("case_id", "point_id", *xyz, CURVE)]
+    located = neighbours.nearest_centroid(cloud, leaves, carry=rest, on_curve=True, tree=leaf_tree).drop("dist")
 
     train = chosen.filter("split = 'train'").select("case_id")
     train_points = of_cases(cloud, train)
@@ -218,9 +227,9 @@ def featurise(
 def _leaves(binned: DataFrame, alloc: DataFrame, max_iter: int) -> DataFrame:
     """Leaves of every case, numbered from 0: k-means centres, or the points themselves in short bins."""
     coords = ["x", "y", "z"]
-    pts = binned.select("case_id", "bin", "point_id", *coords)
+    pts = binned.select("case_id", "bin", "point_id", *coords, CURVE)
     full = alloc.filter(F.col("n") >= F.col("alloc"))
-    centres = cluster.binned_kmeans(pts, full, max_iter=max_iter).select("case_id", "bin", F.col("cluster").alias("slot"), *coords)
+    centres = cluster.binned_kmeans(pts, full, max_iter=max_iter, on_curve=True).select("case_id", "bin", F.col("cluster").alias("slot"), *coords)
     filled = binning.oversample_fill(pts, alloc).select("case_id", "bin", "slot", "point_id")
     own = filled.join(pts.select("case_id", "point_id", *coords), ["case_id", "point_id"]).select("case_id", "bin", "slot", *coords)
     # The slots of a bin follow those of the bins below it, so a prefix sum over bins numbers the leaves.

@@ -80,10 +80,25 @@ def kmeans_rounds(spark, sf_dir):
     return out.select("case_id", "bin", "cluster", *[r(c).alias(c) for c in "xyz"])
 
 
-@query("binned_kmeans")
+MAX_ROUNDS, TOL = 30, 1e-3
+define("f_k0", "select *, true as going from f_c0")
+for _i in range(1, MAX_ROUNDS + 1):
+    define(f"f_kn{_i}", f"""select case_id, bin, cluster, avg(x) x, avg(y) y, avg(z) z from (
+        select p.case_id, p.bin, s.cluster, p.x, p.y, p.z, row_number() over (partition by p.point_id order by
+          ((s.x-p.x)*(s.x-p.x) + (s.y-p.y)*(s.y-p.y)) + (s.z-p.z)*(s.z-p.z), s.cluster) rn
+        from f_binned p join f_k{_i - 1} s on p.case_id = s.case_id and p.bin = s.bin and s.going) where rn = 1 group by 1, 2, 3""")
+    define(f"f_k{_i}", f"""select case_id, bin, cluster, x, y, z, coalesce(max(moved) over (partition by case_id, bin), 0e0) > {TOL!r}e0 as going from (
+        select s.case_id, s.bin, s.cluster, coalesce(m.x, s.x) x, coalesce(m.y, s.y) y, coalesce(m.z, s.z) z,
+          sqrt((m.x-s.x)*(m.x-s.x) + (m.y-s.y)*(m.y-s.y) + (m.z-s.z)*(m.z-s.z)) moved
+        from f_k{_i - 1} s left join f_kn{_i} m on s.case_id = m.case_id and s.bin = m.bin and s.cluster = m.cluster)""")
+
+
+@query("binned_kmeans", sql(f"""select case_id, bin, cluster, {R('x')} x, {R('y')} y, {R('z')} z from f_k{MAX_ROUNDS}
+    union all select s.case_id, s.bin, s.cluster, {R('s.x')}, {R('s.y')}, {R('s.z')}
+    from f_seed s join f_alloc a on s.case_id = a.case_id and s.bin = a.bin where a.n <= a.alloc"""))
 def binned_kmeans(spark, sf_dir):
     p = binned(spark, sf_dir).select("case_id", "bin", "point_id", "x", "y", "z")
-    out = C.binned_kmeans(p, materialize(allocation(spark, sf_dir), "allocation"), max_iter=30, tol=1e-3)
+    out = C.binned_kmeans(p, materialize(allocation(spark, sf_dir), "allocation"), max_iter=MAX_ROUNDS, tol=TOL)
     return out.select("case_id", "bin", "cluster", *[r(c).alias(c) for c in "xyz"])
 
 

@@ -88,3 +88,19 @@ def test_few_of_all_pairs_are_formed(spark, monkeypatch, k, n_targets, n_queries
     out = knn_join(uniform(n_queries, "leaf_id", 1), uniform(n_targets, "point_id", 9), k)
     assert out.count() == k * n_queries
     assert sum(formed) < 0.05 * n_targets * n_queries
+
+
+@pytest.mark.parametrize("k,block_rows,hot_rows", [(5, 4, 10**6), (1, 2, 40), (30, 16, 10**6)])
+def test_trees_and_curves_of_larger_clouds_give_the_same(spark, hot, k, block_rows, hot_rows):
+    """Both sides are parts of clouds that were put on their curves before."""
+    from pointprep.plans.blocks import with_curve
+    from pointprep.plans.knn import target_tree
+
+    hot(hot_rows)
+    q, t = cloud(120, 11), cloud(900, 12, copies=90)
+    queries = with_curve(frame(spark, q, "leaf_id"), ["case_id"], "leaf_id", list("xyz")).filter("leaf_id % 3 <> 1")
+    targets = with_curve(frame(spark, t, "point_id"), ["case_id"], "point_id", list("xyz")).filter("point_id % 4 <> 2")
+    tree = target_tree(targets, ["case_id"], list("xyz"))
+    got = knn_join(queries, targets, k, block_rows=block_rows, query_curve=True, tree=tree)
+    want = brute([r for r in q if r[1] % 3 != 1], [r for r in t if r[1] % 4 != 2], k)
+    assert {(r[0], r[1], r[2], r[3]) for r in got.collect()} == want
