@@ -12,6 +12,7 @@ from pointprep.functions.scalar import (
     LEAVES_PER_STRATUM,
     lookup,
 )
+from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import ranked
 
 
@@ -97,6 +98,16 @@ def shard_padding(batch_rows: DataFrame) -> DataFrame:
     return steps.select("shard", "step", F.pmod("step", "n").alias("seq"))
 
 
+def collate_rows(batch_rows: DataFrame, slots: DataFrame, key: str = "case_id", slot: str = "slot") -> DataFrame:
+    """Every slot row of every batch place: the rows of a batch, stacked by place and then slot.
+
+    A case that fills up a batch a second time brings its rows again. ``slots`` has equally many rows per case, so
+    a batch is a full block; rows of a case with very many slots are dealt over several tasks.
+    """
+    places = batch_rows.select("shard", "seq", "pos", "is_fill", key)
+    return salted_join(slots, places, [key], [slot])
+
+
 def collate(batch_rows: DataFrame, stratum: str = "sub_bin", key: str = "case_id") -> DataFrame:
     """One row per batch with its cases in slot order; a batch is a handful of rows."""
     return batch_rows.groupBy("shard", stratum, "batch", "seq").agg(

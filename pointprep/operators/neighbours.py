@@ -187,6 +187,21 @@ def _leaf_counts(leaves: DataFrame, key: str) -> DataFrame:
 STEPS = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
 
 
+def _leaf_slots(leaves: DataFrame, n: int, kind: str, value: Column, key: str, leaf_id: str) -> DataFrame:
+    """``n`` keys of one kind for every leaf, with ``value`` from its leaf, slot and ``n_leaves``."""
+    sized = leaves.select(key, leaf_id).join(_leaf_counts(leaves, key), key)
+    slots = sized.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    return slots.select(key, leaf_id, F.lit(kind).alias("kind"), "slot", value.cast("bigint").alias("key_id"))
+
+
+def fixed_keys(leaf_edges: DataFrame, leaves: DataFrame, n_register: int = REGISTER_TOKENS, key: str = "case_id", leaf_id: str = "leaf_id") -> DataFrame:
+    """The attention keys that no epoch changes: a leaf's neighbours and the register tokens, which follow the leaves."""
+    local = leaf_edges.select(
+        key, leaf_id, F.lit("local").alias("kind"), (F.col("rank") - 1).alias("slot"), F.col(f"nbr_{leaf_id}").alias("key_id")
+    )
+    return local.unionByName(_leaf_slots(leaves, n_register, "register", F.col("n_leaves") + F.col("slot"), key, leaf_id))
+
+
 def graph_edges(
     leaf_edges: DataFrame,
     leaves: DataFrame,
@@ -201,19 +216,9 @@ def graph_edges(
     Random keys may repeat a neighbour. Leaf ids run from 0 to n_leaves - 1 and the
     register tokens follow.
     """
-    sized = leaves.select(key, leaf_id).join(_leaf_counts(leaves, key), key)
-    local = leaf_edges.select(
-        key, leaf_id, F.lit("local").alias("kind"), (F.col("rank") - 1).alias("slot"), F.col(f"nbr_{leaf_id}").alias("key_id")
-    )
-
-    def extra(kind: str, n: int, value: Column) -> DataFrame:
-        slots = sized.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-        return slots.select(key, leaf_id, F.lit(kind).alias("kind"), "slot", value.cast("bigint").alias("key_id"))
-
-    register = extra("register", n_register, F.col("n_leaves") + F.col("slot"))
     u = uniform("key", F.col(key), epoch, F.col(leaf_id), F.col("slot"))
-    chance = extra("random", n_random, F.floor(u * F.col("n_leaves")))
-    return local.unionByName(register).unionByName(chance)
+    chance = _leaf_slots(leaves, n_random, "random", F.floor(u * F.col("n_leaves")), key, leaf_id)
+    return fixed_keys(leaf_edges, leaves, n_register, key, leaf_id).unionByName(chance)
 
 
 def random_edges_excluding(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from pointprep.functions.scalar import STRATA
@@ -38,6 +38,28 @@ def contract_issues(df: DataFrame, required: Sequence[str] | StructType, forbidd
     return df.sparkSession.createDataFrame(found, "check string, item string, level string")
 
 
+def contract_report(df: DataFrame, required: StructType, forbidden: Sequence[str] = FORBIDDEN_LEFTOVER) -> DataFrame:
+    """Every required column and every leftover, with what is wrong with it and how many of its values are missing.
+
+    ``problem`` is missing_column, wrong_type (failures), leftover_column (a warning), missing_values where all are, or NULL.
+    """
+    have = {f.name: f.dataType for f in df.schema}
+    named = [c for c in [*required.names, *forbidden] if c in have]
+    rows = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(f"__null_{c}") for c in named])
+
+    def entry(c: str, problem: str | None) -> Column:
+        nulls = F.col(f"__null_{c}") if c in have else F.col("__rows")
+        all_gone = (nulls == F.col("__rows")) & (F.col("__rows") > 0)
+        said = F.lit(problem) if problem else F.when(all_gone, "missing_values")
+        return F.struct(F.lit(c).alias("item"), said.alias("problem"), nulls.alias("n_missing"))
+
+    def judge(c: str, wanted) -> str | None:
+        return "missing_column" if c not in have else "wrong_type" if have[c] != wanted else None
+
+    entries = [entry(f.name, judge(f.name, f.dataType)) for f in required] + [entry(c, "leftover_column") for c in forbidden if c in have]
+    return rows.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def zscore_sanity(df: DataFrame, columns: Sequence[str], key: str = "case_id") -> DataFrame:
     """Mean and deviation of standardised columns per case, with the flag for odd ones. Checks every case."""
     aggs = []

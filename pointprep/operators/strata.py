@@ -96,12 +96,19 @@ def undersupplied(
     )
 
 
-def manifest_counts(verdicts: DataFrame, stratified: DataFrame, split: DataFrame) -> DataFrame:
-    """Counters of a manifest in long form: pool per stratum, rows per split, scanned and dropped."""
+def manifest_counts(verdicts: DataFrame, stratified: DataFrame, split: DataFrame, load_errors: DataFrame | None = None) -> DataFrame:
+    """Counters of a manifest in long form: pool per stratum, rows per split, scanned and dropped.
+
+    With ``load_errors``, a row per case that could not be read, these are counted as failed and as scanned.
+    """
     pool = stratified.groupBy(F.col("sub_bin").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     parts = split.groupBy(F.col("split").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    totals = verdicts.agg(F.count_if("is_anomaly").alias("dropped"), F.count(F.lit(1)).alias("scanned")).unpivot(
-        [], ["dropped", "scanned"], "name", "n"
-    )
+    judged = verdicts.select("is_anomaly", F.lit(False).alias("__failed"))
+    if load_errors is not None:
+        judged = judged.unionByName(load_errors.select(F.lit(False).alias("is_anomaly"), F.lit(True).alias("__failed")))
+    counters = {"dropped": F.count_if("is_anomaly"), "scanned": F.count(F.lit(1))}
+    if load_errors is not None:
+        counters["load_failed"] = F.count_if("__failed")
+    totals = judged.agg(*[c.alias(n) for n, c in counters.items()]).unpivot([], list(counters), "name", "n")
     tagged = [df.select(F.lit(k).alias("kind"), "name", "n") for k, df in (("pool", pool), ("split", parts), ("total", totals))]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])

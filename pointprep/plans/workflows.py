@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from inspect import Parameter, signature
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pointprep.functions import scalar as S
 from pointprep.functions.encode import leaf_vector
@@ -17,7 +19,7 @@ from pointprep.operators import batching, binning, cluster, mesh, metrics, neigh
 from pointprep.plans.blocks import CURVE, with_curve
 from pointprep.plans.knn import knn_join, target_tree
 from pointprep.session import materialize
-from pointprep.sources.tables import with_default
+from pointprep.sources.tables import scan_cases, unreadable_files, with_default
 
 #: Cases in a list that is sent to every task.
 CASE_LIST = 1_000_000
@@ -77,6 +79,8 @@ class Prepared:
     pools: DataFrame
     query_counts: DataFrame
     rejects: DataFrame
+    rotary: DataFrame
+    fixed_keys: DataFrame
 
 
 def judge_features(points: DataFrame, vertices: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -114,6 +118,50 @@ def clean_points(points: DataFrame, vertices: DataFrame, faces: DataFrame, g: fl
     return both.join(at, ["case_id", "point_id"], "left").withColumn("p_train", S.detrend("p", "z", g))
 
 
+def curate_folder(
+    spark: SparkSession, path: str, schema: StructType, face_centers: DataFrame, case_of: Column | None = None, **options
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``curate`` over a folder of Parquet files, which finds the unreadable ones itself.
+
+    ``case_of`` gives a file's case from its ``path``, by default its name up to the first dot. A case all of whose files
+    are unreadable or empty is a load error. Returns what ``curate`` does and the manifest's counters and
+    parameters as (section, name, value); rows are counted in the pass that makes the case table.
+    """
+    name = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1) if case_of is None else case_of
+    seen = Observation("load")
+    points = scan_cases(spark, path, schema, skip_corrupt=True).observe(seen, F.count(F.lit(1)).alias("rows"))
+    failed = unreadable_files(spark, path, schema).select(name.cast(schema["case_id"].dataType).alias("case_id"), "reason").distinct()
+    errors = materialize(failed.join(points.select("case_id").distinct(), "case_id", "left_anti"), "load_errors")
+    # The observed pass comes last, so its numbers are those of the case table.
+    found = curate(points, face_centers, load_errors=errors, **options)
+    return *found, manifest_facts(*found[:3], errors, rows=seen.get["rows"], **options)
+
+
+def manifest_facts(
+    chosen: DataFrame, placed: DataFrame, verdicts: DataFrame, errors: DataFrame | None = None, rows: int | None = None, **options
+) -> DataFrame:
+    """Counters and parameters of a manifest as (section, name, value), value as text.
+
+    ``options`` are those that ``curate`` was called with; the others count with their defaults.
+    """
+    spark = chosen.sparkSession
+    defaults = {k: p.default for k, p in signature(curate).parameters.items() if p.default is not Parameter.empty and k != "load_errors"}
+    used = defaults | options
+    counts = strata.manifest_counts(verdicts, placed, chosen, errors).select(
+        F.col("kind").alias("section"), "name", F.col("n").cast("string").alias("value")
+    )
+    sizes = strata.size_summary(placed, ["n_buildings", "n_volume", "n_surface"])
+    parts = [sizes.select(F.col("measure").alias("section"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in ("min", "max", "median")]
+    told = [("parameter", k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in used.items()]
+    if rows is not None:
+        told.append(("total", "rows", str(rows)))
+    # A handful of parameters.
+    out = counts.unionByName(spark.createDataFrame(told, "section string, name string, value string"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def featurise(
     points: DataFrame,
     vertices: DataFrame,
@@ -221,7 +269,13 @@ def featurise(
     per_case = cloud.groupBy("case_id").agg(F.count_if(volume).alias("__nv"), F.count_if(~volume).alias("__ns")).select(
         "case_id", n_vol.alias("n_query_vol"), n_surf.alias("n_query_surf")
     )
-    return Prepared(final_points, final_leaves, edges, around, norms, scales, pools, per_case, rejects)
+    # Every case turns by the scales of its own stratum.
+    strata_of = chosen.select("case_id", "sub_bin")
+    plain = leaves.select("case_id", "leaf_id", *xyz)
+    scaled = neighbours.with_stratum_scale(plain.join(strata_of, "case_id"), materialize(scales, "scales"))
+    rotary = neighbours.rotary_features(scaled, [F.col("axis_scale")[i] for i in range(3)], divisor=coord_max)
+    keys = neighbours.fixed_keys(around, plain)
+    return Prepared(final_points, final_leaves, edges, around, norms, scales, pools, per_case, rejects, rotary, keys)
 
 
 def _leaves(binned: DataFrame, alloc: DataFrame, max_iter: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pointprep.operators import quality as Q
 from pointprep.operators import stats
@@ -10,6 +11,7 @@ from pointprep.functions.scalar import STRATA
 from pointprep.registry.core import query
 from pointprep.registry.curation import CHANNELS, _joined, manifest_rows, stratified, train_points
 from pointprep.registry.fixtures import R, big, points, r, sql, table
+from pointprep.schema import POINT_FEATURES, POINTS
 
 ZCOLS = ["ux", "uy", "p"]
 
@@ -95,3 +97,20 @@ def dq_status(spark, sf_dir):
     judged = judge_cases(points(spark, sf_dir), "case_id", "is_surface", "sdf", 220.0)
     failures = judged.filter("reason = 'sdf_out_of_range'").withColumn("level", F.lit("failure"))
     return Q.dq_status(warnings, failures)
+
+
+_REQUIRED = ["case_id", "point_id", "is_surface", "x", "y", "z", "sdf", "area", "curv_mean", "ghost"]
+
+
+@query("contract", sql(f"""
+    with c as (select *, case_id % 2 = 0 as original_sdf_volume, cast(null as double) as curv_mean from f_points)
+    select 'case_id' as item, 'wrong_type' as problem, {big('count(*) filter (where case_id is null)')} n_missing from c
+    {" ".join(f"union all select '{n}', null, {big(f'count(*) filter (where {n} is null)')} from c" for n in ("point_id", "is_surface", "x", "y", "z", "sdf", "area"))}
+    union all select 'curv_mean', 'missing_values', {big('count(*)')} from c
+    union all select 'ghost', 'missing_column', {big('count(*)')} from c
+    union all select 'original_sdf_volume', 'leftover_column', {big('count(*) filter (where original_sdf_volume is null)')} from c"""))
+def contract(spark, sf_dir):
+    """The points against their required columns: numbers where names are asked for, an empty, an absent and a leftover column."""
+    have = points(spark, sf_dir).withColumns({"original_sdf_volume": F.col("case_id") % 2 == 0, "curv_mean": F.lit(None).cast("double")})
+    need = [f for f in (*POINTS, *POINT_FEATURES) if f.name in _REQUIRED] + [StructField("ghost", DoubleType())]
+    return Q.contract_report(have, StructType(need))

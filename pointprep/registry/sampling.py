@@ -8,9 +8,10 @@ from pointprep.functions import scalar as S
 from pointprep.operators import batching, binning, sampling
 from pointprep.registry.core import query
 from pointprep.registry.curation import manifest_rows, stratified
-from pointprep.registry.fixtures import R, U, big, define, points, r, sql
+from pointprep.registry.fixtures import CTES, R, U, big, define, points, r, sql
 from pointprep.registry.scalars import BIN_SQL, WEIGHT_SQL
-from pointprep.session import materialize
+from pointprep.session import materialize, scratch_path
+from pointprep.sources.files import write_batches
 
 SLOTS = 24
 SLOTS_MANY = 96
@@ -179,6 +180,25 @@ def shard_padding(spark, sf_dir):
     return batching.shard_padding(batching.batches(sharded(spark, sf_dir), EPOCH))
 
 
+define("f_queue", f"""select v.case_id, {big('rn - 1')} slot, point_id, false is_surf, true as ok from f_vol v join f_quota q on v.case_id = q.case_id where rn <= qv
+    union all select v.case_id, {big('qv + rn - 1')}, point_id, true, true from f_surf v join f_quota q on v.case_id = q.case_id where rn <= qs
+    union all select case_id, {big('s')}, null, false, false from (select case_id, unnest(range(qv + qs, {N_QUERY})) s from f_quota)""")
+define("f_quota", f"""select case_id, least({N_QUERY} - s, nv) qv, s qs from (
+      select case_id, nv, least(ns, cast(floor({N_QUERY}e0 * ns / (ns + nv/2e0)) as bigint)) s from (
+        select case_id, count(*) filter (where not is_surface) nv, count(*) filter (where is_surface) ns from f_points group by 1))""")
+CTES["f_queue"] = CTES.pop("f_queue")
+
+
+@query("batch_rows", sql(f"""select s.shard, {big('seq')} seq, {big('pos')} pos, is_fill, q.case_id, slot, point_id, is_surf, ok as "valid"
+    from f_slots s join f_order o on s.shard = o.shard and s.sub_bin = o.sub_bin and s.batch = o.batch join f_queue q on q.case_id = s.case_id"""))
+def batch_rows(spark, sf_dir):
+    """The slot rows of every batch, written in reading order and read back."""
+    slots = sampling.query_slots(points(spark, sf_dir), S.log_sample_weight("sdf"), N_QUERY, EPOCH)
+    path = scratch_path(spark, "batches")
+    write_batches(batching.collate_rows(batching.batches(sharded(spark, sf_dir), EPOCH), slots), path)
+    return spark.read.parquet(path).select("shard", "seq", "pos", "is_fill", "case_id", "slot", "point_id", "is_surf", "valid")
+
+
 @query("collate", sql(f"""select s.shard, s.sub_bin, {big('s.batch')} batch, {big('max(seq)')} seq, string_agg(cast(case_id as varchar), ',' order by pos) cases
     from f_slots s join f_order o on s.shard = o.shard and s.sub_bin = o.sub_bin and s.batch = o.batch group by 1, 2, s.batch"""))
 def collate(spark, sf_dir):

@@ -22,6 +22,8 @@ POINTS = _table(
     case_id=_S, point_id=_L, is_surface=_B, x=_D, y=_D, z=_D, sdf=_D, gx=_D, gy=_D, gz=_D,
     ux=_D, uy=_D, uz=_D, p=_D, nut=_D, wss_x=_D, wss_y=_D, wss_z=_D, area=_D,
 )
+#: What preparation adds to the points.
+POINT_FEATURES = _table(curv_mean=_D, curv_gauss=_D, leaf_id=_L, log_weight=_D)
 VERTICES = _table(case_id=_S, vertex_id=_L, x=_D, y=_D, z=_D)
 FACES = _table(case_id=_S, face_id=_L, v0=_L, v1=_L, v2=_L)
 FACE_CENTERS = _table(case_id=_S, face_id=_L, x=_D, y=_D, z=_D)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pointprep.schema import FEATURE_GROUPS
+from pointprep.session import materialize
 
 MANIFEST_COLUMNS = ("case_name", "sub_bin", "n_buildings", "n_volume", "n_surface")
 
@@ -23,8 +24,80 @@ def reuse_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataF
     return spark.read.parquet(path)
 
 
-def write_manifest(split: DataFrame, path: str, key: str = "case_id", summary: DataFrame | None = None) -> None:
-    """One JSON line per entry under its split, and the counters beside them."""
+def reuse_unchanged(
+    spark: SparkSession, path: str, rows: DataFrame, parameters: dict[str, object], compute: Callable[[DataFrame], DataFrame], key: str = "case_id"
+) -> DataFrame:
+    """Features of every case of ``rows``, computed anew only where the case or the parameters have changed.
+
+    A case's fingerprint is its number of rows and the sum of their hashes, so it takes one pass with map-side sums, and
+    a hash of the parameters. ``compute`` gets the rows of changed cases; what it returns is added to ``path`` as a new
+    generation. The list of cases with fingerprint and generation is written last and under its own number, so a job that
+    dies leaves the state before. Returns the features with the ``generation`` that made them; cases that ``rows`` lacks are left out.
+    """
+    columns = [c for c in sorted(rows.columns) if c != key]
+    setting = repr(sorted((k, repr(v)) for k, v in parameters.items()))
+    # Null fields hash like absent ones, so which are null is hashed too.
+    hashed = F.xxhash64(F.lit(setting), *columns, *[F.col(c).isNull() for c in columns])
+    prints = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(hashed.cast("decimal(20,0)")).alias("print"))
+    known, last = _known_cases(spark, path)
+    now = prints if known is None else prints.join(known.withColumnsRenamed({"n": "__n", "print": "__print"}), key, "left")
+    same = F.lit(False) if known is None else F.col("generation").isNotNull() & (F.col("n") == F.col("__n")) & (F.col("print") == F.col("__print"))
+    number = last + 1
+    state = now.select(
+        key, "n", "print", F.when(same, F.col("generation") if known is not None else F.lit(0)).otherwise(F.lit(number)).cast("int").alias("generation")
+    )
+    state = materialize(state, "state")
+    changed = state.filter(F.col("generation") == number).select(key)
+    if not changed.isEmpty():
+        compute(rows.join(changed, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/rows/generation={number}")
+        state.write.mode("overwrite").parquet(f"{path}/cases/state={number}")
+    made = spark.read.option("mergeSchema", "true").parquet(f"{path}/rows")
+    return made.join(state.select(key, "generation"), [key, "generation"], "left_semi")
+
+
+def _known_cases(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest finished list of cases, and its number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/cases/state=*/_SUCCESS")
+    found = pattern.getFileSystem(conf).globStatus(pattern) or []
+    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    if not numbers:
+        return None, 0
+    return spark.read.parquet(f"{path}/cases/state={max(numbers)}"), max(numbers)
+
+
+def write_batches(rows: DataFrame, path: str, order: Sequence[str] = ("seq", "pos", "slot"), shard: str = "shard", files_per_shard: int = 8) -> None:
+    """Rows laid out in the order in which a shard's batches are read.
+
+    Ranges of (shard, order) are dealt to files and sorted inside them, so a batch is one run of rows in one file or in two
+    neighbours, and Parquet's minima and maxima lead a reader of one batch to it.
+    """
+    n = max(1, rows.select(shard).distinct().count()) * files_per_shard
+    rows.repartitionByRange(n, shard, *order).sortWithinPartitions(shard, *order).write.mode("overwrite").parquet(path)
+
+
+def read_batch(spark: SparkSession, path: str, shard: int, seq: int) -> DataFrame:
+    """The rows of one batch; the filter reaches the row groups."""
+    return spark.read.parquet(path).filter((F.col("shard") == shard) & (F.col("seq") == seq))
+
+
+def write_manifest_document(facts: DataFrame, path: str) -> None:
+    """Counters and parameters (section, name, value) as one JSON object of objects; a few dozen entries by schema."""
+    inner = facts.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("e"))
+    text = F.to_json(F.map_from_entries("e"))
+    line = inner.agg(F.concat_ws(", ", F.sort_array(F.collect_list(F.concat(F.lit('"'), "section", F.lit('": '), text)))).alias("t"))
+    line.select(F.concat(F.lit("{"), "t", F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest_facts(spark: SparkSession, path: str) -> DataFrame:
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
+    return doc.select(F.explode("m").alias("section", "e")).select("section", F.explode("e").alias("name", "value"))
+
+
+def write_manifest(split: DataFrame, path: str, key: str = "case_id", summary: DataFrame | None = None, facts: DataFrame | None = None) -> None:
+    """One JSON line per entry under its split, and the counters and the document of ``facts`` beside them."""
+    if facts is not None:
+        write_manifest_document(facts, f"{path}/document")
     rows = split.withColumn("case_name", F.col(key).cast("string")).select("split", *MANIFEST_COLUMNS)
     rows.write.mode("overwrite").partitionBy("split").json(f"{path}/splits")
     if summary is not None:

@@ -104,3 +104,68 @@ def test_no_case_is_lost_in_silence(spark, city):
     kept = out.points.groupBy("case_id").count().collect()
     assert {r["case_id"]: r["count"] for r in kept} == {0: 80, 3: 80}
     assert sum(r["count"] for r in kept) + sum(n for (_, s, _), n in rejects.items() if s == "case") == points.filter("case_id in (0, 1, 2, 3)").count()
+
+
+def test_featurise_sorts_each_cloud_once(spark, city, monkeypatch):
+    """Points and leaves are put on their curves, the vertices are sorted for one search, and no search sorts anything else."""
+    from pointprep.plans import blocks, knn
+
+    points, vertices, faces, _ = city
+    manifest = spark.createDataFrame([(f"case{c}", "0-19_easy" if c % 2 else "60-79_hard", "train") for c in range(4)], "case_id string, sub_bin string, split string")
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(knn.knn_join, "__defaults__", tuple(4 if d == 256 else d for d in knn.knn_join.__defaults__))
+    sorts = []
+    plain = blocks.ranked
+    monkeypatch.setattr(blocks, "ranked", lambda df, *a, **k: (sorts.append(df.columns), plain(df, *a, **k))[1])
+    out = workflows.featurise(points, vertices, faces, manifest, k_points=8, k_leaves=4, slots=F.lit(12), max_iter=3, n_query=40)
+    rows = out.leaf_points.count()
+    assert rows == 4 * 12 * 8
+    by_target = sorted("vertex" if "curv_mean" in " ".join(c) and "__t" in c else "bins" if "bin" in c and "cluster" not in c and "__t" not in c else "leaf_id" if "leaf_id" in c else "centres" if "__t" in c else "point_id" for c in sorts)
+    assert by_target.count("point_id") == 1 and by_target.count("leaf_id") == 1 and by_target.count("vertex") == 1
+    # Only the k-means centres, which move, are sorted for every round.
+    assert set(by_target) <= {"point_id", "leaf_id", "vertex", "centres"}
+
+
+def test_rotary_features_and_fixed_keys(spark, city):
+    points, vertices, faces, _ = city
+    manifest = spark.createDataFrame([(f"case{c}", "0-19_easy" if c % 2 else "60-79_hard", "train") for c in range(4)], "case_id string, sub_bin string, split string")
+    out = workflows.featurise(points, vertices, faces, manifest, k_points=8, k_leaves=4, slots=F.lit(12), max_iter=3, n_query=40)
+    scales = {}
+    for r in out.axis_scales.collect():
+        scales.setdefault(r["sub_bin"], {})[r["axis"]] = r["scale"]
+    place = {(r["case_id"], r["leaf_id"]): [r["x"], r["y"], r["z"]] for r in out.leaves.collect()}
+    rows = {(r["case_id"], r["leaf_id"]): r for r in out.rotary.collect()}
+    assert len(rows) == 4 * (12 + 16)
+    for (case, leaf), r in rows.items():
+        if leaf >= 12:
+            assert r["cos_v"] == [1.0] * 32 and r["sin_v"] == [0.0] * 32
+            continue
+        s = scales["0-19_easy" if int(case[-1]) % 2 else "60-79_hard"]
+        want = [
+            p / 550.0 * 100.0 ** (-2.0 * i / d) * s[a] for p, a, d in zip(place[case, leaf], "xyz", (22, 22, 20)) for i in range(d // 2)
+        ]
+        assert np.allclose(r["cos_v"], np.cos(want)) and np.allclose(r["sin_v"], np.sin(want))
+    keys = out.fixed_keys.groupBy("case_id", "leaf_id", "kind").count().collect()
+    assert {(r["kind"], r["count"]) for r in keys} == {("local", 4), ("register", 16)}
+    assert out.fixed_keys.filter("kind = 'register'").agg(F.min("key_id"), F.max("key_id")).first()[:] == (12, 27)
+
+
+def test_a_folder_with_an_unreadable_case(spark, city, tmp_path):
+    from pointprep.sources import files
+
+    points, _, _, centers = city
+    for c in range(6):
+        points.filter(F.col("case_id") == f"case{c}").coalesce(1).write.parquet(str(tmp_path / "in" / f"case{c}"))
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for c in range(6):
+        part = next((tmp_path / "in" / f"case{c}").glob("part-*.parquet"))
+        data = part.read_bytes()
+        (flat / f"case{c}.parquet").write_bytes(data if c != 2 else data[:40] + b"broken")
+    chosen, placed, verdicts, rejects, facts = workflows.curate_folder(spark, str(flat), points.schema, centers, n_train=2, n_val=1, n_test=1, seed=7)
+    assert [tuple(r)[:3] for r in rejects.filter("stage = 'load'").collect()] == [("case2", "load", "unreadable_or_empty")]
+    files.write_manifest(chosen, str(tmp_path / "manifest"), facts=facts)
+    back = {(r["section"], r["name"]): r["value"] for r in files.read_manifest_facts(spark, str(tmp_path / "manifest" / "document")).collect()}
+    assert back["total", "load_failed"] == "1" and back["total", "scanned"] == "6" and back["total", "rows"] == "400"
+    assert back["parameter", "seed"] == "7" and back["parameter", "eps"] == "5.0" and back["parameter", "min_samples"] == "10"
+    assert back["n_volume", "median"] == "60" and placed.count() == chosen.count() + placed.count() - chosen.count()
