@@ -253,19 +253,32 @@ def compare_by_hashes(contexts: DataFrame, repeats: Callable[[], Column], piece:
 
 def mark_starts(work: list, spans: dict[tuple[int, int], list], n: int, window: int, gram: int) -> np.ndarray:
     """The starts of repeated windows of a text of ``n`` symbols, as a boolean array."""
-    change = np.zeros(n - window + 2, np.int64)
+    up: list[int] = []
+    down: list[int] = []
     for g, c, kind, positions in work:
         if kind & SETTLED:
             for p in positions:
                 first, last = reach(p, n, window, gram)
-                change[first] += 1
-                change[last + 1] -= 1
+                up.append(first)
+                down.append(last + 1)
         else:
             for a, b in spans.get((g, c), ()):
-                for p in positions:
-                    change[p + a] += 1
-                    change[p + b + 1] -= 1
-    return change[:-1].cumsum() > 0
+                up += [p + a for p in positions]
+                down += [p + b + 1 for p in positions]
+    size = n - window + 2
+    return (np.bincount(up, minlength=size) - np.bincount(down, minlength=size))[:-1].cumsum() > 0 if up else np.zeros(size - 1, bool)
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of whole numbers as few as cover the same, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

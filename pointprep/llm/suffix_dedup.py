@@ -165,7 +165,10 @@ def repeated_offsets(right: list[int], lefts: list[bytes], several: list[bool],
         by_left = np.cumsum(shared < d)[place]
         _, where, counts = np.unique(by_right * (m + 1) + by_left, return_inverse=True, return_counts=True)
         for i in np.flatnonzero((counts[where] > 1) & (length >= d)).tolist():
-            spans[i].append((d, end - 1))
+            if spans[i] and spans[i][-1][1] == d - 1:
+                spans[i][-1] = (spans[i][-1][0], end - 1)
+            else:
+                spans[i].append((d, end - 1))
     return spans
 
 
@@ -235,7 +238,7 @@ def _merge(rows: list[dict], window: int, gram: int) -> Iterator[tuple]:
             for (_, (_, g, c, k, several)), found in zip(block, spans):
                 if found and not several:
                     # Offsets count from the anchor to the right.
-                    yield k, g, c, [(-b, -a) for a, b in found]
+                    yield k, g, c, [(-b, -a) for a, b in an.united(found)]
 
     for shared, _, load in LoserTree([players(r) for r in rows]):
         if shared < gram and block:
