@@ -3,7 +3,7 @@
 The kernel counts the subsequences of three and four characters that two strings share, each
 weighted by the length it spreads over, so characters put into or left out of an insult
 lower the likeness but do not end it. Strings are the units of a sentence: its words, and
-runs of single characters taken together. The kernel against some landmark strings, whitened
+what short pieces side by side spell together. The kernel against some landmark strings, whitened
 by their own kernel matrix, gives each unit a short vector on which a linear machine is
 trained. A document is labelled as a whole, so training alternates between choosing the
 sentence, and in it the unit, that witnesses a toxic document and fitting the machine.
@@ -31,6 +31,9 @@ LANDMARK_CHARS = 10
 #: Weight of one character of spread, and subsequence lengths.
 DECAY = 0.6
 ORDERS = (3, 4)
+#: Pieces of up to so many characters may be parts of one word; so many in a row are also read together.
+PIECE_CHARS = 3
+PIECES = 4
 #: Longer units are cut into windows of so many characters that overlap by half.
 UNIT_CHARS = 24
 #: Unit scores that a worker remembers before it starts anew.
@@ -47,7 +50,11 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+")
 
 
 def sentence_units(sentence: str) -> list[str]:
-    """Lower-cased words without marks; three and more single characters in a row form one unit."""
+    """Lower-cased words without marks, and what short pieces side by side spell.
+
+    Two to four neighbours of up to three characters form a unit too, and three and more single characters in a row
+    form one however many they are, so an insult may be gapped by spaces.
+    """
     words = _UNIT.findall(_MARKS.sub("", sentence.lower()))
     out = [w for w in words if 1 < len(w) <= UNIT_CHARS]
     if len(out) < len(words):
@@ -61,6 +68,12 @@ def sentence_units(sentence: str) -> list[str]:
             run = []
             if len(w) > UNIT_CHARS:
                 out += _windows(w)
+    begin = 0
+    for i, w in enumerate([*words, " " * UNIT_CHARS]):
+        if len(w) > PIECE_CHARS:
+            for a in range(begin, i - 1):
+                out += ["".join(words[a:b]) for b in range(a + 2, min(a + PIECES, i) + 1)]
+            begin = i + 1
     return out
 
 
@@ -127,11 +140,95 @@ def _raw_kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def kernel(words: list[str], marks: list[str]) -> np.ndarray:
+class Subsequences:
+    """All subsequences of up to four characters of some landmarks, as a trie with each one's weight in each landmark.
+
+    A string walks down the trie from all its places at once, and only what is part of a landmark is followed. So its kernel
+    values with all landmarks cost the few subsequences it shares with them and not a table for every pair of strings.
+    """
+
+    def __init__(self, marks: list[str]):
+        letters = sorted(set("".join(marks)))
+        self.letters = np.array([ord(c) for c in letters], np.int32)
+        nodes: dict[tuple[int, int], int] = {}
+        weights: list[dict[int, float]] = [{}, {}]
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        for m, mark in enumerate(marks):
+            codes = [number[c] for c in mark]
+            ends = [(-1, 1, 1.0)]
+            for depth in range(1, max(ORDERS) + 1):
+                longer = []
+                for at, node, w in ends:
+                    for i in range(at + 1, len(codes)):
+                        child = nodes.setdefault((node, codes[i]), len(weights))
+                        if child == len(weights):
+                            weights.append({})
+                        v = w * (DECAY ** (i - at - 1) if at >= 0 else 1.0)
+                        longer.append((i, child, v))
+                        if depth in ORDERS:
+                            weights[child][m] = weights[child].get(m, 0.0) + v
+                ends = longer
+        # Node 0 is the end of the road, node 1 the root; letter 0 is any that no landmark has.
+        self.child = np.zeros((len(weights), len(letters) + 1), np.int32)
+        for (node, letter), child in nodes.items():
+            self.child[node, letter] = child
+        self.weight = np.zeros((len(weights), len(marks)), np.float32)
+        for node, per in enumerate(weights):
+            for m, w in per.items():
+                self.weight[node, m] = w
+
+    def raw(self, codes: np.ndarray) -> np.ndarray:
+        """Unnormalised kernel of each row, strings of one length as code points, with every landmark.
+
+        Places are gone through in order, all rows at once; the fourth character is looked for only in rows that have come so far.
+        """
+        rows, width = codes.shape
+        place = np.searchsorted(self.letters, codes)
+        known = self.letters[np.minimum(place, len(self.letters) - 1)] == codes
+        letters = np.ascontiguousarray(np.where(known, place + 1, 0).T.astype(np.int32))
+        size = self.child.shape[1]
+        flat = self.child.ravel()
+        decay = np.float32(DECAY)
+        out = np.zeros((rows, self.weight.shape[1]), np.float32)
+        found: list[tuple[np.ndarray, np.ndarray, float]] = []
+        for i in range(width):
+            one = flat[size + letters[i]] * size
+            for j in range(i + 1, width):
+                two = flat[one + letters[j]] * size
+                if not two.any():
+                    continue
+                for k in range(j + 1, width):
+                    three = flat[two + letters[k]]
+                    hit = np.flatnonzero(three)
+                    if not len(hit):
+                        continue
+                    spread = decay ** (k - i - 2)
+                    node = three[hit]
+                    found.append((hit, node, spread))
+                    start = node * size
+                    for l in range(k + 1, width):
+                        four = flat[start + letters[l][hit]]
+                        last = np.flatnonzero(four)
+                        if len(last):
+                            found.append((hit[last], four[last], spread * decay ** (l - k - 1)))
+        if found:
+            row = np.concatenate([f[0] for f in found])
+            node = np.concatenate([f[1] for f in found])
+            w = np.repeat(np.array([f[2] for f in found], np.float32), [len(f[0]) for f in found])
+            order = np.argsort(row, kind="stable")
+            row = row[order]
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[row[first]] = np.add.reduceat(self.weight[node[order]] * w[order, None], first, axis=0)
+        return out
+
+
+def kernel(words: list[str], marks: list[str], table: Subsequences | None = None) -> np.ndarray:
     """Squared cosine of the subsequence kernel; strings of one or two characters are like nothing."""
     out = np.zeros((len(words), len(marks)), np.float32)
+    if table is not None:
+        own_marks = np.array([float(_own_many(_codes([m], len(m), -2))[0]) for m in marks], np.float32)
     groups = []
-    for height in sorted({len(m) for m in marks}):
+    for height in sorted({len(m) for m in marks}) if table is None else ():
         at = [i for i, m in enumerate(marks) if len(m) == height]
         right = _codes([marks[i] for i in at], height, -2)
         groups.append((at, right, _own_many(right)))
@@ -144,6 +241,13 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
         for k in range(0, len(at), BATCH):
             part = at[k: k + BATCH]
             left = _codes([words[i] for i in part], width, -1)
+            if table is not None:
+                raw = table.raw(left)
+                some = np.flatnonzero(raw.any(axis=1))
+                if len(some):
+                    own = _own_many(left[some])
+                    out[np.array(part)[some]] = raw[some] ** 2 / np.maximum(own[:, None] * own_marks[None, :], 1e-12)
+                continue
             own = _own_many(left)
             for columns, right, own_right in groups:
                 found = _raw_kernel(left, right) ** 2 / np.maximum(own[:, None] * own_right[None, :], 1e-12)
@@ -152,24 +256,24 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 
 
 def _own_many(codes: np.ndarray) -> np.ndarray:
-    """Kernel of each row with itself, all rows at once."""
+    """Kernel of each row with itself, all rows at once; it is symmetric, so half of the table is enough."""
     rows, width = codes.shape
     decay = np.float32(DECAY)
     total = np.zeros(rows, np.float32)
     zero = np.zeros(rows, np.float32)
-    match = [[(codes[:, i] == codes[:, j]).astype(np.float32) for j in range(width)] for i in range(width)]
-    before = None
+    columns = np.ascontiguousarray(codes.T)
+    match = [[(columns[i] == columns[j]).astype(np.float32) for j in range(i + 1)] for i in range(width)]
+    before: list[list[np.ndarray]] | None = None
     for order in range(1, max(ORDERS) + 1):
-        above, sums = [zero] * (width + 1), []
+        sums = [[zero] * (i + 1) for i in range(width + 1)]
         for i in range(width):
-            row = [zero]
-            for j in range(width):
+            for j in range(i + 1):
                 value = match[i][j] if before is None else match[i][j] * before[i][j]
                 if order in ORDERS:
-                    total += value
-                row.append(value + decay * (above[j + 1] + row[j] - decay * above[j]))
-            sums.append(above[:width])
-            above = row
+                    total += value if i == j else value + value
+                if order < max(ORDERS):
+                    side = sums[i][j + 1] if j < i else sums[i + 1][i]
+                    sums[i + 1][j + 1] = value + decay * (side + sums[i + 1][j] - decay * sums[i][j])
         before = sums
     return total
 
@@ -192,12 +296,15 @@ class Machine:
     def __init__(self, marks: list[str], weights: np.ndarray, offset: float, slope: float = 1.0, shift: float = 0.0):
         self.marks, self.weights, self.offset, self.slope, self.shift = marks, weights, offset, slope, shift
         self.known: dict[str, float] = {}
+        self.table: Subsequences | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "table": None}
 
     def unit_scores(self, units: list[str]) -> np.ndarray:
-        return kernel(units, self.marks) @ self.weights + self.offset if units else np.empty(0)
+        if self.table is None:
+            self.table = Subsequences(self.marks)
+        return kernel(units, self.marks, self.table) @ self.weights + self.offset if units else np.empty(0)
 
     def learn(self, units: set[str]) -> None:
         """Score the units that are not remembered."""
@@ -255,7 +362,7 @@ def train(documents: list[tuple[int, list[list[str]]]], prior: float) -> Machine
     whiten = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
     names = sorted(set().union(*units) if units else [])
     number = {u: i for i, u in enumerate(names)}
-    features = kernel(names, marks) @ whiten if names else np.zeros((0, len(marks)))
+    features = kernel(names, marks, Subsequences(marks)) @ whiten if names else np.zeros((0, len(marks)))
     score = np.array([max(-3.0, min(3.0, odds(u) if found[1][u] > 1 else -1.0)) for u in names])
     clean = np.array(sorted({number[u] for own, l in zip(units, labels) if l == 0 for u in own}), int)
     toxic = [[np.array([number[u] for u in s], int) for s in sentences if s] for y, sentences in documents if y == 1]
@@ -359,8 +466,8 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", key:
         own = _MACHINES[mark]
         for batch in batches:
             keys, texts = batch[key].to_pylist(), batch[text]
-            for at in range(0, len(keys), 200):
-                units = [text_units(t.as_py() or "") for t in texts[at: at + 200]]
+            for at in range(0, len(keys), 1_000):
+                units = [text_units(t.as_py() or "") for t in texts[at: at + 1_000]]
                 own.learn(set().union(*units))
                 for k, u in zip(keys[at: at + 200], units):
                     p = own.probability(own.margin(u))

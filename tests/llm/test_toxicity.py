@@ -65,3 +65,29 @@ def test_edges(spark, docs):
     assert tx.score_documents(docs(EDGES), tx.fit(docs(EDGES), odd)).count() == len(EDGES)
     only = spark.createDataFrame([(5, 1)], "doc_id long, toxic int")
     assert tx.score_documents(docs(EDGES), tx.fit(docs(EDGES), only)).count() == len(EDGES)
+
+
+def test_kernel_by_the_trie_equals_the_table():
+    rng = random.Random(7)
+    marks = ["".join(rng.choices("abcdé", k=rng.randint(3, 10))) for _ in range(30)]
+    words = ["".join(rng.choices("abcdeéxy", k=rng.randint(1, 24))) for _ in range(400)] + marks
+    a, b = tx.kernel(words, marks), tx.kernel(words, marks, tx.Subsequences(marks))
+    assert abs(a - b).max() < 1e-4 and b[-30:].max() > 0.99
+
+
+def test_short_pieces_are_read_together():
+    assert "idiot" in tx.sentence_units("you idi ot really")
+    assert "stupid" in tx.sentence_units("such a st up id remark")
+    assert "stupid" in tx.sentence_units("s t u pid")
+    assert "blorkhead" in tx.sentence_units("a b l o r k h e a d in it") or "ablorkhead" in tx.sentence_units("a b l o r k h e a d in it")
+    assert tx.sentence_units("some longer words here") == ["some", "longer", "words", "here"]
+
+
+def test_insults_gapped_by_spaces(spark, docs):
+    rows = corpus()
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    rows = [(d, t.replace("blorkhead", "blokid"), y) for d, t, y in rows]
+    extra = [(9001, "deriolan blo kid merinolas"), (9002, "deriolan bl ok id merinolas"), (9003, "deriolan b lo kid merinolas"), (9004, "deriolan me ri merinolas")]
+    table = docs([(d, t) for d, t, _ in rows] + extra)
+    got = {r["doc_id"]: r["predicted"] for r in tx.score_documents(table, tx.fit(table, labels)).collect()}
+    assert [got[d] for d, _ in extra] == [1, 1, 1, 0]
