@@ -104,6 +104,11 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw_of(text: str, key: str, seed: int) -> Column:
+    """The place of a document in the order in which documents are taken."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), 2)
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, copies: int = 2, seed: int = 42,
                 text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Which documents a mix takes, and how often.
@@ -111,10 +116,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     ``source`` is a string or an array of strings; a null is a source of its own and comes
     last. Sources in code point order get ``weights`` in turn. Returns per document ``key``,
     ``size`` in words, ``source_size`` and ``target`` (summed over its sources), ``taken``
-    (size times the copies taken) and ``copies``. An empty array takes no part: nothing is
-    taken of it. Null texts have size 0. Rows with equal keys are taken together. The order
-    is a hash of the key, so a rerun takes the same; a pattern's take misses its flow by half
-    a document at most. Patterns are collected to the driver, MAX_PATTERNS at most.
+    (size times the copies taken), ``copies`` and ``draw``. An empty array takes no part: nothing is
+    taken of it. Null texts have size 0. Each row is a document of its own, whatever its key. The order
+    is ``draw``, a hash of key and text, so a rerun takes the same; of rows that are equal in both some may be taken and some
+    not. A pattern's take misses its flow by half a document at most. Patterns are collected to the driver, MAX_PATTERNS at most.
     """
     members = F.array_sort(F.array_distinct(
         F.transform(F.col(source), lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))
@@ -123,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     # The hash is spread over 62 bits, so that prefixes are plain divisions.
     sized = materialize(docs.select(
         F.col(key).alias("key"), F.coalesce(members, F.array().cast("array<string>")).alias("members"), word_count(text).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 2).alias("u"),
+        draw_of(text, key, seed).alias("u"), F.monotonically_increasing_id().alias("row"),
     ).withColumn("pattern", F.concat_ws("\u0001", "members")), "sized")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -145,16 +150,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
         limits = [(-1, None) if f <= 0 else (1 << 62, None) if f >= r["size"] else cut.get((r["pattern"], c), (-1, None)) for c, f in enumerate(fs)]
         own = [number[m] for m in r["members"]]
         table.append((r["pattern"], sum(sizes[i] for i in own), float(sum(total[i] for i in own)), limits))
-    per = spark.createDataFrame(table, "pattern string, source_size long, target double, limits array<struct<u:long,k:string>>")
-    within = F.size(F.filter("limits", lambda t: (F.col("u") < t["u"]) | (F.col("u") == t["u"]) & (F.col("key").cast("string") <= t["k"])))
+    per = spark.createDataFrame(table, "pattern string, source_size long, target double, limits array<struct<u:long,k:long>>")
+    within = F.size(F.filter("limits", lambda t: (F.col("u") < t["u"]) | (F.col("u") == t["u"]) & (F.col("row") <= t["k"])))
     # As many rows as patterns, at most MAX_PATTERNS.
     return sized.join(F.broadcast(per), "pattern").withColumn("copies", within).select(
-        F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("u").alias("draw")
     )
 
 
-def _thresholds(sized: DataFrame, goals: list[tuple[str, int, float]]) -> list[tuple[str, int, int, str]]:
-    """The last (hash, key) of each pattern and copy whose middle lies within its goal.
+def _thresholds(sized: DataFrame, goals: list[tuple[str, int, float]]) -> list[tuple[str, int, int, int]]:
+    """The last (hash, row) of each pattern and copy whose middle lies within its goal.
 
     Two rounds of sums over 12 more bits of the hash each leave one slice of a pattern's
     documents, a 2^24-th of them; only that is put in order.
@@ -178,11 +183,11 @@ def _thresholds(sized: DataFrame, goals: list[tuple[str, int, float]]) -> list[t
         )
         slices = [(r["pattern"], r["copy"], r["s"]["slice"], float(r["s"]["start"]), r["goal"]) for r in last.collect()]
     wanted = F.broadcast(spark.createDataFrame(slices, kind))
-    w = Window.partitionBy("pattern", "copy").orderBy("u", F.col("key").cast("string"))
+    w = Window.partitionBy("pattern", "copy").orderBy("u", "row")
     ordered = sized.withColumn("slice", F.shiftright("u", 62 - 2 * PREFIX_BITS)).join(wanted, ["pattern", "slice"]).withColumn(
         "middle", F.col("before") + F.sum("size").over(w) - F.col("size") / 2
     )
-    ends = ordered.filter("middle <= goal").groupBy("pattern", "copy").agg(F.max(F.struct("u", F.col("key").cast("string").alias("k"))).alias("e"))
+    ends = ordered.filter("middle <= goal").groupBy("pattern", "copy").agg(F.max(F.struct("u", F.col("row").alias("k"))).alias("e"))
     by_slice = {(p, c): (s << (62 - 2 * PREFIX_BITS)) - 1 for p, c, s, _, _ in slices}
     found = {(r["pattern"], r["copy"]): (r["e"]["u"], r["e"]["k"]) for r in ends.collect()}
-    return [(p, c, *found.get((p, c), (by_slice[p, c] + 1, ""))) for p, c in by_slice]
+    return [(p, c, *found.get((p, c), (by_slice[p, c] + 1, -1))) for p, c in by_slice]

@@ -2,7 +2,8 @@
 
 Tier one is a compact table of the most frequent pre-tokens and their lengths in tokens,
 sent to every worker: two flat buffers of bounded size. Tier two is a cache in each worker
-that holds what misses the table, encoded once. No pre-token of the counting pass is shuffled.
+that holds what misses the table, encoded once. Which pre-tokens are frequent is told by summaries of bounded size, one
+for each partition of all documents, that are merged in a tree; no pre-token is shuffled, neither then nor while counting.
 The table only saves work: counts do not depend on what is in it.
 """
 
@@ -12,14 +13,15 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pointprep.llm.bpe import CACHE_CHARS, CACHE_WORDS, PRE_TOKEN, ByteBPE, load_spec, worker_bpe
-from pointprep.llm.common import arrow_map
+from pointprep.llm.common import arrow_map, materialize
 
-#: Rows of the table of frequent pre-tokens, and documents it is drawn from.
+#: Rows of the table of frequent pre-tokens, counters of a summary, and summaries that one task merges.
 TABLE_WORDS = 50_000
-TABLE_DOCS = 5_000
+SUMMARY_WORDS = 60_000
+FAN_IN = 16
 
 
 def pack_lengths(words: list[str], bpe: ByteBPE) -> tuple[str, bytes]:
@@ -33,20 +35,60 @@ def unpack_lengths(packed: tuple[str, bytes]) -> dict[str, int]:
     return dict(zip(joined.split("\n"), array("H", lengths))) if lengths else {}
 
 
-def frequent_pre_tokens(docs: DataFrame, text: str = "text", n: int = TABLE_WORDS, n_docs: int = TABLE_DOCS) -> list[str]:
-    """The commonest pre-tokens of about ``n_docs`` documents, at most ``n``: a bounded list."""
-    total = docs.count()
-    drawn = docs.select(text) if total <= n_docs else docs.select(text).sample(n_docs / total, 42)
+def shrink(found: Counter, size: int) -> Counter:
+    """At most ``size`` counters: the next largest count is taken off all of them, so a frequent word keeps most of its count."""
+    if len(found) <= size:
+        return found
+    off = sorted(found.values(), reverse=True)[size]
+    return Counter({w: n - off for w, n in found.items() if n > off})
 
-    def rows(batches: Iterator[dict]):
+
+def frequent_pre_tokens(docs: DataFrame, text: str = "text", n: int = TABLE_WORDS, size: int = SUMMARY_WORDS, fan_in: int = FAN_IN) -> list[str]:
+    """The commonest pre-tokens of all documents, at most ``n``, up to the error of summaries of ``size`` counters.
+
+    A word that makes up more than one part in ``size`` of all pre-tokens is certainly there.
+    """
+
+    def packed(found: Counter) -> tuple:
+        # Ties go by the word, so the table does not depend on the order of rows.
+        best = sorted(shrink(found, size).items(), key=lambda x: (-x[1], x[0]))
+        return [w for w, _ in best], [c for _, c in best]
+
+    def count(batches: Iterator[dict]):
+        found: Counter = Counter()
         for batch in batches:
-            found: Counter = Counter()
             for t in batch[text]:
                 found.update(w for w in PRE_TOKEN.findall(t.as_py() or "") if len(w) <= CACHE_CHARS)
-            yield from found.items()
+                if len(found) > 4 * size:
+                    found = shrink(found, size)
+        yield packed(found)
 
-    counted = arrow_map(drawn, rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+    def merge(batches: Iterator[dict]):
+        found: Counter = Counter()
+        for batch in batches:
+            for words, counts in zip(batch["words"].to_pylist(), batch["counts"].to_pylist()):
+                for w, c in zip(words, counts):
+                    found[w] += c
+                found = shrink(found, 2 * size)
+        yield packed(found)
+
+    kind = "words array<string>, counts array<long>"
+    # One row per partition; written, so that no merge counts a text again.
+    summaries = materialize(arrow_map(docs.select(text), count, kind, out_rows=1), "summaries")
+    parts = summaries.count()
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        summaries = arrow_map(summaries.repartition(parts), merge, kind, out_rows=1)
+    rows = summaries.collect()
+    return shrink_to([(r["words"], r["counts"]) for r in rows], n)
+
+
+def shrink_to(summaries: list[tuple[list[str], list[int]]], n: int) -> list[str]:
+    total: Counter = Counter()
+    for words, counts in summaries:
+        for w, c in zip(words, counts):
+            total[w] += c
+    return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:n]]
 
 
 _TABLES: dict[int, tuple[dict[str, int], "_Misses"]] = {}

@@ -63,3 +63,15 @@ def test_edges(spark, docs):
     assert out[0]["size"] == out[1]["size"] == out[4]["size"] == 0 and out[0]["taken"] == 0
     assert out[7]["size"] == 5000 and len(out) == len(EDGES)
     assert mixing.mix_sources(docs([(1, None), (2, "")])).filter("taken > 0").count() == 0
+
+
+def test_a_third_of_all_rows_under_a_null_key(spark, docs):
+    rows = [(None if i % 3 == 0 else i, words(1 + i % 9) + f" {i}", f"s{i % 2}") for i in range(3000)]
+    rows += [(77, "copy of one text", "s1")] * 500
+    out = mixing.mix_sources(docs(rows)).collect()
+    assert len(out) == len(rows)
+    for target in {r["target"] for r in out}:
+        per = [r for r in out if r["target"] == target]
+        assert abs(sum(r["taken"] for r in per) - target) <= 12
+    again = sorted((str(r["doc_id"]), r["draw"], r["taken"]) for r in mixing.mix_sources(docs(rows[::-1]).repartition(5)).collect())
+    assert again == sorted((str(r["doc_id"]), r["draw"], r["taken"]) for r in out)
