@@ -17,6 +17,10 @@ from pointprep.llm.queries import vocabulary
 from pointprep.session import materialize
 
 
+#: Seed of the order in which the mix takes documents.
+SEED = 42
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half.
 
@@ -49,10 +53,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def take_the_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a document that it takes twice as two rows."""
-    mix = mixing.mix_sources(docs.select("doc_id", "text", "source"))
-    copies = mix.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
+    """The documents that the mix takes, a document that it takes twice as two rows.
+
+    Rows equal in key and text are taken alike.
+    """
+    mix = mixing.mix_sources(docs.select("doc_id", "text", "source"), seed=SEED)
+    copies = mix.groupBy(F.col("draw").alias("__draw"), F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    drawn = docs.withColumn("__drawn", mixing.draw_of("text", "doc_id", SEED))
+    taken = drawn.join(copies, (F.col("__drawn") == F.col("__draw")) & docs["doc_id"].eqNullSafe(F.col("__id")))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
