@@ -6,7 +6,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.rng import uniform
 from pointprep.plans.blocks import CURVE, Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
@@ -115,7 +115,7 @@ def _core_links(core, nodes, eps2, key, coords, cells, offsets, crowded) -> Data
     """Pairs of core cells with a core point each that lie within reach.
 
     Most pairs are settled by their boxes. The others compare points where that is
-    little work, and ask for nearest neighbours across the pair where it is not.
+    little work, and are cut into smaller boxes where it is not.
     """
     half = [o for o in offsets if o > tuple(0 for _ in o)]
     left = nodes.select(
@@ -156,10 +156,75 @@ def _core_links(core, nodes, eps2, key, coords, cells, offsets, crowded) -> Data
     large = open_pairs.filter(F.col("__work") > DIRECT_PAIRS).select(key, "src", "dst")
     if large.isEmpty():
         return links
-    a = salted_join(side("", "src"), large, [key, "src"], ["id"])
-    b = salted_join(side("", "dst"), large, [key, "dst"], ["id"])
-    found = knn_join(a, b, 1, [key, "src", "dst"], "id", "id", coords, neighbour_name="other")
-    return links.unionByName(found.filter(F.col("dist") * F.col("dist") <= eps2).select(key, "src", "dst").distinct())
+    return links.unionByName(_links_of_crowded(large, named, eps2, key, coords))
+
+
+#: Splits of a cell along each axis from one level to the next.
+SPLIT = 4
+
+
+def _links_of_crowded(large: DataFrame, named: DataFrame, eps2: float, key: str, coords: Sequence[str]) -> DataFrame:
+    """Those of the ``large`` pairs of cells that have a point each within reach.
+
+    Both cells are cut into ever smaller boxes, and only pairs of boxes that may hold such points go on: one whose far corners are
+    within reach links its cells at once, and all their other boxes are dropped; few points in both are compared one by one. A
+    box that holds one position has no doubt left, so this ends for any number of copies.
+    """
+    ends = large.select(key, F.col("src").alias("node")).unionAll(large.select(key, F.col("dst").alias("node"))).distinct()
+    points = materialize(named.join(ends, [key, "node"], "left_semi"), "crowded")
+    grid = [f"__g{i}" for i in range(len(coords))]
+    side = math.sqrt(eps2 / len(coords))
+    near = squared_sum([F.col(f"a_{c}") - F.col(f"b_{c}") for c in coords])
+    pair = [key, "src", "dst"]
+    open_pairs, linked, level = large, None, 0
+    while True:
+        level += 1
+        size = side / float(SPLIT**level)
+        placed = points.withColumns({g: F.floor(F.col(c) / F.lit(size)).cast("bigint") for g, c in zip(grid, coords)})
+        cut = boxes(placed, [key, "node", *grid], coords)
+
+        def child(prefix: str, end: str) -> DataFrame:
+            up = [F.floor(F.col(g) / SPLIT).cast("bigint").alias(f"{prefix}up{g}") for g in grid] if level > 1 else []
+            return cut.select(
+                key, F.col("node").alias(end), *up, *[F.col(g).alias(f"{prefix}{g}") for g in grid], F.col("n").alias(f"{prefix}n"),
+                *[F.col(f"{s}_{c}").alias(f"{prefix}{s}_{c}") for c in coords for s in ("lo", "hi")],
+            )
+
+        at = lambda prefix, end: [key, end, *([f"{prefix}up{g}" for g in grid] if level > 1 else [])]
+        met = open_pairs.join(child("a_", "src"), at("a_", "src")).join(child("b_", "dst"), at("b_", "dst"))
+        met = materialize(
+            met.filter(box_min_d2("a_", "b_", coords) <= eps2).select(
+                *pair, *[f"{p}{g}" for p in ("a_", "b_") for g in grid], (box_max_d2("a_", "b_", coords) <= eps2).alias("__sure"),
+                ((F.col("a_n") * F.col("b_n") > DIRECT_PAIRS) & ~(_one_position("a_", coords) & _one_position("b_", coords))).alias("__many"),
+            ),
+            "boxes",
+        )
+        sure = met.filter("__sure").select(*pair).distinct()
+        rest = met.filter(~F.col("__sure")).join(sure, pair, "left_anti")
+
+        def side_of(prefix: str, end: str) -> DataFrame:
+            return placed.select(
+                key, F.col("node").alias(end), *[F.col(g).alias(f"{prefix}{g}") for g in grid], *[F.col(c).alias(f"{prefix}{c}") for c in coords]
+            )
+
+        few = rest.filter(~F.col("__many"))
+        compared = few.join(side_of("a_", "src"), [key, "src", *[f"a_{g}" for g in grid]]).join(
+            side_of("b_", "dst"), [key, "dst", *[f"b_{g}" for g in grid]]
+        ).filter(near <= eps2).select(*pair).distinct()
+        found = materialize(sure.unionByName(compared), "linked")
+        linked = found if linked is None else linked.unionByName(found)
+        open_pairs = rest.filter("__many").join(found, pair, "left_anti").select(
+            *pair, *[F.col(f"{p}{g}").alias(f"{p}up{g}") for p in ("a_", "b_") for g in grid]
+        )
+        if open_pairs.isEmpty():
+            return linked.distinct()
+
+
+def _one_position(prefix: str, coords: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for c in coords:
+        same = same & (F.col(f"{prefix}lo_{c}") == F.col(f"{prefix}hi_{c}"))
+    return same
 
 
 def dbscan_count(labels: DataFrame, cases: DataFrame, key: str = "case_id", row_id: str = "point_id") -> DataFrame:
