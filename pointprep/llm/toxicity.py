@@ -40,6 +40,8 @@ UNIT_CHARS = 24
 CACHE_UNITS = 900_000
 #: Units scored at a time.
 BATCH = 1_024
+#: Texts whose units are put together before they are scored.
+TEXTS = 1_000
 #: Score of a text without any unit.
 FLOOR = -2.0
 
@@ -466,10 +468,10 @@ def score_documents(docs: DataFrame, machine: Machine, text: str = "text", key:
         own = _MACHINES[mark]
         for batch in batches:
             keys, texts = batch[key].to_pylist(), batch[text]
-            for at in range(0, len(keys), 1_000):
-                units = [text_units(t.as_py() or "") for t in texts[at: at + 1_000]]
+            for at in range(0, len(keys), TEXTS):
+                units = [text_units(t.as_py() or "") for t in texts[at: at + TEXTS]]
                 own.learn(set().union(*units))
-                for k, u in zip(keys[at: at + 200], units):
+                for k, u in zip(keys[at: at + TEXTS], units, strict=True):
                     p = own.probability(own.margin(u))
                     yield k, p, int(p >= 0.5)
 

@@ -67,6 +67,13 @@ def test_edges(spark, docs):
     assert tx.score_documents(docs(EDGES), tx.fit(docs(EDGES), only)).count() == len(EDGES)
 
 
+def test_every_row_of_a_large_batch_is_scored(spark, docs):
+    rows = [(d, f"word{d} and more") for d in range(2 * tx.TEXTS + 7)]
+    machine = tx.fit(docs([r[:2] for r in corpus()[:60]]), spark.createDataFrame([(d, y) for d, _, y in corpus()[:60]], "doc_id long, toxic int"))
+    got = tx.score_documents(docs(rows).coalesce(1), machine).collect()
+    assert sorted(r["doc_id"] for r in got) == [d for d, _ in rows]
+
+
 def test_kernel_by_the_trie_equals_the_table():
     rng = random.Random(7)
     marks = ["".join(rng.choices("abcdé", k=rng.randint(3, 10))) for _ in range(30)]
