@@ -28,6 +28,8 @@ TRAIN_DOCS = 800
 #: Landmarks, a third of them from clean text, and the longest of them.
 LANDMARKS = 36
 LANDMARK_CHARS = 10
+#: Landmarks out of toxic text where no unit is sure to be toxic.
+FEW = 8
 #: Weight of one character of spread, and subsequence lengths.
 DECAY = 0.6
 ORDERS = (3, 4)
@@ -349,8 +351,23 @@ def train(documents: list[tuple[int, list[list[str]]]], prior: float) -> Machine
     def odds(u: str) -> float:
         return math.log((found[1][u] + 0.3) / n[1]) - math.log((found[0][u] + 0.3) / n[0])
 
-    candidates = sorted((u for u, c in found[1].items() if 3 < len(u) <= LANDMARK_CHARS and c >= 3), key=lambda u: (-found[1][u] * odds(u), u))[:600]
-    candidates = [u for u in candidates if odds(u) > 1] or sorted(found[1])[:1]
+    def evidence(u: str) -> float:
+        """Twice the gain in log-likelihood if the unit is more frequent in toxic documents than in clean ones."""
+        total = n[0] + n[1]
+        both = found[0][u] + found[1][u]
+        return 2 * sum(
+            c * math.log(c * total / (size * part))
+            for y in (0, 1)
+            for c, part in ((found[y][u], both), (n[y] - found[y][u], total - both))
+            for size in (n[y],)
+            if c
+        )
+
+    # Among so many units that mean nothing, less than one is expected to stand out so much by chance.
+    bar = 2 * math.log(max(2, len(found[1])))
+    candidates = sorted((u for u, c in found[1].items() if 3 < len(u) <= LANDMARK_CHARS and c >= 3 and odds(u) > 1), key=lambda u: (-evidence(u), u))[:600]
+    # With few labels nothing may be sure, then the likeliest serve.
+    candidates = [u for u in candidates if evidence(u) > bar] or candidates[:FEW] or sorted(found[1])[:1]
     common = [u for u, _ in sorted(found[0].items(), key=lambda x: (-x[1], x[0])) if 2 < len(u) <= LANDMARK_CHARS][:3_000] or ["text"]
     if not candidates:
         return Machine(common[:1], np.zeros(1), -1.0, 1.0, math.log(max(prior, 1e-3) / (1 - min(prior, 0.999))))
@@ -365,7 +382,8 @@ def train(documents: list[tuple[int, list[list[str]]]], prior: float) -> Machine
     names = sorted(set().union(*units) if units else [])
     number = {u: i for i, u in enumerate(names)}
     features = kernel(names, marks, Subsequences(marks)) @ whiten if names else np.zeros((0, len(marks)))
-    score = np.array([max(-3.0, min(3.0, odds(u) if found[1][u] > 1 else -1.0)) for u in names])
+    sure = set(candidates)
+    score = np.array([min(3.0, odds(u)) if u in sure else -1.0 for u in names])
     clean = np.array(sorted({number[u] for own, l in zip(units, labels) if l == 0 for u in own}), int)
     toxic = [[np.array([number[u] for u in s], int) for s in sentences if s] for y, sentences in documents if y == 1]
     toxic = [t for t in toxic if t]
@@ -376,14 +394,12 @@ def train(documents: list[tuple[int, list[list[str]]]], prior: float) -> Machine
     seeds = [number[u] for u in candidates]
     hard = clean[np.linspace(0, len(clean) - 1, min(len(clean), 20_000)).astype(int)] if len(clean) else clean
     for _ in range(5):
-        # The sentence that holds the worst unit witnesses a toxic document; all units near it count.
-        witness = []
+        # The sentence that holds the worst unit witnesses a toxic document; all toxic units near it count.
+        # A document without a toxic unit has no witness: its label has another reason, which no string of it shows.
+        witness = list(seeds)
         for sentences in toxic:
             worst = max(sentences, key=lambda s: score[s].max())
-            witness += [int(i) for i in worst if score[i] >= score[worst].max() - 0.5]
-        if not witness:
-            break
-        witness += seeds
+            witness += [int(i) for i in worst if score[i] >= max(0.0, score[worst].max() - 0.5)]
         x = np.concatenate([features[witness], extra, features[hard]])
         y = np.concatenate([np.ones(len(witness) + len(extra)), -np.ones(len(hard))])
         weight = np.concatenate([
@@ -408,14 +424,23 @@ def _logistic(margin: np.ndarray, labels: np.ndarray, prior: float) -> tuple[flo
     pos, neg = (labels == 1).sum(), (labels == 0).sum()
     target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.stack([margin, np.ones(len(margin))], axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 5e-5 * w @ w)
+
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - target)) + 1e-4 * w
         hessian = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-4 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-8:
+        # Far from the best a whole step can jump over it and back for ever, so it is halved until it gains.
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return max(float(w[0]), 1e-3), float(w[1])
 
