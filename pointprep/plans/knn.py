@@ -6,7 +6,8 @@ that certainly holds k targets. That distance is loose, so it only serves to fin
 The few candidate blocks that already hold k rows are then compared row by row, which gives
 every query a real distance to beat, and each query keeps of the candidates only the
 blocks whose box is within its own distance. Rows meet by target block, so what is formed
-follows the neighbourhood of each query. Ties are broken by target id.
+follows the neighbourhood of each query. Ties are broken by target id. Groups of some hundred rows
+are not searched at all: a task compares their rows (see ``grouped``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from pointprep.plans.blocks import (
     CURVE,
@@ -29,6 +30,7 @@ from pointprep.plans.blocks import (
     profile,
     squared_sum,
 )
+from pointprep.plans.grouped import GROUP_ROWS, nearest_in_groups
 from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import hot_row_limit
 from pointprep.session import materialize
@@ -187,6 +189,7 @@ def knn_join(
     blocks: QueryBlocks | None = None,
     query_curve: bool = False,
     tree: TargetTree | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query within the same ``keys``.
 
@@ -196,7 +199,8 @@ def knn_join(
     reuses the profile of (targets, queries) at least as large and as wide as these, and
     ``blocks`` the blocks of these queries or of more; then ``queries`` only names the columns,
     and ``carry`` can name coordinates. With ``query_curve`` the queries have been put on a curve before (``with_curve``), with
-    ``tree`` the targets have; neither is sorted again then.
+    ``tree`` the targets have; neither is sorted again then. Groups with at most ``group_rows`` rows on either side, by
+    default ``GROUP_ROWS`` unless smaller blocks are asked for, are compared whole.
     """
     keys, coords = list(keys), list(coords)
     neighbour = neighbour_name or (f"nbr_{target_id}" if target_id == query_id else target_id)
@@ -207,11 +211,72 @@ def knn_join(
     )
     if about is None:
         about = profile(t_in, q_in, keys, coords, hot_row_limit(queries.sparkSession))
+    carried = [f"q_{c}" for c in carry if c not in keys]
+    if group_rows is None:
+        group_rows = GROUP_ROWS if block_rows >= BLOCK_ROWS else 0
+    group_rows = min(group_rows, hot_row_limit(queries.sparkSession))
+    ready = blocks is not None or query_curve or tree is not None
+    plain = all(isinstance(t.schema[c].dataType, (T.DoubleType, T.FloatType)) for t in (q_in, t_in) for c in coords)
+    whole = None
+    if about.largest[0] > block_rows and group_rows > block_rows and plain and not ready:
+        itself = queries is targets and exclude_same_id and query_id == target_id and not payload
+        q_in, t_in, whole = _small_groups(q_in, t_in, keys, coords, payload, carried, k, exclude_same_id, itself, group_rows, about)
+    if q_in is None:
+        ranked_rows = whole
+    else:
+        ranked_rows = _searched(q_in, t_in, k, keys, coords, payload, carried, exclude_same_id, block_rows, about, blocks, query_curve, tree)
+        if whole is not None:
+            ranked_rows = ranked_rows.select(*whole.columns).unionByName(whole)
+    extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
+    extra += [F.col(c).alias(c[2:]) for c in carried]
+    return ranked_rows.select(
+        *keys,
+        F.col("__q").alias(query_id),
+        F.col("__rank").cast("bigint").alias(rank_name),
+        F.col("t___t").alias(neighbour),
+        F.sqrt("__d2").alias("dist"),
+        *extra,
+    )
+
+
+def _small_groups(
+    q_in: DataFrame, t_in: DataFrame, keys: list[str], coords: list[str], payload: Sequence[str], carried: list[str], k: int,
+    exclude_same_id: bool, itself: bool, group_rows: int, about: Profile,
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """What is left to search of both sides, None if nothing is, and the nearest rows of the small groups, None if there are none."""
+    work = about.work
+    q_left, t_left = None, None
+    if max(about.largest) > group_rows:
+        sides = [df.select(*keys, F.lit(i).alias("__side")) for i, df in enumerate((q_in, t_in))]
+        counts = [F.count_if(F.col("__side") == i).alias(f"__n{i}") for i in (0, 1)]
+        sizes = sides[0].unionAll(sides[1]).groupBy(*keys).agg(*counts)
+        pairs = F.col("__n0").cast("double") * F.col("__n1")
+        fits = F.greatest("__n0", "__n1") <= group_rows
+        work = sizes.agg(F.sum(F.when(fits, pairs)).alias("work")).first()["work"] or 0
+        if not work:
+            return q_in, t_in, None
+        large = materialize(sizes.filter(~fits).select(*keys), "large")
+        q_left, t_left = (df.join(large, keys, "left_semi") for df in (q_in, t_in))
+        q_in, t_in = (df.join(large, keys, "left_anti") for df in (q_in, t_in))
+    q_side = _prefixed(q_in, keys, "q_")
+    if itself:
+        q_side = q_side.withColumn("t___t", F.col("q___q"))
+    found = nearest_in_groups(
+        q_side, None if itself else _prefixed(t_in, keys, "t_"), k, keys, coords, [f"t_p_{c}" for c in payload], carried, exclude_same_id, work
+    )
+    return q_left, t_left, found
+
+
+def _searched(
+    q_in: DataFrame, t_in: DataFrame, k: int, keys: list[str], coords: list[str], payload: Sequence[str], carried: list[str],
+    exclude_same_id: bool, block_rows: int, about: Profile, blocks: QueryBlocks | None, query_curve: bool, tree: TargetTree | None,
+) -> DataFrame:
+    """The nearest rows by joins: of small groups all targets, else those in the blocks nearby."""
     d2 = squared_sum([F.col(f"t_{c}") - F.col(f"q_{c}") for c in coords])
     if about.largest[0] <= block_rows:
         # Every group's targets fit one block: nothing to search, each query meets one block.
         q_side, t_side = _prefixed(q_in, [*keys, "__q"], "q_"), _prefixed(t_in, keys, "t_")
-        tasks = partitions_for(queries.sparkSession, about.work)
+        tasks = partitions_for(q_in.sparkSession, about.work)
         met = salted_join(q_side, t_side, keys, ["__q"], hot=about.hot[1], keep_salt="__part", partitions=tasks)
         met = met.withColumn("__d2", d2)
         # Without hot groups the part number is a constant and adds nothing to the keys.
@@ -223,25 +288,13 @@ def knn_join(
     if exclude_same_id:
         met = met.filter(F.col("__q") != F.col("t___t"))
 
-    extra = [F.col(f"t_p_{c}").alias(c) for c in payload]
-    carried = [f"q_{c}" for c in carry if c not in keys]
-    extra += [F.col(c).alias(c[2:]) for c in carried]
     if k == 1:
         best = met.groupBy(*per_query).agg(
             F.min(F.struct("__d2", "t___t", *[f"t_p_{c}" for c in payload])).alias("__b"), *[F.first(c).alias(c) for c in carried]
         ).select(*per_query, *carried, "__b.*")
-        ranked_rows = best.withColumn("__rank", F.lit(1))
-    else:
-        nearest = W.partitionBy(*per_query).orderBy("__d2", "t___t")
-        ranked_rows = met.withColumn("__rank", F.row_number().over(nearest)).filter(F.col("__rank") <= k)
-    return ranked_rows.select(
-        *keys,
-        F.col("__q").alias(query_id),
-        F.col("__rank").cast("bigint").alias(rank_name),
-        F.col("t___t").alias(neighbour),
-        F.sqrt("__d2").alias("dist"),
-        *extra,
-    )
+        return best.withColumn("__rank", F.lit(1))
+    nearest = W.partitionBy(*per_query).orderBy("__d2", "t___t")
+    return met.withColumn("__rank", F.row_number().over(nearest)).filter(F.col("__rank") <= k)
 
 
 def _met_in_blocks(

@@ -104,3 +104,34 @@ def test_trees_and_curves_of_larger_clouds_give_the_same(spark, hot, k, block_ro
     got = knn_join(queries, targets, k, block_rows=block_rows, query_curve=True, tree=tree)
     want = brute([r for r in q if r[1] % 3 != 1], [r for r in t if r[1] % 4 != 2], k)
     assert {(r[0], r[1], r[2], r[3]) for r in got.collect()} == want
+
+
+def grouped_rows(groups, size, seed):
+    rng = np.random.default_rng(seed)
+    # Coarse coordinates, so that many distances tie.
+    return [(f"g{g}", g * 10_000 + i, *map(float, rng.integers(0, 6, 3))) for g in range(groups) for i in range(size + 40 * g)]
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+@pytest.mark.parametrize("group_rows", [None, 400])
+def test_groups_of_some_hundred_rows_write_no_blocks(spark, monkeypatch, exclude, group_rows):
+    """Before, candidate pairs and wanted blocks of every query were written, whatever the groups' size."""
+    written = []
+    plain = knn.materialize
+    monkeypatch.setattr(knn, "materialize", lambda df, label: (written.append(label), plain(df, label))[1])
+    rows = grouped_rows(4, 300, 7)
+    t = frame(spark, rows, "id")
+    q = t if exclude else frame(spark, rows[::9], "id")
+    got = knn_join(q, t, 3, query_id="id", target_id="id", neighbour_name="other", exclude_same_id=exclude, group_rows=group_rows,
+                   payload=[] if exclude else ["x"])
+    assert {(r[0], r[1], r[2], r[3]) for r in got.collect()} == brute(rows if exclude else rows[::9], rows, 3, exclude)
+    # With a low limit the larger of the groups are searched as before.
+    assert ("wanted" in written) == (group_rows is not None)
+
+
+def test_null_keys_and_null_coordinates_in_small_groups(spark):
+    rows = [("a", i, float(i), 0.0, 0.0) for i in range(300)] + [(None, 900, 0.0, 0.0, 0.0), (None, 901, 0.0, 0.0, 0.0), ("a", 902, None, 0.0, 0.0)]
+    df = frame(spark, rows, "id")
+    got = knn_join(df, df, 2, query_id="id", target_id="id", neighbour_name="other", exclude_same_id=True).collect()
+    assert len(got) == 602 and all(r["case_id"] == "a" for r in got)
+    assert all(r["other"] != 902 for r in got if r["id"] != 902)
