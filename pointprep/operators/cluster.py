@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pointprep.functions.rng import uniform
 from pointprep.plans.blocks import CURVE, Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
 from pointprep.plans.components import connected_components
+from pointprep.plans.grouped import GROUP_ROWS, dbscan_in_groups, split_by_size
 from pointprep.plans.knn import QueryBlocks, block_queries, block_sizes, knn_join
 from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import hot_from_counts, hot_groups, hot_row_limit, ranked
@@ -36,16 +37,41 @@ def dbscan(
     key: str = "case_id",
     row_id: str = "point_id",
     coords: Sequence[str] = ("x", "y"),
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Cluster label per point: the lowest core id of its cluster, NULL for noise.
 
+    Groups with at most ``group_rows`` points are clustered whole in a task, so that their points are shuffled once; larger ones go
+    by cells. A border point joins the neighbour with the lowest label. A point that lacks a coordinate is noise.
+    """
+    coords = list(coords)
+    named = points.select(key, F.col(row_id).alias("id"), *coords)
+    small, large = split_by_size(named, [key], min(group_rows, hot_row_limit(points.sparkSession)))
+    parts = []
+    if small is not None:
+        parts.append(dbscan_in_groups(small, eps, min_samples, key, coords))
+    if large is not None or small is None:
+        rows = named if large is None else large
+        lacking = F.lit(False)
+        for c in coords:
+            lacking = lacking | F.col(c).isNull() | F.isnan(c)
+        none = rows.filter(lacking).select(key, "id", F.lit(None).cast(rows.schema["id"].dataType).alias("label"), F.lit(False).alias("is_core"))
+        parts += [_dbscan_by_cells(rows.filter(~lacking), eps, min_samples, key, coords), none]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("id", row_id)
+
+
+def _dbscan_by_cells(points: DataFrame, eps: float, min_samples: int, key: str, coords: list[str]) -> DataFrame:
+    """Clusters of large groups.
+
     Space is cut into cells so small that all points of one cell are neighbours. A
     cell with ``min_samples`` points is core throughout without comparing any pair;
     only the few points of thin cells count their neighbours. Clusters are the
     connected components of core cells, a graph of bounded degree, so dense regions
-    do not multiply the work. A border point joins the neighbour with the lowest label.
+    do not multiply the work.
     """
-    coords = list(coords)
     dims = len(coords)
     eps2 = eps * eps
     side = eps / math.sqrt(dims) * (1.0 - 1e-9)
@@ -54,7 +80,7 @@ def dbscan(
     offsets = _offsets(math.ceil(math.sqrt(dims)), dims)
 
     placed = points.select(
-        key, F.col(row_id).alias("id"), *coords,
+        key, "id", *coords,
         *[F.floor(F.col(c) / F.lit(side)).cast("bigint").alias(cell) for c, cell in zip(coords, cells)],
         # A coarser grid for looking around: within eps there is only the next cell each way.
         *[F.floor(F.col(c) / F.lit(eps)).cast("bigint").alias(cell) for c, cell in zip(coords, grid)],
@@ -107,7 +133,6 @@ def dbscan(
     return (
         in_core.select(key, "id", "label", F.lit(True).alias("is_core"))
         .unionByName(others.select(key, "id", "label", F.lit(False).alias("is_core")))
-        .withColumnRenamed("id", row_id)
     )
 
 

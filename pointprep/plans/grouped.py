@@ -1,7 +1,8 @@
-"""Nearest rows within groups of bounded size.
+"""Work on groups of bounded size: nearest rows, density clusters.
 
 Groups of some hundred rows need no search tree, whose blocks and candidate pairs outweigh the rows many times: each
-side is dealt out by key once, and a task compares a group's queries with its targets in pieces of bounded size.
+side is dealt out by key once, and a task compares a group's queries with its targets in pieces of bounded size. Likewise
+density clusters of such groups need no cells and no rounds over their links.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointprep.plans.blocks import partitions_for
+from pointprep.session import materialize
 
 #: Groups with up to so many rows on either side are compared in one task.
 GROUP_ROWS = 4_096
@@ -89,9 +91,7 @@ def nearest_in_groups(
     ``q_side`` are the targets too, and only their id stands there twice. ``work`` is the number of pairs. As in a join, NULL is no key.
     """
     keys = list(keys)
-    some = F.lit(True)
-    for c in keys:
-        some = some & F.col(c).isNotNull()
+    some = filled(keys)
     tasks = partitions_for(q_side.sparkSession, work / PAIRS_PER_ROW)
     q_side = q_side.filter(some).repartition(tasks, *keys)
     both = q_side if t_side is None else t_side
@@ -127,3 +127,77 @@ def nearest_in_groups(
     if not two:
         return q_side.groupBy(*keys).applyInArrow(lambda rows: compare(rows, rows), schema)
     return q_side.groupBy(*keys).cogroup(t_side.filter(some).repartition(tasks, *keys).groupBy(*keys)).applyInArrow(compare, schema)
+
+
+def filled(keys: Sequence[str]):
+    """That no key is NULL."""
+    some = F.lit(True)
+    for c in keys:
+        some = some & F.col(c).isNotNull()
+    return some
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], group_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of groups with at most ``group_rows`` rows, dealt out by key, and the rows of the others; None where there are none."""
+    keys = list(keys)
+    df = df.filter(filled(keys))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    fits = F.col("__n") <= group_rows
+    pairs = F.col("__n").cast("double") * F.col("__n")
+    about = sizes.agg(F.count_if(fits).alias("small"), F.count_if(~fits).alias("large"), F.sum(F.when(fits, pairs)).alias("work")).first()
+    small = large = df
+    if about["small"] and about["large"]:
+        listed = materialize(sizes.filter(~fits).select(*keys), "large")
+        small, large = df.join(listed, keys, "left_anti"), df.join(listed, keys, "left_semi")
+    tasks = partitions_for(df.sparkSession, (about["work"] or 0) / PAIRS_PER_ROW)
+    return small.repartition(tasks, *keys) if about["small"] else None, large if about["large"] else None
+
+
+def density_labels(coords: list[np.ndarray], eps2: float, min_samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """DBSCAN of one group: the position of the first core row of each row's cluster, or -1, and which rows are core.
+
+    A row that is not core takes the least label among the core rows within reach. NaN is near nothing.
+    """
+    n = len(coords[0])
+    near = np.empty((n, n), bool)
+    step = max(1, PAIRS_AT_ONCE // max(n, 1))
+    for at in range(0, n, step):
+        d2 = None
+        for a in coords:
+            gap = a[at: at + step, None] - a[None, :]
+            gap *= gap
+            d2 = gap if d2 is None else d2 + gap
+        np.less_equal(d2, eps2, out=near[at: at + step])
+    core = near.sum(axis=1) >= min_samples
+    label = np.full(n, -1)
+    open_rows = core.copy()
+    for first in np.flatnonzero(core):
+        if not open_rows[first]:
+            continue
+        front = np.array([first])
+        open_rows[first] = False
+        while len(front):
+            label[front] = first
+            front = np.flatnonzero(near[front].any(axis=0) & open_rows)
+            open_rows[front] = False
+    for i in np.flatnonzero(~core):
+        around = label[near[i] & core]
+        if len(around):
+            label[i] = around.min()
+    return label, core
+
+
+def dbscan_in_groups(rows: DataFrame, eps: float, min_samples: int, key: str, coords: Sequence[str]) -> DataFrame:
+    """``key``, ``id``, ``label`` and ``is_core`` of rows that have been dealt out by key."""
+    schema = T.StructType([
+        rows.schema[key], rows.schema["id"], T.StructField("label", rows.schema["id"].dataType), T.StructField("is_core", T.BooleanType()),
+    ])
+    target = to_arrow_schema(schema)
+
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["id"]))
+        label, core = density_labels([table[c].to_numpy() for c in coords], eps * eps, min_samples)
+        named = table["id"].take(pa.array(label, mask=label < 0))
+        return pa.table(dict(zip(target.names, [table[key], table["id"], named, pa.array(core)]))).cast(target)
+
+    return rows.groupBy(key).applyInArrow(cluster, schema)

@@ -125,3 +125,16 @@ def test_ray_hits_box_and_misses_elsewhere(spark, cell):
     assert got[8]["dist"] is None and got[8]["feature"] == 1.0
     vec = mesh.ray_vector(mesh.ray_distance(origin, v, f)).first()["pbd"]
     assert len(vec) == 16 and vec[8] == 1.0
+
+
+@pytest.mark.parametrize("group_rows,cells", [(4_096, False), (145, True), (0, True)])
+def test_dbscan_of_small_groups_writes_no_cells(spark, monkeypatch, group_rows, cells):
+    """Before, cells, links and rounds of labels were written for groups of any size."""
+    written = []
+    plain = cluster.materialize
+    monkeypatch.setattr(cluster, "materialize", lambda df, label: (written.append(label), plain(df, label))[1])
+    rows = blobs(4) + [("c", 900 + i, *p) for i, (_, _, *p) in enumerate(blobs(5)[:150])]
+    df = spark.createDataFrame([*rows, ("c", 1200, None, 0.0), ("a", 1201, float("nan"), 0.0)], "case_id string, point_id bigint, x double, y double").repartition(3)
+    got = {(r["case_id"], r["point_id"]): (r["label"], r["is_core"]) for r in cluster.dbscan(df, 1.5, 5, group_rows=group_rows).collect()}
+    assert got == brute_dbscan(rows, 1.5, 5) | {("c", 1200): (None, False), ("a", 1201): (None, False)}
+    assert ("cells" in written) == cells
