@@ -8,8 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pointprep.functions.scalar import clip
+from pointprep.plans.blocks import tasks_for
 from pointprep.plans.knn import knn_join
 from pointprep.plans.salt import salted_join
+from pointprep.plans.skew import BROADCAST_ROWS
+from pointprep.session import materialize
 
 # Fixed values
 MEAN_CLIP = 100.0
@@ -24,16 +27,20 @@ EDGE_SLACK = 1e-9
 def _corners(faces: DataFrame, vertices: DataFrame, key: str, face_id: str, vertex_id: str) -> DataFrame:
     """One row per face with its corner ids and coordinates.
 
-    Corners meet their vertex one row each; a vertex many faces share is spread.
+    Corners meet their vertex one row each; a vertex many faces share is spread. Tasks are dealt by the number of corners.
     """
+    tasks = tasks_for(3 * faces.count())
     corner = faces.select(
         key, face_id, F.posexplode(F.array("v0", "v1", "v2")).alias("__i", vertex_id)
     )
-    at = salted_join(corner, vertices.select(key, vertex_id, "x", "y", "z"), [key, vertex_id], [face_id])
-    picked = [
-        F.max(F.when(F.col("__i") == i, F.struct(F.col(vertex_id).alias("id"), "x", "y", "z"))).alias(f"p{i}") for i in range(3)
-    ]
-    return at.groupBy(key, face_id).agg(*picked)
+    at = salted_join(
+        corner, vertices.select(key, vertex_id, "x", "y", "z").hint("merge"), [key, vertex_id], [face_id], partitions=tasks
+    ).repartition(tasks, key, face_id)
+    # Single numbers, which a hash aggregate takes; structures would be sorted.
+    picked = [F.max(F.when(F.col("__i") == i, F.col(c))).alias(f"__{i}{c}") for i in range(3) for c in (vertex_id, *"xyz")]
+    return at.groupBy(key, face_id).agg(*picked).select(key, face_id, *[
+        F.struct(F.col(f"__{i}{vertex_id}").alias("id"), *[F.col(f"__{i}{c}").alias(c) for c in "xyz"]).alias(f"p{i}") for i in range(3)
+    ])
 
 
 def _minus(a: str, b: str) -> list[Column]:
@@ -175,17 +182,21 @@ def ray_distance(
         "cz", F.explode(F.sequence(at(F.col("z_lo"), "lz"), at(F.col("z_hi"), "lz")))
     )
     # Grid sizes that occur per case and direction: a handful of rows each.
-    used = tri.groupBy(key, "dir").agg(F.collect_set(F.struct("lv", "lz")).alias("__used"))
+    used = materialize(tri.groupBy(key, "dir").agg(F.collect_set(F.struct("lv", "lz")).alias("__used")), "used")
+    n_rays = origins.count() * n_directions
+    sizes = used.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__used")).alias("most")).first()
     rays = (
-        origins.select(key, F.col(origin_id).alias("__o"), "x", "y", "z", F.explode(dirs).alias("d"))
+        origins.repartition(tasks_for(n_rays)).select(key, F.col(origin_id).alias("__o"), "x", "y", "z", F.explode(dirs).alias("d"))
         .select(key, "__o", "x", "y", "z", F.col("d.dir").alias("dir"), F.col("d.dx").alias("dx"), F.col("d.dy").alias("dy"))
-        .join(used, [key, "dir"])
+        .join(F.broadcast(used) if sizes["n"] <= BROADCAST_ROWS else used.hint("merge"), [key, "dir"])
         .withColumn("v", F.col("y") * F.col("dx") - F.col("x") * F.col("dy"))
         .select("*", F.explode("__used").alias("__l")).select("*", "__l.lv", "__l.lz").drop("__used", "__l")
         .withColumn("cv", at(F.col("v"), "lv"))
         .withColumn("cz", at(F.col("z"), "lz"))
     )
-    met = salted_join(rays, tri, [key, "dir", "lv", "lz", "cv", "cz"], ["__o"]).filter(
+    # A triangle lies in two cells for either axis at most, and seldom in all four.
+    tasks = tasks_for(n_directions * 3 * faces.count() + n_rays * (sizes["most"] or 1))
+    met = salted_join(rays, tri.hint("merge"), [key, "dir", "lv", "lz", "cv", "cz"], ["__o"], partitions=tasks).filter(
         (F.col("v") >= F.col("v_lo")) & (F.col("v") <= F.col("v_hi")) & (F.col("z") >= F.col("z_lo")) & (F.col("z") <= F.col("z_hi"))
     )
     # Ray and triangle by barycentric coordinates (Moeller and Trumbore).
@@ -201,7 +212,7 @@ def ray_distance(
     hit = det.isNotNull() & (u >= 0) & (v >= 0) & (u + v <= 1.0) & (t >= MIN_HIT)
     nearest = met.withColumn("t", F.when(hit, t)).groupBy(key, "__o", "dir").agg(F.min("t").alias("t"))
     every = origins.select(key, F.col(origin_id).alias("__o"), F.explode(dirs).alias("d")).select(key, "__o", F.col("d.dir").alias("dir"))
-    return every.join(nearest, [key, "__o", "dir"], "left").select(
+    return every.repartition(tasks_for(n_rays), key, "__o", "dir").join(nearest.hint("merge"), [key, "__o", "dir"], "left").select(
         key, F.col("__o").alias(origin_id), "dir", F.col("t").alias("dist"),
         F.coalesce(F.lit(1.0) - F.exp(-F.col("t") / F.lit(scale)), F.lit(1.0)).alias("feature"),
     )

@@ -104,6 +104,15 @@ def partitions_for(spark: SparkSession, rows: float) -> int:
     return max(some, int(rows // ROWS_PER_TASK) + 1)
 
 
+#: Wide rows that one task sorts or keeps at a time.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for ``rows`` wide rows. File sizes say little about rows that are made by exploding, and would leave them to one task."""
+    return int(rows // TASK_ROWS) + 1
+
+
 def assign_blocks(
     df: DataFrame,
     keys: Sequence[str],

@@ -138,3 +138,18 @@ def test_dbscan_of_small_groups_writes_no_cells(spark, monkeypatch, group_rows,
     got = {(r["case_id"], r["point_id"]): (r["label"], r["is_core"]) for r in cluster.dbscan(df, 1.5, 5, group_rows=group_rows).collect()}
     assert got == brute_dbscan(rows, 1.5, 5) | {("c", 1200): (None, False), ("a", 1201): (None, False)}
     assert ("cells" in written) == cells
+
+
+def test_rays_and_corners_are_dealt_by_their_number(spark, monkeypatch):
+    """Before, a small file left all exploded rows to the one task that read it: corners were sorted there, rays sent to it whole."""
+    from pointprep.plans import blocks
+
+    monkeypatch.setattr(blocks, "TASK_ROWS", 8)
+    v, f = cube(spark, 10.0, (20.0, -5.0, -5.0))
+    corners = mesh._corners(f.coalesce(1), v.coalesce(1), "case_id", "face_id", "vertex_id")
+    plan = corners._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "BroadcastHashJoin" not in plan
+    assert "REPARTITION_BY_NUM" in plan
+    origin = spark.createDataFrame([("a", i, 0.0, 0.1 * i, 0.2) for i in range(6)], "case_id string, leaf_id bigint, x double, y double, z double").coalesce(1)
+    hits = [r for r in mesh.ray_distance(origin, v, f).collect() if r["dir"] == 0]
+    assert len(hits) == 6 and all(r["dist"] == pytest.approx(20.0) for r in hits)
