@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pointprep.functions.rng import uniform
 from pointprep.plans.blocks import CURVE, Profile, box_max_d2, box_min_d2, boxes, profile, squared_sum
 from pointprep.plans.components import connected_components
-from pointprep.plans.grouped import GROUP_ROWS, dbscan_in_groups, split_by_size
+from pointprep.plans.grouped import GROUP_ROWS, dbscan_in_groups, kmeans_in_groups, split_by_size
 from pointprep.plans.knn import QueryBlocks, block_queries, block_sizes, knn_join
 from pointprep.plans.salt import salted_join
 from pointprep.plans.skew import hot_from_counts, hot_groups, hot_row_limit, ranked
@@ -303,6 +303,10 @@ CURVE_SHARE = 4
 BOUND_SLACK = 1e-9
 
 
+#: The points of a case that go through all their rounds in one task.
+KMEANS_ROWS = 2_048
+
+
 def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str] = ("case_id", "bin"),
                   row_id: str = "point_id", coords: Sequence[str] = ("x", "y", "z"), max_iter: int = 30,
                   tol: float = 1e-3, seed: int | str = 42, on_curve: bool = False) -> DataFrame:
@@ -312,6 +316,7 @@ def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
     its centroid and a lower bound of the distance to every other one, which falls by the largest move of its group in a round;
     while its own distance is below that bound nothing can change for it, and only the other points search again.
     With ``on_curve`` the points know their place on the curve of a larger group, which serves for these groups too.
+    Values of the first key with at most ``KMEANS_ROWS`` points go through all rounds in one task instead.
     """
     keys, coords = list(keys), list(coords)
     spark = points.sparkSession
@@ -323,6 +328,16 @@ def binned_kmeans(points: DataFrame, allocation: DataFrame, keys: Sequence[str]
     active = allocation.filter(F.col("n") > F.col("alloc")).select(*keys)
     done = state.join(active, keys, "left_anti")
     state = state.join(active, keys, "left_semi")
+    small, large = split_by_size(points.join(active, keys, "left_semi").select(*keys, row_id, *coords, *place), keys[:1], min(KMEANS_ROWS, limit))
+    if small is not None:
+        # Kept rows of these cases meet their seeds; those of larger ones go through the rounds below.
+        done = done.unionByName(kmeans_in_groups(small, state, keys, coords, max_iter, tol).select(*done.columns))
+    if large is None:
+        return done
+    if small is not None:
+        points = materialize(large, "points")
+        cases = points.select(*keys).distinct()
+        state, active = state.join(cases, keys, "left_semi"), active.join(cases, keys, "left_semi")
     # Centroids stay inside the hull of their points and groups only leave, so one profile serves all rounds.
     about = profile(state, points, keys, coords, limit)
     # Points never move: they are put in order and written once, whatever the rounds.

@@ -201,3 +201,52 @@ def dbscan_in_groups(rows: DataFrame, eps: float, min_samples: int, key: str, co
         return pa.table(dict(zip(target.names, [table[key], table["id"], named, pa.array(core)]))).cast(target)
 
     return rows.groupBy(key).applyInArrow(cluster, schema)
+
+
+def lloyd(xyz: list[np.ndarray], centres: list[np.ndarray], max_iter: int, tol: float) -> list[np.ndarray]:
+    """Lloyd rounds of one group until no centroid moves by more than ``tol``; ties go to the first, missing values to no mean."""
+    have = [~np.isnan(a) for a in xyz]
+    for _ in range(max_iter):
+        d2 = None
+        for a, c in zip(xyz, centres):
+            gap = c[None, :] - a[:, None]
+            gap *= gap
+            d2 = gap if d2 is None else d2 + gap
+        near = d2.argmin(axis=1)
+        new = []
+        for a, c, ok in zip(xyz, centres, have):
+            n = np.bincount(near[ok], minlength=len(c))
+            new.append(np.where(n > 0, np.bincount(near[ok], a[ok], len(c)) / np.maximum(n, 1), c))
+        moved = np.sqrt(sum((b - c) ** 2 for b, c in zip(new, centres)))
+        centres = new
+        if not (moved > tol).any():
+            break
+    return centres
+
+
+def kmeans_in_groups(rows: DataFrame, seeds: DataFrame, keys: Sequence[str], coords: Sequence[str], max_iter: int, tol: float) -> DataFrame:
+    """Final centroids of the groups in ``seeds``, whose points ``rows`` have been dealt out by the first key."""
+    keys, coords = list(keys), list(coords)
+    columns = [*keys, "cluster", *coords]
+    schema = T.StructType([seeds.schema[c] if c not in coords else T.StructField(c, T.DoubleType()) for c in columns])
+    target = to_arrow_schema(schema)
+
+    def whole(points: pa.Table, first: pa.Table) -> pa.Table:
+        if not len(points) or not len(first):
+            return target.empty_table()
+        first = first.sort_by([(c, "ascending") for c in (*keys[1:], "cluster")])
+        # Groups of this key by their place among the seeds.
+        named = list(zip(*(first[c].to_pylist() for c in keys)))
+        group = {k: i for i, k in enumerate(dict.fromkeys(named))}
+        of_seed = np.array([group[k] for k in named])
+        of_point = np.array([group.get(k, -1) for k in zip(*(points[c].to_pylist() for c in keys))])
+        xyz = [points[c].to_numpy().astype(float) for c in coords]
+        out = [first[c].to_numpy().astype(float) for c in coords]
+        for i in range(len(group)):
+            mine, at = np.flatnonzero(of_point == i), np.flatnonzero(of_seed == i)
+            if len(mine):
+                for to, c in zip(out, lloyd([a[mine] for a in xyz], [a[at] for a in out], max_iter, tol)):
+                    to[at] = c
+        return pa.table(dict(zip(columns, [*(first[c] for c in (*keys, "cluster")), *map(pa.array, out)]))).cast(target)
+
+    return rows.groupBy(keys[0]).cogroup(seeds.select(*columns).groupBy(keys[0])).applyInArrow(whole, schema)

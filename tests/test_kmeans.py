@@ -57,3 +57,22 @@ def test_points_on_a_curve_of_their_case(spark):
     b = cluster.binned_kmeans(with_curve(df, ["case_id"], "point_id", list("xyz")), alloc, max_iter=3, on_curve=True)
     rounded = lambda d: sorted((r["bin"], r["cluster"], *(round(r[c], 9) for c in "xyz")) for r in d.collect())
     assert rounded(a) == rounded(b)
+
+
+def test_small_cases_need_no_rounds_of_jobs(spark, monkeypatch):
+    """Before, every round searched and wrote anew, whatever the size of the cases."""
+    searched = []
+    join = cluster.knn_join
+    monkeypatch.setattr(cluster, "knn_join", lambda q, *a, **k: (searched.append(1), join(q, *a, **k))[1])
+    rows = spark.range(900).select(
+        F.when(F.col("id") < 600, "a").otherwise("b").alias("case_id"), (F.col("id") % 2).cast("int").alias("bin"), F.col("id").alias("point_id"),
+        *[(F.rand(i) * 50).alias(c) for i, c in enumerate("xyz")],
+    )
+    rows = cluster.materialize(rows, "points")
+    alloc = rows.groupBy("case_id", "bin").agg(F.count("*").alias("n"), F.lit(7).cast("bigint").alias("alloc"))
+    rounded = lambda d: sorted((r["case_id"], r["bin"], r["cluster"], *(round(r[c], 9) for c in "xyz")) for r in d.collect())
+    whole = rounded(cluster.binned_kmeans(rows, alloc, max_iter=3))
+    assert not searched and len(whole) == 28
+    monkeypatch.setattr(cluster, "KMEANS_ROWS", 400)
+    assert rounded(cluster.binned_kmeans(rows, alloc, max_iter=3)) == whole
+    assert searched
