@@ -1,7 +1,10 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointprep.llm import anchors as an, suffix_dedup as sd
 from tests.llm.conftest import EDGES
@@ -107,3 +110,41 @@ def test_window_hashes_follow_the_window_only():
     p = (1 << 61) - 1
     a, b = (rng.integers(0, p, 1000, dtype=np.uint64) for _ in range(2))
     assert an.times61(a, b).tolist() == [int(i) * int(j) % p for i, j in zip(a, b)]
+
+
+def text_scans(frame):
+    """How often the plan that ran has read and dealt out the texts."""
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and "text#" in line for line in final.splitlines())
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    """Both passes over the texts read one exchange, which holds only if they ask for the same columns."""
+    frame = docs(corpus(8, 60))
+    assert text_scans(sd.dedup_digests(frame, 30, 8)) == 1
+    assert text_scans(sd.dedup_bytes(frame, 30, 8)) == 1
+
+
+@pytest.mark.parametrize("before", [None, "false"])
+def test_shuffles_of_a_stage_end_with_it(spark, docs, before):
+    """They are on no disk any more once the stage is written; the session's setting is as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+    def files():
+        return {str(p) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*")}
+
+    try:
+        frame = an.identified(docs(corpus(9, 60))).withColumn("key", F.col("row"))
+        had = files()
+        work = an.sort_anchors(frame, sd.byte_symbols, 30, 8, F.col("n") > 1)
+        for _ in range(50):
+            left = files() - had
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left and work.count() > 10
+        assert spark.conf.get(key, None) == before
+    finally:
+        spark.conf.unset(key)
