@@ -72,7 +72,8 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     """``docs`` (key, text) dealt by rows, with the work and factors found for each of its passages.
 
     Returns the joined rows and the work lists. The rows are written once with a number of their own; keys only say
-    which of two passages is earlier. The texts are shuffled once; both passes over them read the same exchange.
+    which of two passages is earlier. The texts are shuffled once; both passes over them read the same exchange, if the
+    caller takes all columns of ``docs``: an exchange of other columns would be another exchange.
     """
     docs = an.identified(docs)
     work = an.sort_anchors(docs, word_symbols, window, gram, F.col("least") < F.col("key"))
@@ -95,7 +96,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
     def shipped(rows: DataFrame, hot: int) -> DataFrame:
         return arrow_map(
-            rows.select("row", "key", "text", "work"), lambda batches: passages(batches, hot),
+            rows, lambda batches: passages(batches, hot),
             "gram long, context long, row long, key long, offset int, hashes array<long>", out_rows=5_000,
         )
 
@@ -212,7 +213,7 @@ def cut_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text:
                 yield None if batch["__null"][i].as_py() else whole, rest_of, cut, len(whole)
 
     kind = docs.select(F.struct(*rest).alias("r")).schema["r"].dataType.simpleString()
-    out = arrow_map(joined.select("text", "work", "factors", "__null", "__rest"), rows, f"text string, rest {kind}, cut boolean, n long", out_rows=500)
+    out = arrow_map(joined.select("key", "text", "work", "factors", "__null", "__rest"), rows, f"text string, rest {kind}, cut boolean, n long", out_rows=500)
     return out.select(*[
         F.col("text").alias(c) if c == text
         else F.when(F.col("cut"), F.col("n")).otherwise(F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) if c == length

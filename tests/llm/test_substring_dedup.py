@@ -113,3 +113,13 @@ def test_texts_of_two_words_that_double_and_swap(spark, docs, monkeypatch, hot):
     rows = [(1, " ".join(words)), (2, " ".join(swapped)), (3, "x " + " ".join(words[64:200]) + " y"), (4, "a b " * 200)]
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in sd.dedup_words(docs(rows), 50, 16).collect()), key=str)
     assert got == brute(rows, 50)
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    """Both passes read one exchange, also where the other columns travel along."""
+    from tests.llm.test_suffix_dedup import text_scans
+
+    frame = docs(corpus(8, 60))
+    assert text_scans(sd.cut_passages(frame, 12, 4)) == 1
+    assert text_scans(sd.dedup_words(frame, 12, 4)) == 1
+    assert text_scans(sd.dedup_digests(frame, 12, 4)) == 1
